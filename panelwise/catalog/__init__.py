@@ -1,0 +1,5 @@
+"""All registered queries. Importing the modules registers them."""
+
+from panelwise.catalog import base, panels, scalars  # noqa: F401
+
+QUERIES, SQL = base.QUERIES, base.SQL

@@ -149,7 +149,13 @@ ACTUAL = "real_risco_defasagem"
 HIT = "acerto"
 
 # --- Derived -----------------------------------------------------------------
-CANONICAL = T.StructType.fromDDL(" ".join(CANONICAL_DDL.split()))
+_TYPES = {
+    "STRING": T.StringType(), "INT": T.IntegerType(), "DOUBLE": T.DoubleType(), "BOOLEAN": T.BooleanType(),
+    "BIGINT": T.LongType(),
+}
+CANONICAL = T.StructType([
+    T.StructField(name, _TYPES[kind]) for name, kind in (field.split() for field in CANONICAL_DDL.split(","))
+])
 KEY = ("ra", "ano_referencia")
 
 
