@@ -1,5 +1,6 @@
 """Text, number and boolean parsing as Column expressions."""
 
+import json
 import sys
 import unicodedata
 from functools import lru_cache
@@ -43,15 +44,21 @@ def _decompositions() -> tuple[str, str, dict[str, str]]:
 
 def strip_accents(c: Column | str) -> Column:
     """NFKD to ASCII: letters lose their marks, ligatures expand, what has no ASCII form is deleted."""
+    text = col(c)
     single_from, single_to, longer = _decompositions()
-    text = F.translate(col(c), single_from, single_to)
-    # Rare: only rows that still hold an expandable character pay for the per-character lookup.
-    expansions = F.create_map(*[F.lit(part) for pair in longer.items() for part in pair])
+    plain = F.translate(text, single_from, single_to)
+    # Rare: only rows that hold an expandable character pay for the per-character lookup.
+    expansions = F.from_json(F.lit(json.dumps(longer)), "map<string,string>")
     expanded = F.array_join(
-        F.transform(F.split(text, ""), lambda ch: F.coalesce(F.element_at(expansions, ch), ch)), ""
+        F.transform(
+            F.split(plain, ""), lambda ch: F.when(ch > "\x7f", F.coalesce(F.element_at(expansions, ch), ch)).otherwise(ch)
+        ),
+        "",
     )
-    rare = "[" + "".join(longer) + "]"
-    return F.regexp_replace(F.when(text.rlike(rare), expanded).otherwise(text), r"[^\x00-\x7F]", "")
+    expandable = F.length(F.translate(plain, "".join(longer), "")) < F.length(plain)
+    folded = F.regexp_replace(F.when(expandable, expanded).otherwise(plain), r"[^\x00-\x7F]", "")
+    # Plain ASCII, the usual case, stays as it is.
+    return F.when(F.octet_length(text) == F.length(text), text).otherwise(folded)
 
 
 def fold_label(c: Column | str) -> Column:

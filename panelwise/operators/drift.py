@@ -1,7 +1,8 @@
 """Drift between a reference and a current frame, all features at once in long form.
 
 Both sides are reduced to one table of distinct values per feature with their
-two counts; every measure is computed from that table, so the data is shuffled once.
+two counts; every measure is computed from that table, so the data is shuffled once. Tables
+with one row per feature are broadcast: features are columns of a frame.
 """
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -31,9 +32,11 @@ def value_counts(reference: DataFrame, current: DataFrame, columns: list[str], k
     return both.groupBy("feature", "value").agg(count_of("r"), count_of("c"))
 
 
-def quantile_edges(counts: DataFrame, bins: int = BINS, float_quantiles=False, slices: int = SLICES) -> DataFrame:
+def quantile_edges(
+    counts: DataFrame, bins: int = BINS, float_quantiles: bool = False, slices: int = SLICES, features: int = 1000
+) -> DataFrame:
     """Distinct quantile edges of the reference side per feature."""
-    edges = exact_quantiles(counts, ["feature"], "value", "r", bins, float_quantiles, slices)
+    edges = exact_quantiles(counts, ["feature"], "value", "r", bins, float_quantiles, slices, counted=["r", "c"], groups=features)
     return edges.select("feature", F.array_distinct("edges").alias("edges"))
 
 
@@ -46,41 +49,51 @@ def approximate_edges(reference: DataFrame, columns: list[str], bins: int = BINS
     return rows.select("feature", F.array_distinct("edges").alias("edges"))
 
 
-def bin_index(value: Column, edges: Column) -> Column:
+def bin_index(value: str = "value", edges: str = "edges") -> Column:
     """Half-open bins from 0, the last one closed; null outside the edges."""
-    n = F.size(edges)
-    at = F.size(F.filter(edges, lambda edge: edge <= value)) - 1
-    return F.when((value >= edges[0]) & (value <= F.element_at(edges, -1)), F.least(at, n - 2))
+    at = f"size(filter({edges}, edge -> edge <= {value})) - 1"
+    return F.expr(f"if({value} between {edges}[0] and element_at({edges}, -1), least({at}, size({edges}) - 2), null)")
+
+
+def with_bins(counts: DataFrame, edges: DataFrame) -> DataFrame:
+    return null_safe_join(counts, F.broadcast(edges), ["feature"], "left").withColumn("bin", bin_index())
 
 
 def histogram(counts: DataFrame, edges: DataFrame) -> DataFrame:
     """Rows per feature and bin on both sides; values outside the edges are dropped."""
-    placed = null_safe_join(counts, edges, ["feature"]).withColumn("bin", bin_index(F.col("value"), F.col("edges")))
-    return placed.where(F.col("bin").isNotNull()).groupBy("feature", "bin").agg(
-        F.sum("r").alias("r"), F.sum("c").alias("c"), F.first(F.size("edges")).alias("n_edges")
+    return with_bins(counts, edges).where(F.col("bin").isNotNull()).groupBy("feature", "bin").agg(
+        F.sum("r").alias("r"), F.sum("c").alias("c")
+    )
+
+
+def numeric_facts(counts: DataFrame, edges: DataFrame, bins: int = BINS) -> DataFrame:
+    """Means, rows and PSI per feature in one aggregate over the distinct values.
+
+    The index is zero with an empty side or fewer than three edges. A mean without values is 0.
+    """
+    binned = lambda side, i: f"coalesce(sum({side}) filter (where bin = {i}), 0)"
+    table = lambda side: F.expr(f"array({', '.join(binned(side, i) for i in range(bins))})").alias(f"{side}_bins")
+    mean = lambda side: F.expr(f"coalesce(try_divide(sum(value * {side}), sum({side})), 0D)")
+    found = with_bins(counts, edges).groupBy("feature").agg(
+        mean("r").alias("reference_mean"), mean("c").alias("current_mean"), F.sum("r").alias("r_rows"),
+        F.sum("c").alias("c_rows"), F.expr("coalesce(max(size(edges)), 0)").alias("n_edges"), table("r"), table("c"),
     )
+    total = lambda side: f"greatest(aggregate({side}_bins, 0L, (a, b) -> a + b), 1L)"
+    share = lambda side: f"transform({side}_bins, n -> greatest(n / {total(side)}, {fixed.SHARE_FLOOR!r}D))"
+    # Bins that do not exist are empty on both sides and add nothing.
+    index = f"aggregate(zip_with({share('r')}, {share('c')}, (r, c) -> (c - r) * ln(c / r)), 0D, (a, b) -> a + b)"
+    return found.withColumn("psi", F.expr(f"if(r_rows > 0 and c_rows > 0 and n_edges >= 3, {index}, 0D)"))
 
 
-def psi(counts: DataFrame, edges: DataFrame) -> DataFrame:
-    """Population stability index per feature; zero with an empty side or fewer than three edges."""
-    usable = edges.where(F.size("edges") >= 3)
-    # Bins without any row on either side have equal shares and add nothing.
-    bins = histogram(counts, usable)
-    totals = bins.groupBy("feature").agg(F.sum("r").alias("r_all"), F.sum("c").alias("c_all"))
-    joined = null_safe_join(bins, totals, ["feature"])
-    share = lambda n, total: F.greatest(F.col(n) / F.greatest(F.col(total), F.lit(1)), F.lit(fixed.SHARE_FLOOR))
-    r, c = share("r", "r_all"), share("c", "c_all")
-    index = joined.groupBy("feature").agg(F.sum((c - r) * F.log(c / r)).alias("psi"))
-    sides = counts.groupBy("feature").agg(F.sum("r").alias("r_rows"), F.sum("c").alias("c_rows"))
-    both = null_safe_join(sides, index, ["feature"], "left")
-    known = (F.col("r_rows") > 0) & (F.col("c_rows") > 0)
-    return both.select("feature", F.coalesce(F.when(known, F.col("psi")), F.lit(0.0)).alias("psi"))
+def psi(counts: DataFrame, edges: DataFrame, bins: int = BINS) -> DataFrame:
+    """Population stability index per feature."""
+    return numeric_facts(counts, edges, bins).select("feature", "psi")
 
 
 def feature_frame(spark, columns: list[str]) -> DataFrame:
     """One row per feature asked for, in order."""
-    rows = [(position, feature) for position, feature in enumerate(columns)]
-    return spark.createDataFrame(rows, "position int, feature string")
+    names = F.array(*[F.lit(c) for c in columns])
+    return spark.range(1).select(F.posexplode(names).alias("position", "feature"))
 
 
 def numeric_drift(
@@ -92,11 +105,9 @@ def numeric_drift(
     if approx:
         edges = approximate_edges(reference, columns, bins)
     else:
-        edges = quantile_edges(counts, bins, float_quantiles, slices)
-    mean = lambda n: F.coalesce(F.try_divide(F.sum(F.col("value") * F.col(n)), F.sum(n)), F.lit(0.0))
-    means = counts.groupBy("feature").agg(mean("r").alias("reference_mean"), mean("c").alias("current_mean"))
-    rows = null_safe_join(feature_frame(reference.sparkSession, columns), means, ["feature"], "left")
-    rows = null_safe_join(rows, psi(counts, edges), ["feature"], "left").fillna(
+        edges = quantile_edges(counts, bins, float_quantiles, slices, len(columns))
+    facts = numeric_facts(counts, edges, bins).select("feature", "reference_mean", "current_mean", "psi")
+    rows = null_safe_join(feature_frame(reference.sparkSession, columns), F.broadcast(facts), ["feature"], "left").fillna(
         0.0, ["reference_mean", "current_mean", "psi"]
     )
     shift = F.abs(F.col("current_mean") - F.col("reference_mean"))
@@ -112,7 +123,7 @@ def categorical_drift(reference: DataFrame, current: DataFrame, columns: list[st
     counts = value_counts(reference, current, columns, "string")
     totals = counts.groupBy("feature").agg(F.sum("r").alias("r_all"), F.sum("c").alias("c_all"))
     share = lambda n, total: F.coalesce(F.try_divide(F.col(n), F.col(total)), F.lit(0.0))
-    joined = null_safe_join(counts, totals, ["feature"])
+    joined = null_safe_join(counts, F.broadcast(totals), ["feature"])
     # The smallest value wins among equally frequent ones.
     top = lambda n: F.min(F.when(F.col(n) > 0, F.struct((-F.col(n)).alias("n"), F.col("value"))))["value"]
     measured = joined.groupBy("feature").agg(
@@ -123,7 +134,7 @@ def categorical_drift(reference: DataFrame, current: DataFrame, columns: list[st
             "new_category_rate"
         ),
     )
-    rows = null_safe_join(feature_frame(reference.sparkSession, columns), measured, ["feature"], "left")
+    rows = null_safe_join(feature_frame(reference.sparkSession, columns), F.broadcast(measured), ["feature"], "left")
     rows = rows.fillna(0.0, ["distribution_shift", "new_category_rate"]).fillna(
         fixed.MISSING_CATEGORY, ["reference_top", "current_top"]
     )

@@ -63,9 +63,12 @@ def score_counts(df: DataFrame, by: list[str], y: str, score: str, pred: str | N
     return df.where(usable).groupBy(*by, F.col(score).cast("double").alias("score")).agg(*columns)
 
 
-def cumulative_counts(counts: DataFrame, by: list[str], score: str = "score", slices: int = SLICES) -> DataFrame:
+def cumulative_counts(
+    counts: DataFrame, by: list[str], score: str = "score", slices: int = SLICES, groups: int | None = None
+) -> DataFrame:
     """Positives and negatives above each score, and at or above it, from the highest score down."""
-    running = running_totals(counts, by, score, ["pos", "neg"], ascending=False, slices=slices)
+    counted = [c for c in ("pos", "neg", "tp", "fp") if c in counts.columns]
+    running = running_totals(counts, by, score, ["pos", "neg"], ascending=False, slices=slices, counted=counted, groups=groups)
     return running.withColumns(
         {"cum_pos": F.col("pos_before") + F.col("pos"), "cum_neg": F.col("neg_before") + F.col("neg")}
     )
@@ -95,10 +98,12 @@ def roc_auc(df: DataFrame, y: str, score: str, by: list[str] = (), slices: int =
 
 
 def full_metrics(
-    df: DataFrame, y: str, score: str, pred: str, by: list[str] = (), weight: str | None = None, slices: int = SLICES
+    df: DataFrame, y: str, score: str, pred: str, by: list[str] = (), weight: str | None = None, slices: int = SLICES,
+    groups: int | None = None,
 ) -> DataFrame:
     """All six metrics per group, plus the confusion table, from one table of distinct scores."""
-    table = cumulative_counts(score_counts(df, list(by), y, score, pred, weight), list(by), slices=slices)
+    counts = score_counts(df, list(by), y, score, pred, weight)
+    table = cumulative_counts(counts, list(by), slices=slices, groups=groups)
     squares = F.col("pos") * F.pow(1 - F.col("score"), 2) + F.col("neg") * F.pow("score", 2)
     rows = F.sum(F.col("pos") + F.col("neg"))
     metrics = table.groupBy(*by).agg(

@@ -7,9 +7,11 @@ The cut points are the values with the smallest hashes: an even sample that is
 the same however often and in whatever order the rows are read.
 """
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from panelwise.frames import null_safe_join
+from panelwise.frames import null_safe_join, per_group
 
 SLICES = 64
 
@@ -22,44 +24,55 @@ def cut_points(counts: DataFrame, by: list[str], order: str, slices: int = SLICE
 
 
 def running_totals(
-    counts: DataFrame, by: list[str], order: str, measures: list[str], ascending: bool = True, slices: int = SLICES
+    counts: DataFrame, by: list[str], order: str, measures: list[str], ascending: bool = True, slices: int = SLICES,
+    counted: list[str] = (), groups: int | None = None,
 ) -> DataFrame:
-    """Add ``<measure>_before``: the measure's sum over the rows that come earlier in the group.
+    """Add ``<m>_before``, the measure's sum over the group's earlier rows, and ``<m>_all``, over all its rows.
 
-    ``counts`` holds one row per group and value of ``order``.
+    ``counts`` holds one row per group and value of ``order``; the measures are counts, never
+    negative. It is read for the cut points, the slice totals and the rows themselves: a filter
+    on all ``counted`` columns, true for every row, keeps the three readings the same table, so
+    that it is computed and shuffled once. ``groups`` is an upper bound on the number of groups,
+    if one is known.
     """
     keys = by or ["_all"]
+    groups = groups if by else 1
+    shared = list(counted) or measures
+    counts = counts.where(reduce(lambda a, b: a & b, [F.col(m) >= 0 for m in shared]))
     counts = counts.withColumns({} if by else {"_all": F.lit(1)})
-    sliced = null_safe_join(counts, cut_points(counts, keys, order, slices), keys, "left").withColumn(
-        "_slice", F.size(F.filter("_cuts", lambda cut: cut < F.col(order)))
+    sliced = null_safe_join(counts, per_group(cut_points(counts, keys, order, slices), groups), keys, "left").withColumn(
+        "_slice", F.expr(f"size(filter(_cuts, cut -> cut < `{order}`))")
     )
     sliced = sliced.drop("_cuts")
-    direction = (lambda c: F.col(c).asc()) if ascending else (lambda c: F.col(c).desc())
-    earlier_slices = W.partitionBy(*keys).orderBy(direction("_slice")).rowsBetween(W.unboundedPreceding, -1)
+    turn = (lambda c: F.col(c).asc()) if ascending else (lambda c: F.col(c).desc())
+    before = lambda keys, order, m: F.coalesce(
+        F.sum(m).over(W.partitionBy(*keys).orderBy(turn(order)).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
+    )
     totals = sliced.groupBy(*keys, "_slice").agg(*[F.sum(m).alias(m) for m in measures])
     offsets = totals.select(
-        *keys, "_slice", *[F.coalesce(F.sum(m).over(earlier_slices), F.lit(0)).alias(f"_{m}_offset") for m in measures]
+        *keys, "_slice",
+        *[before(keys, "_slice", m).alias(f"_{m}_offset") for m in measures],
+        *[F.sum(m).over(W.partitionBy(*keys)).alias(f"{m}_all") for m in measures],
     )
-    earlier_rows = W.partitionBy(*keys, "_slice").orderBy(direction(order)).rowsBetween(W.unboundedPreceding, -1)
-    joined = null_safe_join(sliced, offsets, keys + ["_slice"])
+    joined = null_safe_join(sliced, per_group(offsets, groups), keys + ["_slice"])
     return joined.select(
         *[c for c in counts.columns if c != "_all"],
-        *[
-            (F.col(f"_{m}_offset") + F.coalesce(F.sum(m).over(earlier_rows), F.lit(0))).alias(f"{m}_before")
-            for m in measures
-        ],
+        *[(F.col(f"_{m}_offset") + before(keys + ["_slice"], order, m)).alias(f"{m}_before") for m in measures],
+        *[f"{m}_all" for m in measures],
     )
 
 
-def row_numbers(df: DataFrame, by: list[str], order: str, name: str = "row_number", slices: int = SLICES) -> DataFrame:
+def row_numbers(
+    df: DataFrame, by: list[str], order: str, name: str = "row_number", slices: int = SLICES, groups: int | None = None
+) -> DataFrame:
     """Row number from 1 within each group by a key that is unique in the group."""
-    numbered = running_totals(df.withColumn("_one", F.lit(1).cast("long")), by, order, ["_one"], slices=slices)
-    return numbered.withColumn(name, F.col("_one_before") + 1).drop("_one", "_one_before")
+    numbered = running_totals(df.withColumn("_one", F.lit(1).cast("long")), by, order, ["_one"], slices=slices, groups=groups)
+    return numbered.withColumn(name, F.col("_one_before") + 1).drop("_one", "_one_before", "_one_all")
 
 
 def exact_quantiles(
     counts: DataFrame, by: list[str], value: str, n: str, bins: int = 10, float_quantiles: bool = False,
-    slices: int = SLICES,
+    slices: int = SLICES, counted: list[str] = (), groups: int | None = None,
 ) -> DataFrame:
     """Quantiles ``0, 1/bins .. 1`` per group with linear interpolation, as an array ``edges``.
 
@@ -68,28 +81,25 @@ def exact_quantiles(
     fractions of an evenly spaced float grid instead.
     """
     keys = by or ["_all"]
-    counts = counts.where((F.col(n) > 0) & F.col(value).isNotNull()).withColumns({} if by else {"_all": F.lit(1)})
-    ranked = running_totals(counts, keys, value, [n], slices=slices)
-    totals = counts.groupBy(*keys).agg(F.sum(n).cast("long").alias("_rows"))
-    placed = null_safe_join(ranked, totals, keys)
-    first, after = F.col(f"{n}_before"), F.col(f"{n}_before") + F.col(n)
-    steps = F.col("_rows") - 1
-    picks, edges = [], []
-    for i in range(bins + 1):
-        if float_quantiles:
-            position = steps * F.lit(1.0 if i == bins else i * (1.0 / bins))
-            low = F.floor(position).cast("long")
-            part = position - low
-        else:
-            low = F.expr(f"((_rows - 1) * {i}L) div {bins}")
-            part = (steps * i - low * bins) / F.lit(float(bins))
-        high = F.least(low + 1, steps)
-        holds = lambda rank: (first <= rank) & (rank < after)
-        picks += [
-            F.max(F.when(holds(low), F.col(value))).alias(f"_lo{i}"),
-            F.max(F.when(holds(high), F.col(value))).alias(f"_hi{i}"),
-            F.max(part).alias(f"_part{i}"),
-        ]
-        lo, hi, t = F.col(f"_lo{i}"), F.col(f"_hi{i}"), F.col(f"_part{i}")
-        edges.append(F.when(t < 0.5, lo + (hi - lo) * t).otherwise(hi - (hi - lo) * (1 - t)))
-    return placed.groupBy(*keys).agg(*picks).select(*by, F.array(*edges).alias("edges"))
+    groups = groups if by else 1
+    counts = counts.where(F.col(value).isNotNull()).withColumns({} if by else {"_all": F.lit(1)})
+    ranked = running_totals(counts, keys, value, [n], slices=slices, counted=counted, groups=groups).select(
+        *keys, F.col(value).alias("v"), F.col(f"{n}_before").alias("first"),
+        (F.col(f"{n}_before") + F.col(n)).alias("after"), F.col(f"{n}_all").alias("rows"),
+    )
+    if float_quantiles:
+        position = f"(rows - 1) * if(i = {bins}, 1D, i * {1.0 / bins!r}D)"
+        low, part = f"cast(floor({position}) as bigint)", f"({position} - floor({position}))"
+    else:
+        low = f"((rows - 1) * i div {bins})"
+        part = f"(((rows - 1) * i) % {bins} / {float(bins)}D)"
+    grid = f"sequence(0L, {bins}L)"
+    # Only rows at the wanted ranks or right after them: two per quantile at most.
+    wanted = ranked.where(F.expr(f"after > first AND exists({grid}, i -> {low} < after AND least({low} + 1, rows - 1) >= first)"))
+    points = wanted.groupBy(*keys).agg(
+        F.collect_list(F.struct("first", "after", "v")).alias("points"), F.max("rows").alias("rows")
+    )
+    at = lambda rank: f"filter(points, p -> p.first <= {rank} AND {rank} < p.after)[0].v"
+    lo, hi = at(low), at(f"least({low} + 1, rows - 1)")
+    edge = f"if({part} < 0.5D, {lo} + ({hi} - {lo}) * {part}, {hi} - ({hi} - {lo}) * (1 - {part}))"
+    return points.select(*by, F.expr(f"transform({grid}, i -> {edge})").alias("edges"))

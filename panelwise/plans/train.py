@@ -54,9 +54,9 @@ def labelled_frame(panel: DataFrame, s: PanelSettings) -> DataFrame:
     return labelled.select(*[F.col(c) if c in labelled.columns else F.lit(None).cast("double").alias(c) for c in s.model_columns])
 
 
-def metrics_of(scored: DataFrame, target: str, by: list[str]) -> dict:
+def metrics_of(scored: DataFrame, target: str, by: list[str], groups: int = 1) -> dict:
     """Six metrics per model in one aggregate: a handful of numbers."""
-    rows = full_metrics(scored, target, fixed.PROBABILITY, fixed.PREDICTION, by).collect()
+    rows = full_metrics(scored, target, fixed.PROBABILITY, fixed.PREDICTION, by, groups=groups).collect()
     return {tuple(row[b] for b in by): {name: row[name] for name in FULL} for row in rows}
 
 
@@ -96,7 +96,7 @@ def train_and_select(panel: DataFrame, s: PanelSettings = PanelSettings()) -> Tr
 
     frozen = [baseline_bundle(s.level, int(last)), *fit_candidates(train, s, int(last))]
     measured = metrics_of(score_all(frozen, validation, [s.target], s.level).withColumn(
-        s.target, F.col(s.target).cast("int")), s.target, ["model_id"])
+        s.target, F.col(s.target).cast("int")), s.target, ["model_id"], len(frozen))
     rows = [{"model_name": b.model_name, "strategy": b.strategy, "metrics": measured[(b.model_id,)]} for b in frozen]
     best = select_winner(rows)
     operational = [baseline_bundle(s.level), *fit_candidates(labelled, s)]
