@@ -1,5 +1,5 @@
 """All registered queries. Importing the modules registers them."""
 
-from panelwise.catalog import base, drifts, panels, scalars  # noqa: F401
+from panelwise.catalog import base, drifts, fits, panels, scalars, stores  # noqa: F401
 
 QUERIES, SQL = base.QUERIES, base.SQL

@@ -46,16 +46,16 @@ def ingest_file(store: Store, path: str, period: int | None = None) -> dict:
     })
 
 
-def bootstrap(store: Store, folder: str) -> list[dict]:
+def bootstrap(store: Store, folder: str, period: int | None = None) -> list[dict]:
     """Load a folder as if its files came one by one in name order, with one scan, one duplicate
     removal and one write for all of them."""
     spark = store.spark
     files = sniff(spark, list_csv(spark, folder))
     if not files:
         return []
-    rows = read_files(spark, files)
+    rows = read_files(spark, files, period)
     first_id = store.next_id("ingestion_runs")
-    periods = {f.name: period_of(f.name, f.header.fallback_period) for f in files}
+    periods = {f.name: period_of(f.name, f.header.fallback_period, period) for f in files}
     known = store.records().count()
     added = to_insert(rows, stored_keys(store, sorted(set(periods.values()))), store.entity, store.period)
     ids = spark.createDataFrame(

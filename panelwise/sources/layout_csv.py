@@ -85,9 +85,8 @@ def with_file_rows(df: DataFrame, splits: int) -> DataFrame:
     if splits <= BROADCAST_SPLITS:
         offsets = F.broadcast(offsets)
     joined = df.join(offsets, ["_file", "_block"])
-    return joined.withColumn("_row", F.col("_at") - F.col("_first") + F.col("_offset") + 1).drop(
-        "_block", "_at", "_first", "_offset"
-    )
+    kept = [c for c in df.columns if c not in ("_block", "_at")]
+    return joined.select(*kept, (F.col("_at") - F.col("_first") + F.col("_offset") + 1).alias("_row"))
 
 
 def read_raw(spark: SparkSession, files: list[FileFormat]) -> DataFrame:

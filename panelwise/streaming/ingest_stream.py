@@ -7,7 +7,9 @@ from panelwise.plans.ingest import ingest_file
 from panelwise.sources.store import Store
 
 
-def ingest_stream(store: Store, folder: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+def ingest_stream(
+    store: Store, folder: str, checkpoint: str, period: int | None = None, available_now: bool = True
+) -> StreamingQuery:
     """Insert-only by key, so a batch that runs again adds nothing and no watermark is needed.
 
     The stream carries file paths only; each file is then read in parallel by the batch reader.
@@ -23,7 +25,7 @@ def ingest_stream(store: Store, folder: str, checkpoint: str, available_now: boo
     def add(batch: DataFrame, batch_id: int) -> None:
         names = batch.select("path").distinct().orderBy(F.substring_index("path", "/", -1))
         for row in names.toLocalIterator():
-            ingest_file(store, row.path)
+            ingest_file(store, row.path, period)
 
     writer = paths.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
