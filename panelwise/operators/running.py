@@ -56,7 +56,7 @@ def running_totals(
     )
     joined = null_safe_join(sliced, per_group(offsets, groups), keys + ["_slice"])
     return joined.select(
-        *[c for c in counts.columns if c != "_all"],
+        *[c for c in counts.columns if by or c != "_all"],
         *[(F.col(f"_{m}_offset") + before(keys + ["_slice"], order, m)).alias(f"{m}_before") for m in measures],
         *[f"{m}_all" for m in measures],
     )
