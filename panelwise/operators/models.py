@@ -9,7 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from panelwise import fixed
-from panelwise.functions.risk import decide, missing_flag
+from panelwise.functions.risk import baseline_predict, decide, missing_flag
 from panelwise.functions.text import category
 
 MISSING_NUMBER = -1.0
@@ -154,10 +154,25 @@ def forest(sizes: TreeSizes, label: str) -> RandomForestClassifier:
     )
 
 
+def fit_encoder(df: DataFrame, features: Features) -> PipelineModel:
+    """Learn the category levels, once for all models with the same features."""
+    return Pipeline(stages=feature_stages(features)).fit(prepared(df, features))
+
+
+def encode(df: DataFrame, features: Features, encoder: PipelineModel, label: str, counts: dict[int, int]) -> DataFrame:
+    """Label, weight and feature vector."""
+    rows = prepared(df, features, [label]).withColumn(WEIGHT, balanced_weight(label, counts))
+    return encoder.transform(rows).select(label, WEIGHT, "features")
+
+
+def fit_on(encoded: DataFrame, encoder: PipelineModel, estimator: Estimator) -> PipelineModel:
+    return PipelineModel(stages=[*encoder.stages, estimator.fit(encoded)])
+
+
 def fit(df: DataFrame, features: Features, estimator: Estimator, label: str, counts: dict[int, int]) -> PipelineModel:
     """Fit the feature stages and the estimator on labelled rows."""
-    rows = prepared(df, features, [label]).withColumn(WEIGHT, balanced_weight(label, counts))
-    return Pipeline(stages=[*feature_stages(features), estimator]).fit(rows)
+    encoder = fit_encoder(df, features)
+    return fit_on(encode(df, features, encoder, label, counts), encoder, estimator)
 
 
 def probability_of(model: PipelineModel, df: DataFrame, features: Features, keep: list[str], name: str) -> DataFrame:
@@ -169,12 +184,17 @@ def probability_of(model: PipelineModel, df: DataFrame, features: Features, keep
     return scored.select(*[F.col(h).alias(c) for c, h in held.items()], vector_to_array("probability")[1].alias(name))
 
 
+def baseline_probability(df: DataFrame, level: str) -> Column:
+    """The rule as a score: 1 when the level is low; an unknown or absent level counts as not low."""
+    low = baseline_predict(F.col(level).cast("double")) if level in df.columns else F.lit(0)
+    return low.cast("double")
+
+
 def score_frame(bundle: Bundle, df: DataFrame, keep: list[str], level: str = "defasagem",
                 probability: str = fixed.PROBABILITY, prediction: str = fixed.PREDICTION) -> DataFrame:
     """Kept columns, decision, probability, threshold, model and strategy."""
     if bundle.kind == "baseline":
-        low = F.coalesce(F.col(level).cast("double") < 0, F.lit(False)) if level in df.columns else F.lit(False)
-        scored = df.select(*keep, low.cast("double").alias(probability))
+        scored = df.select(*keep, baseline_probability(df, level).alias(probability))
     else:
         scored = probability_of(bundle.model, df, bundle.features, keep, probability)
     return scored.select(
@@ -185,12 +205,25 @@ def score_frame(bundle: Bundle, df: DataFrame, keep: list[str], level: str = "de
 
 
 def score_all(bundles: list[Bundle], df: DataFrame, keep: list[str], level: str = "defasagem") -> DataFrame:
-    """The batch scored by every bundle, with the model id, as one lazy frame."""
-    frames = [score_frame(b, df, keep, level).withColumn("model_id", F.lit(b.model_id)) for b in bundles]
-    united = frames[0]
-    for frame in frames[1:]:
-        united = united.unionByName(frame)
-    return united
+    """The batch scored by every bundle, one row per batch row and model, in a single pass over the batch."""
+    wanted = {*keep, level, *[c for b in bundles for c in b.features.columns]}
+    scored = df.select(*[c for c in df.columns if c in wanted])
+    for i, b in enumerate(bundles):
+        name = f"_probability_{i}"
+        if b.kind == "baseline":
+            scored = scored.withColumn(name, baseline_probability(scored, level))
+        else:
+            scored = probability_of(b.model, scored, b.features, scored.columns, name)
+    per_model = F.array(*[
+        F.struct(
+            F.col(f"_probability_{i}").alias(fixed.PROBABILITY), F.lit(b.threshold).alias("threshold"),
+            F.lit(b.model_name).alias(fixed.MODEL_USED), F.lit(b.strategy).alias(fixed.STRATEGY_USED),
+            F.lit(b.model_id).alias("model_id"),
+        )
+        for i, b in enumerate(bundles)
+    ])
+    rows = scored.select(*keep, F.inline(per_model))
+    return rows.withColumn(fixed.PREDICTION, (F.col(fixed.PROBABILITY) >= F.col("threshold")).cast("int"))
 
 
 def encoded_importances(model: PipelineModel, features: Features, df: DataFrame) -> DataFrame:

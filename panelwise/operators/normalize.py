@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from panelwise import fixed
-from panelwise.frames import null_safe_join
+from panelwise.frames import null_safe_join, per_group
 from panelwise.functions.text import ascii_label, infer_period, null_tokens, parse_bool, parse_number
 
 
@@ -111,14 +111,17 @@ def typed(df: DataFrame, schema: T.StructType = fixed.CANONICAL) -> DataFrame:
     })
 
 
-def fallback_if_all_null(df: DataFrame, target: str, source: str, by: list[str], when: Column | None = None) -> DataFrame:
+def fallback_if_all_null(
+    df: DataFrame, target: str, source: str, by: list[str], when: Column | None = None, groups: int | None = None
+) -> DataFrame:
     """Fill ``target`` from ``source`` in every group where ``target`` has no value at all.
 
-    The group fact is aggregated and joined back, so a large file is not pulled into one task.
+    The group fact is aggregated and joined back, so a large file is not pulled into one task;
+    ``groups`` is a known bound on the number of groups.
     """
     applies = F.lit(True) if when is None else when
     empty = df.groupBy(*by).agg((F.count(target) == 0).alias("_empty"))
-    joined = null_safe_join(df, empty, by, "left")
+    joined = null_safe_join(df, per_group(empty, groups), by, "left")
     filled = F.when(F.col("_empty") & applies, F.col(source)).otherwise(F.col(target))
     return joined.withColumn(target, filled).drop("_empty")
 
@@ -135,19 +138,23 @@ def stamp(df: DataFrame, layout: str, fallback_period: int, period: int | None,
 
 def normalize(
     raw: DataFrame, header: Header, file_name: str, row_number: str, period: int | None = None,
-    fallbacks=fixed.WHOLE_FILE_FALLBACK, schema: T.StructType = fixed.CANONICAL,
+    fallbacks=fixed.WHOLE_FILE_FALLBACK, schema: T.StructType = fixed.CANONICAL, files: int | None = None,
+    years: set[int] | None = None,
 ) -> DataFrame:
-    """Canonical rows of files that share a header. ``raw`` is all text in file order plus the two named columns."""
+    """Canonical rows of files that share a header. ``raw`` is all text in file order plus the two named columns.
+
+    ``files`` is their number and ``years`` their periods, where known: fallbacks of other years are left out.
+    """
     named = dedupe_columns(raw, header.names)
     named = named.withColumns({c: null_tokens(c) for c in set(header.names)})
     rows = typed(stamp(named, header.layout, header.fallback_period, period, file_name, row_number), schema)
     for year, (target, source) in fallbacks.items():
-        if source not in rows.columns:
+        if source not in rows.columns or (years is not None and year not in years):
             continue
         if target not in rows.columns:
             rows = rows.withColumn(target, F.when(F.col("ano_referencia") == year, F.col(source)))
         else:
-            rows = fallback_if_all_null(rows, target, source, ["source_file"], F.col("ano_referencia") == year)
+            rows = fallback_if_all_null(rows, target, source, ["source_file"], F.col("ano_referencia") == year, files)
     return conform(rows, schema)
 
 

@@ -59,7 +59,8 @@ def categorical_breakdown(df: DataFrame, columns: list[str], n: int = 5) -> Data
     counts = long.groupBy(*groups, "category").agg(F.count("*").alias("n"))
     totals = counts.groupBy(*groups).agg(F.sum("n").alias("total"))
     top = top_n_per_group(counts, groups, [F.col("n").desc(), F.col("category")], n, "rank")
-    return null_safe_join(top, totals, groups).select(
+    # At most two kinds of error per column.
+    return null_safe_join(top, F.broadcast(totals), groups).select(
         *groups, "rank", "category", (F.col("n") / F.col("total")).alias("share")
     )
 
@@ -94,7 +95,9 @@ def actionable(importances: DataFrame, summary: DataFrame, scenario: str, action
     actions = action_frame(importances.sparkSession) if actions is None else actions
     delta = "false_negative_minus_correct" if scenario == "entry" else "false_positive_minus_correct"
     deltas = summary.select("feature", F.col(delta).alias("comparison_delta"))
-    rows = null_safe_join(null_safe_join(importances, actions, ["feature"]), deltas, ["feature"], "left")
+    # All three have one row per feature.
+    known = null_safe_join(importances, F.broadcast(actions), ["feature"])
+    rows = null_safe_join(known, F.broadcast(deltas), ["feature"], "left")
     direction, interpretation = signal_direction("comparison_delta", F.col("higher_is_better"), scenario)
     return rows.select(
         F.lit(scenario).alias("scenario"), "feature", "label", "importance",

@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
+from panelwise.frames import per_group
 from panelwise.operators.consolidate import data_status, ingest_summary, to_insert
 from panelwise.operators.normalize import conform, period_of
 from panelwise.operators.runs import latest
@@ -61,8 +62,8 @@ def bootstrap(store: Store, folder: str, period: int | None = None) -> list[dict
     ids = spark.createDataFrame(
         [(f.name, first_id + i) for i, f in enumerate(files)], "source_file string, ingestion_run_id long"
     )
-    stamped = added.join(ids, "source_file").select(*store.schema.names, "ingestion_run_id")
-    stamped.write.mode("append").partitionBy(store.period).parquet(store.path("records"))
+    stamped = added.join(per_group(ids, len(files)), "source_file").select(*store.schema.names, "ingestion_run_id")
+    store.write_records(stamped)
     mine = store.records().where(F.col("ingestion_run_id") >= first_id)
     counted = {r.source_file: r for r in ingest_summary(rows, mine, ["source_file"]).collect()}
     runs = []

@@ -10,7 +10,8 @@ from panelwise.frames import materialize
 from panelwise.functions.risk import baseline_predict
 from panelwise.operators.metrics import FULL, full_metrics
 from panelwise.operators.models import (
-    Bundle, baseline_bundle, candidates, class_counts, coerce_features, encoded_importances, fit, forest,
+    Bundle, baseline_bundle, candidates, class_counts, coerce_features, encode, encoded_importances, fit,
+    fit_encoder, fit_on, forest,
     probability_of, score_all, with_missing_flag,
 )
 from panelwise.operators.panel import labelled_panel, segments
@@ -66,12 +67,14 @@ def fit_candidates(df: DataFrame, s: PanelSettings, validation_period: int | Non
     if len(counts) < 2:
         raise ModelingError("the training rows hold only one class")
     estimators = candidates(s.sizes, s.target, sum(counts.values()))
-    tasks = [(strategy, features, name) for strategy, features in s.strategies.items() for name in s.models]
+    encoders = {strategy: fit_encoder(df, features) for strategy, features in s.strategies.items()}
+    encoded = {strategy: encode(df, s.strategies[strategy], e, s.target, counts) for strategy, e in encoders.items()}
+    tasks = [(strategy, name) for strategy in s.strategies for name in s.models]
 
     def run(task) -> Bundle:
-        strategy, features, name = task
-        model = fit(df, features, estimators[name], s.target, counts)
-        return Bundle(name, strategy, features, model, validation_period=validation_period)
+        strategy, name = task
+        model = fit_on(encoded[strategy], encoders[strategy], estimators[name])
+        return Bundle(name, strategy, s.strategies[strategy], model, validation_period=validation_period)
 
     with ThreadPoolExecutor(max(1, s.parallelism)) as pool:
         return list(pool.map(run, tasks))

@@ -118,7 +118,11 @@ def read_files(spark: SparkSession, files: list[FileFormat], period: int | None
         key = (file.header.layout, file.header.names, file.encoding, file.separator, file.multi_line)
         groups.setdefault(key, []).append(file)
     return union_all([
-        normalize(read_raw(spark, group), group[0].header, "_file", "_row", period) for group in groups.values()
+        normalize(
+            read_raw(spark, group), group[0].header, "_file", "_row", period, files=len(group),
+            years={period_of(file.name, file.header.fallback_period, period) for file in group},
+        )
+        for group in groups.values()
     ])
 
 

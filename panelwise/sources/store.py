@@ -90,7 +90,12 @@ class Store:
             stamped = stamped.withColumn("ingestion_run_id", F.lit(run_id).cast("long"))
         else:
             stamped = stamped.withColumn("ingestion_run_id", F.lit(None).cast("long"))
-        stamped.write.mode("append").partitionBy(self.period).parquet(self.path("records"))
+        self.write_records(stamped)
+
+    def write_records(self, stamped: DataFrame) -> None:
+        """Files of even size per period: a large period is split, small pieces are put together."""
+        even = stamped.hint("rebalance", self.period)
+        even.write.mode("append").partitionBy(self.period).parquet(self.path("records"))
 
     def load_consolidated(self) -> DataFrame:
         """Canonical columns in order, by period and entity."""
