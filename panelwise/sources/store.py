@@ -1,5 +1,6 @@
 """The consolidated table and the run tables, as Parquet folders under one root."""
 
+import time
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -152,11 +153,14 @@ class Store:
 
     # --- events ---
     def record_event(self, level: str, logger: str, message: str, context: dict | None = None) -> None:
-        """Log an event; a failure to log never stops the work that is logged."""
+        """Log an event; a failure to log never stops the work that is logged.
+
+        Event ids are microseconds, so that writing one does not read the log.
+        """
         try:
             text = {k: None if v is None else str(v) for k, v in (context or {}).items()}
             self.append_run("app_events", {
-                "id": self.next_id("app_events"), "level": level, "logger": logger, "message": message, "context": text,
+                "id": time.time_ns() // 1000, "level": level, "logger": logger, "message": message, "context": text,
             })
         except Exception:
             pass
