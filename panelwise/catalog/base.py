@@ -9,7 +9,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelwise.operators.panel import labelled_panel
-from panelwise.operators.ranking import mode_per_group
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -64,14 +63,21 @@ def customer_kinds(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def full_panel(spark: SparkSession, folder: str) -> DataFrame:
-    """The panel with the customer's segment and nation and the year's usual order priority."""
-    orders = table(spark, folder, "orders").select(
+    """The panel with the customer's segment and nation and the year's usual order priority.
+
+    Orders are read once: counted per priority first, then put together per customer and year.
+    """
+    price, n = F.col("o_totalprice"), F.col("n")
+    by_priority = table(spark, folder, "orders").groupBy(
         F.col("o_custkey").alias("entity"), F.year("o_orderdate").alias("period"), F.col("o_orderpriority").alias("priority")
+    ).agg(F.count("*").alias("n"), F.sum(price).alias("total"), F.min(price).alias("low"), F.max(price).alias("high"))
+    mean = F.sum("total") / F.sum("n")
+    panel = by_priority.groupBy("entity", "period").agg(
+        (mean - 250000).alias("level"), F.sum("n").cast("double").alias("n_orders"), mean.alias("avg_price"),
+        F.min("low").alias("min_price"), F.max("high").alias("max_price"), (F.floor(mean / 5000) / 100).alias("rule_score"),
+        F.min(F.struct((-n).alias("n"), F.col("priority").alias("v")))["v"].alias("priority"),
     )
-    usual = mode_per_group(orders, ["entity", "period"], "priority")
-    return order_panel(spark, folder).join(usual, ["entity", "period"], "left").join(
-        customer_kinds(spark, folder), "entity", "left"
-    )
+    return panel.join(customer_kinds(spark, folder), "entity", "left")
 
 
 def labelled(spark: SparkSession, folder: str) -> DataFrame:

@@ -57,10 +57,10 @@ def categorical_breakdown(df: DataFrame, columns: list[str], n: int = 5) -> Data
     long = unpivot(wrong, ["error_type"], present, "string").withColumn("category", category("value"))
     groups = ["error_type", "feature"]
     counts = long.groupBy(*groups, "category").agg(F.count("*").alias("n"))
-    totals = counts.groupBy(*groups).agg(F.sum("n").alias("total"))
+    # Every row has one category per column, so the total is the same for all columns: two numbers.
+    totals = wrong.groupBy("error_type").agg(F.count("*").alias("total"))
     top = top_n_per_group(counts, groups, [F.col("n").desc(), F.col("category")], n, "rank")
-    # At most two kinds of error per column.
-    return null_safe_join(top, F.broadcast(totals), groups).select(
+    return top.join(F.broadcast(totals), "error_type").select(
         *groups, "rank", "category", (F.col("n") / F.col("total")).alias("share")
     )
 
