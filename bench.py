@@ -41,7 +41,7 @@ def main() -> None:
         seconds[name] = round(time.time() - start, 3)
     print(json.dumps({
         "metric": "total_query_seconds", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds,
-        "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf"),
+        "sf": float(os.path.basename(folder.rstrip("/")).removeprefix("sf") or 0),
     }))
 
 

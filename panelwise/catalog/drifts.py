@@ -72,7 +72,13 @@ def a15(spark, folder):
     return rounded(drift.psi(counts, drift.quantile_edges(counts)), "psi")
 
 
-@query("a15_psi_float_grid")
+FLOAT_GRID = EDGES.replace(
+    "[0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]",
+    "[0e0, 1e-1, 2e-1, 3.0000000000000004e-1, 4e-1, 5e-1, 6.000000000000001e-1, 7.000000000000001e-1, 8e-1, 9e-1, 1e0]",
+)
+
+
+@query("a15_psi_float_grid", f"WITH {PRICE_LONG}, {FLOAT_GRID}, {BINNED}, {PSI} SELECT feature, round(psi, 6) AS psi FROM psi")
 def a15_float(spark, folder):
     counts = drift.value_counts(*price_sides(spark, folder), ["price"], "double")
     return rounded(drift.psi(counts, drift.quantile_edges(counts, float_quantiles=True)), "psi")

@@ -137,6 +137,12 @@ def normalized_name(file_name: Column | str, period: Column | str) -> Column:
     return F.concat(file_stem(file_name), F.lit("__normalized_"), col(period).cast("string"), F.lit(".csv"))
 
 
+def normalized_file_name(file_name: str, period: int) -> str:
+    """The same name for one file, known on the driver."""
+    stem, dot, _ = file_name.rpartition(".")
+    return f"{stem if dot and stem else file_name}__normalized_{period}.csv"
+
+
 def model_id(name: Column | str, strategy: Column | str) -> Column:
     return F.concat(col(name), F.lit(fixed.MODEL_ID_SEPARATOR), col(strategy))
 

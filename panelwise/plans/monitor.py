@@ -12,7 +12,9 @@ from panelwise.plans.evaluate import CandidateEvaluation, PairEvaluation, batch_
 from panelwise.plans.predict import predict
 from panelwise.plans.settings import PanelSettings
 from panelwise.plans.train import Training, fit_segments, residual_analysis, train_and_select
-from panelwise.sources.exports import export_per_model
+from panelwise.functions.text import normalized_file_name
+from panelwise.sources.exports import export_csv, export_json, export_per_model
+from panelwise.sources.layout_csv import LayoutFile
 from panelwise.sources.model_store import load_model, load_models, resolve_model, save_models
 from panelwise.sources.store import Store
 
@@ -148,6 +150,24 @@ def monitor_drift(store: Store, batch: DataFrame, about: dict, s: PanelSettings
     return run_id, store.latest_run("drift_runs")
 
 
+# --- exports ---
+REPORT_TABLES = ("training_runs", "baseline_analysis_runs", "transition_score_runs", "drift_runs")
+
+
+def export_reports(store: Store, folder: str) -> list[str]:
+    """The latest report of each kind as JSON, and the rows of the latest evaluation as CSV."""
+    paths = [export_json(store.latest_run(table), f"{folder}/{table}") for table in REPORT_TABLES]
+    run = store.latest_run("evaluation_runs").first()
+    if run is not None:
+        paths.append(export_csv(store.load_evaluation(run.id, run.selected_model_id), f"{folder}/latest_evaluation"))
+    return paths
+
+
+def export_normalized(file: LayoutFile, folder: str) -> str:
+    """The canonical rows of a file as CSV, named after the file and its period."""
+    return export_csv(file.rows, f"{folder}/{normalized_file_name(file.name, file.period)}")
+
+
 # --- reports -----------------------------------------------------------------
 def candidate_comparison(store: Store) -> DataFrame:
     """Candidates of the last training with id and best flag."""

@@ -159,6 +159,16 @@ def test_period_filter_prunes_folders(spark, store):
     assert "PartitionFilters: [isnotnull(ano_referencia" in plan and "ReadSchema: struct<ra:string>" in plan
 
 
+def test_normalized_export(spark, tmp_path):
+    from panelwise.plans.monitor import export_normalized
+
+    file = read_layout_csv(spark, write(tmp_path, "lote.a_2022.csv", fixtures.CSV_2022))
+    path = export_normalized(file, str(tmp_path / "out"))
+    assert path.endswith("/lote.a_2022__normalized_2022.csv")
+    row = spark.read.csv(path, header=True).first()
+    assert len(row) == 56 and (row.ra, row.inde_atual, row.escola) == ("RA-1", "5.783", None)
+
+
 def test_exports(spark, tmp_path):
     frame = spark.createDataFrame([("m__a", 1, None), ("m__b", 2, "é")], "model_id string, n int, t string")
     assert spark.read.csv(export_csv(frame, str(tmp_path / "c")), header=True).count() == 2

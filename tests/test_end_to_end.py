@@ -125,6 +125,14 @@ def test_drift_run_and_reports(spark, trained):
     assert monitor.actionable_insights(store).count() == 0
 
 
+def test_report_exports(spark, trained, tmp_path):
+    store, result = trained
+    paths = monitor.export_reports(store, str(tmp_path))
+    found = spark.read.json(paths[0]).first()
+    assert found.selected_model == result.winner.model_name and len(found.candidates) == 7
+    assert spark.read.json(paths[1]).first().error_counts.correct == 4
+
+
 def test_empty_store_reports(spark, tmp_path):
     report = monitor.overview_report(Store(spark, str(tmp_path / "none"))).first()
     assert (report.rows, report.candidate_count, report.drift_alert_count, report.selected_model) == (0, 0, 0, None)
