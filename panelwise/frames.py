@@ -57,13 +57,14 @@ def literal_map(pairs: dict) -> Column:
     return F.create_map(*[F.lit(part) for pair in pairs.items() for part in pair])
 
 
-# Up to this many groups, one small row each (64 numbers at most), a per-group table is sent to every task.
-BROADCAST_GROUPS = 50_000
+# Up to this many rows (or array entries) of a few numbers each, a per-group table is sent to every task.
+BROADCAST_ROWS = 1_000_000
 
 
-def per_group(df: DataFrame, groups: int | None) -> DataFrame:
-    """A per-group table, marked for broadcast only when its number of groups is known and small.
+def per_group(df: DataFrame, groups: int | None, each: int = 1) -> DataFrame:
+    """A per-group table, marked for broadcast only when its size is known and small.
 
-    Without a known bound the join is left to the sizes Spark measures at run time.
+    ``groups`` is an upper bound on the groups, ``each`` on the entries per group. Without a known
+    bound the join is left to the sizes Spark measures at run time.
     """
-    return F.broadcast(df) if groups is not None and groups <= BROADCAST_GROUPS else df
+    return F.broadcast(df) if groups is not None and groups * each <= BROADCAST_ROWS else df

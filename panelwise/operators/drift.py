@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from panelwise import fixed
 from panelwise.frames import null_safe_join, unpivot
 from panelwise.functions.text import category
-from panelwise.operators.running import SLICES, exact_quantiles
+from panelwise.operators.running import exact_quantiles
 
 BINS = 10
 
@@ -33,7 +33,7 @@ def value_counts(reference: DataFrame, current: DataFrame, columns: list[str], k
 
 
 def quantile_edges(
-    counts: DataFrame, bins: int = BINS, float_quantiles: bool = False, slices: int = SLICES, features: int = 1000
+    counts: DataFrame, bins: int = BINS, float_quantiles: bool = False, slices: int | None = None, features: int = 1000
 ) -> DataFrame:
     """Distinct quantile edges of the reference side per feature."""
     edges = exact_quantiles(counts, ["feature"], "value", "r", bins, float_quantiles, slices, counted=["r", "c"], groups=features)
@@ -98,7 +98,7 @@ def feature_frame(spark, columns: list[str]) -> DataFrame:
 
 def numeric_drift(
     reference: DataFrame, current: DataFrame, columns: list[str], bins: int = BINS, approx: bool = False,
-    float_quantiles: bool = False, slices: int = SLICES,
+    float_quantiles: bool = False, slices: int | None = None,
 ) -> DataFrame:
     """Means, PSI and alert per numeric feature. A side without values has mean 0."""
     counts = value_counts(reference, current, columns, "double")

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from panelwise.functions.text import col
-from panelwise.operators.running import SLICES, running_totals
+from panelwise.operators.running import running_totals
 
 FULL = ["f2", "recall", "precision", "pr_auc", "roc_auc", "brier"]
 
@@ -64,7 +64,7 @@ def score_counts(df: DataFrame, by: list[str], y: str, score: str, pred: str | N
 
 
 def cumulative_counts(
-    counts: DataFrame, by: list[str], score: str = "score", slices: int = SLICES, groups: int | None = None
+    counts: DataFrame, by: list[str], score: str = "score", slices: int | None = None, groups: int | None = None
 ) -> DataFrame:
     """Positives and negatives above each score, and at or above it, from the highest score down."""
     counted = [c for c in ("pos", "neg", "tp", "fp") if c in counts.columns]
@@ -87,18 +87,18 @@ def ranking_columns() -> dict[str, Column]:
     }
 
 
-def average_precision(df: DataFrame, y: str, score: str, by: list[str] = (), slices: int = SLICES) -> DataFrame:
+def average_precision(df: DataFrame, y: str, score: str, by: list[str] = (), slices: int | None = None) -> DataFrame:
     table = cumulative_counts(score_counts(df, list(by), y, score), list(by), slices=slices)
     return table.groupBy(*by).agg(ranking_columns()["pr_auc"].alias("pr_auc"))
 
 
-def roc_auc(df: DataFrame, y: str, score: str, by: list[str] = (), slices: int = SLICES) -> DataFrame:
+def roc_auc(df: DataFrame, y: str, score: str, by: list[str] = (), slices: int | None = None) -> DataFrame:
     table = cumulative_counts(score_counts(df, list(by), y, score), list(by), slices=slices)
     return table.groupBy(*by).agg(ranking_columns()["roc_auc"].alias("roc_auc"))
 
 
 def full_metrics(
-    df: DataFrame, y: str, score: str, pred: str, by: list[str] = (), weight: str | None = None, slices: int = SLICES,
+    df: DataFrame, y: str, score: str, pred: str, by: list[str] = (), weight: str | None = None, slices: int | None = None,
     groups: int | None = None,
 ) -> DataFrame:
     """All six metrics per group, plus the confusion table, from one table of distinct scores."""

@@ -3,29 +3,47 @@
 A running total over one group would put the whole group into one task. Here
 the group is cut into slices of neighbouring values, the slices' totals are
 summed first, and every slice is finished on its own with its starting offset.
-The cut points are the values with the smallest hashes: an even sample that is
-the same however often and in whatever order the rows are read.
+The cut points are chosen by the values' hashes: an even sample that is the
+same however often and in whatever order the rows are read.
 """
 
 from functools import reduce
+from math import isqrt
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from panelwise.frames import null_safe_join, per_group
 
-SLICES = 64
+MIN_SLICES = 64
 
 
-def cut_points(counts: DataFrame, by: list[str], order: str, slices: int = SLICES) -> DataFrame:
-    """At most ``slices - 1`` sorted cut values per group."""
-    by_hash = W.partitionBy(*by).orderBy(F.xxhash64(F.col(order)), order)
-    picked = counts.select(*by, order, F.row_number().over(by_hash).alias("_n")).where(F.col("_n") < slices)
-    return picked.groupBy(*by).agg(F.array_sort(F.collect_list(order)).alias("_cuts"))
+def slice_count(df: DataFrame, slices: int | None) -> int:
+    """As many slices as the session shuffles into, unless a number is asked for."""
+    return slices or max(MIN_SLICES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def cut_points(counts: DataFrame, by: list[str], order: str, slices: int) -> DataFrame:
+    """About ``slices`` sorted cut values per group, and every so many of them as a coarse list.
+
+    In each of ``slices`` hash classes the value with the smallest hash is taken: a plain partial and
+    final aggregate.
+    """
+    hashed = counts.select(*by, order, F.xxhash64(F.col(order)).alias("_hash"))
+    picked = hashed.groupBy(*by, F.pmod("_hash", F.lit(slices)).alias("_class")).agg(F.min_by(order, "_hash").alias("_cut"))
+    cuts = picked.groupBy(*by).agg(F.array_sort(F.collect_list("_cut")).alias("_cuts"))
+    return cuts.withColumn("_coarse", F.expr(f"filter(_cuts, (cut, i) -> (i + 1) % {isqrt(slices)} = 0)"))
+
+
+def slice_index(order: str, slices: int):
+    """Number of cuts below the value, looked up in the coarse list and then in one stretch of the fine one."""
+    stride = isqrt(slices)
+    coarse = f"size(filter(_coarse, cut -> cut < `{order}`)) * {stride}"
+    return F.expr(f"{coarse} + size(filter(slice(_cuts, {coarse} + 1, {stride}), cut -> cut < `{order}`))")
 
 
 def running_totals(
-    counts: DataFrame, by: list[str], order: str, measures: list[str], ascending: bool = True, slices: int = SLICES,
-    counted: list[str] = (), groups: int | None = None,
+    counts: DataFrame, by: list[str], order: str, measures: list[str], ascending: bool = True,
+    slices: int | None = None, counted: list[str] = (), groups: int | None = None,
 ) -> DataFrame:
     """Add ``<m>_before``, the measure's sum over the group's earlier rows, and ``<m>_all``, over all its rows.
 
@@ -36,14 +54,14 @@ def running_totals(
     if one is known.
     """
     keys = by or ["_all"]
-    groups = groups if by else 1
+    groups, slices = groups if by else 1, slice_count(counts, slices)
     shared = list(counted) or measures
     counts = counts.where(reduce(lambda a, b: a & b, [F.col(m) >= 0 for m in shared]))
     counts = counts.withColumns({} if by else {"_all": F.lit(1)})
-    sliced = null_safe_join(counts, per_group(cut_points(counts, keys, order, slices), groups), keys, "left").withColumn(
-        "_slice", F.expr(f"size(filter(_cuts, cut -> cut < `{order}`))")
+    sliced = null_safe_join(counts, per_group(cut_points(counts, keys, order, slices), groups, slices), keys).withColumn(
+        "_slice", slice_index(order, slices)
     )
-    sliced = sliced.drop("_cuts")
+    sliced = sliced.drop("_cuts", "_coarse")
     turn = (lambda c: F.col(c).asc()) if ascending else (lambda c: F.col(c).desc())
     before = lambda keys, order, m: F.coalesce(
         F.sum(m).over(W.partitionBy(*keys).orderBy(turn(order)).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
@@ -54,7 +72,7 @@ def running_totals(
         *[before(keys, "_slice", m).alias(f"_{m}_offset") for m in measures],
         *[F.sum(m).over(W.partitionBy(*keys)).alias(f"{m}_all") for m in measures],
     )
-    joined = null_safe_join(sliced, per_group(offsets, groups), keys + ["_slice"])
+    joined = null_safe_join(sliced, per_group(offsets, groups, slices), keys + ["_slice"])
     return joined.select(
         *[c for c in counts.columns if by or c != "_all"],
         *[(F.col(f"_{m}_offset") + before(keys + ["_slice"], order, m)).alias(f"{m}_before") for m in measures],
@@ -63,7 +81,7 @@ def running_totals(
 
 
 def row_numbers(
-    df: DataFrame, by: list[str], order: str, name: str = "row_number", slices: int = SLICES, groups: int | None = None
+    df: DataFrame, by: list[str], order: str, name: str = "row_number", slices: int | None = None, groups: int | None = None
 ) -> DataFrame:
     """Row number from 1 within each group by a key that is unique in the group."""
     numbered = running_totals(df.withColumn("_one", F.lit(1).cast("long")), by, order, ["_one"], slices=slices, groups=groups)
@@ -72,7 +90,7 @@ def row_numbers(
 
 def exact_quantiles(
     counts: DataFrame, by: list[str], value: str, n: str, bins: int = 10, float_quantiles: bool = False,
-    slices: int = SLICES, counted: list[str] = (), groups: int | None = None,
+    slices: int | None = None, counted: list[str] = (), groups: int | None = None,
 ) -> DataFrame:
     """Quantiles ``0, 1/bins .. 1`` per group with linear interpolation, as an array ``edges``.
 
