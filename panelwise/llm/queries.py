@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelwise.llm import packing
+from panelwise.llm import elias_fano, packing
 from panelwise.llm.base import QUERIES, SQL, query, table  # noqa: F401
 from panelwise.llm.tokens import public_file
 
@@ -12,3 +12,8 @@ from panelwise.llm.tokens import public_file
 @query("op1_harmonic_packing")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), public_file("byte_bpe_50k.json"))
+
+
+@query("op2_elias_fano_tokens")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return elias_fano.round_trip(spark, table(spark, folder, "documents"), public_file("word_bpe_49k.json"))
