@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import os
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -16,9 +18,25 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the package to the executors, once an application, in case it is not installed there."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        context.addFile(os.path.dirname(os.path.abspath(frames.__file__)), recursive=True)
+        _SHIPPED.add(context.applicationId)
+
+
 def query(name: str, sql: str | None = None):
     def register(function: Query) -> Query:
-        QUERIES[name] = function
+        @functools.wraps(function)
+        def shipped(spark: SparkSession, folder: str) -> DataFrame:
+            ship(spark)
+            return function(spark, folder)
+
+        QUERIES[name] = shipped
         if sql is not None:
             SQL[name] = sql
         return function

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelwise.llm import elias_fano, packing
+from panelwise.llm import elias_fano, langid, packing
 from panelwise.llm.base import QUERIES, SQL, query, table  # noqa: F401
 from panelwise.llm.tokens import public_file
 
@@ -17,3 +17,8 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_elias_fano_tokens")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return elias_fano.round_trip(spark, table(spark, folder, "documents"), public_file("word_bpe_49k.json"))
+
+
+@query("op3_language_id")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.predict_documents(table(spark, folder, "documents"))
