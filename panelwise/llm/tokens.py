@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
 from itertools import chain
 
 REMEMBERED = 600_000  # pieces kept per worker and vocabulary
@@ -21,6 +22,13 @@ SPACED = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 SEPARATORS = re.compile(r"[\x1c-\x1f]")  # white space for Python, not for the tokenizers
 
 
+def byte_letters() -> dict[int, str]:
+    """Byte-level vocabularies write each byte as a printable character: visible ones as they are, the rest from U+0100 on."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(0x100 + i) for i, b in enumerate(hidden)}
+
+
 def public_file(name: str) -> str:
     import public_tokenizers
 
@@ -47,6 +55,8 @@ class Encoder:
         else:
             self.kind = "whole"
         self.known: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.byte_letters = byte_letters()
 
     def whole(self, text: str) -> bytes:
         import numpy as np
@@ -67,11 +77,32 @@ class Encoder:
         # a word that follows a space carries it; a line break stands alone
         return text.replace("\n", " \n ").replace(" ", "\x00 ").replace("\x00 \n\x00 ", "\x00\n\x00").split("\x00")
 
+    def plain_word(self, stem: str) -> str | None:
+        """The form in which the merge model sees a piece that is one word of plain letters; None for any other piece."""
+        letters = stem[1:] if stem[:1] == " " else stem
+        if not letters.isalpha() or max(letters) >= "\u0250" or "\u0130" in letters:
+            return None
+        if self.kind == "words":
+            if not unicodedata.is_normalized("NFC", stem):
+                return None
+            stem = stem.lower()
+        return stem.encode().decode("latin-1").translate(self.byte_letters)
+
     def learn(self, missing: list[str]) -> None:
+        """Plain words go straight to the library's merge model, all other pieces through the whole tokenizer."""
         import numpy as np
 
-        for at in range(0, len(missing), AT_ONCE):
-            part = missing[at:at + AT_ONCE]
+        others = []
+        for w in missing:
+            stem, mark = (w[:-1], w[-1]) if w[-1:] in (".", ",") else (w, "")
+            seen = self.plain_word(stem) if stem else None
+            if seen is None:
+                others.append(w)
+                continue
+            ids = [t.id for t in self.model.tokenize(seen)] + ([t.id for t in self.model.tokenize(mark)] if mark else [])
+            self.known[w] = np.array(ids, dtype="<u4").tobytes()
+        for at in range(0, len(others), AT_ONCE):
+            part = others[at:at + AT_ONCE]
             got = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
             ids, of = np.array(got.ids, dtype="<u4"), np.array(got.word_ids, dtype=np.int64)
             ends = np.searchsorted(of, np.arange(len(part) + 1)) * 4
