@@ -22,9 +22,9 @@ _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the package to the executors, once an application, in case it is not installed there."""
+    """Let a local session's workers import the package wherever it was started; on a cluster it is installed."""
     context = spark.sparkContext
-    if context.applicationId not in _SHIPPED:
+    if context.applicationId not in _SHIPPED and context.master.startswith("local["):
         context.addFile(os.path.dirname(os.path.abspath(frames.__file__)), recursive=True)
         _SHIPPED.add(context.applicationId)
 

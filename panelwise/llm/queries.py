@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelwise.llm import elias_fano, langid, packing
+from panelwise.llm import elias_fano, html_text, langid, packing
 from panelwise.llm.base import QUERIES, SQL, query, table  # noqa: F401
 from panelwise.llm.tokens import public_file
 
@@ -22,3 +22,8 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_language_id")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return langid.predict_documents(table(spark, folder, "documents"))
+
+
+@query("op9_line_block_text")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract(table(spark, folder, "pages"), keep=["page_id", "url"])
