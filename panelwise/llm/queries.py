@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelwise.llm import elias_fano, html_text, langid, packing
+from panelwise.llm import elias_fano, html_text, langid, minhash, packing
 from panelwise.llm.base import QUERIES, SQL, query, table  # noqa: F401
 from panelwise.llm.tokens import public_file
 
@@ -27,3 +27,8 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_line_block_text")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extract(table(spark, folder, "pages"), keep=["page_id", "url"])
+
+
+@query("op10_prob_minhash")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, folder, "documents")).drop("node")
