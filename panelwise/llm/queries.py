@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelwise.llm import elias_fano, html_text, langid, latent, minhash, packing
+from panelwise.llm import elias_fano, html_text, langid, latent, licenses, minhash, packing
 from panelwise.llm.base import QUERIES, SQL, query, table  # noqa: F401
 from panelwise.llm.tokens import public_file
 
@@ -37,3 +37,8 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_latent_decontamination")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return latent.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op6_license_diagonals")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents")).drop("spans")
