@@ -109,3 +109,58 @@ def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(27))
     x = x * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+FILTER_WORDS = 1 << 20  # 64-bit words of a key filter: 8 MB, whatever the number of keys
+
+
+class KeyFilter:
+    """A Bloom filter of fixed size over long keys: what it rejects is surely not among them.
+
+    With more keys it lets more strangers through; it only saves work and decides nothing.
+    """
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+
+    @staticmethod
+    def slots(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        h = mix(keys.view(np.uint64))
+        a, b = h & np.uint64(0x3FFFFFF), h >> np.uint64(38)
+        return a, b
+
+    @classmethod
+    def of(cls, keys: DataFrame, name: str) -> KeyFilter:
+        spec, schema = arrow_schema(keys, "word long, bits long")
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            words = np.zeros(FILTER_WORDS, dtype=np.uint64)
+            for batch in batches:
+                for s in cls.slots(batch.column(name).to_numpy()):
+                    np.bitwise_or.at(words, (s >> np.uint64(6)).astype(np.int64), np.uint64(1) << (s & np.uint64(63)))
+            at = np.flatnonzero(words)
+            for i in range(0, len(at), 50_000):
+                yield rows_of(schema, word=at[i:i + 50_000], bits=words[at[i:i + 50_000]].view(np.int64))
+
+        got = keys.select(name).mapInArrow(run, spec).groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+        words = np.zeros(FILTER_WORDS, dtype=np.uint64)
+        words[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
+        return cls(words)
+
+    def may_hold(self, keys: np.ndarray) -> np.ndarray:
+        ok = np.ones(len(keys), dtype=bool)
+        for s in self.slots(keys):
+            ok &= (self.words[(s >> np.uint64(6)).astype(np.int64)] >> (s & np.uint64(63)) & np.uint64(1)).astype(bool)
+        return ok
+
+
+def only_likely(df: DataFrame, keys: KeyFilter, name: str) -> DataFrame:
+    """The rows whose key the filter lets through."""
+    held = df.sparkSession.sparkContext.broadcast(keys.words)  # of fixed size
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = KeyFilter(held.value)
+        for batch in batches:
+            yield batch.filter(pa.array(mine.may_hold(batch.column(name).to_numpy())))
+
+    return df.mapInArrow(run, df.schema)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelwise.llm import elias_fano, html_text, langid, latent, licenses, minhash, packing
+from panelwise.llm import elias_fano, html_text, langid, latent, licenses, minhash, packing, substrings
 from panelwise.llm.base import QUERIES, SQL, query, table  # noqa: F401
 from panelwise.llm.tokens import public_file
 
@@ -42,3 +42,8 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_license_diagonals")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(table(spark, folder, "documents")).drop("spans")
+
+
+@query("op5_bucket_refinement")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.remove_repeated(table(spark, folder, "documents"))
