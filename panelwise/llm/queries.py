@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelwise.llm import elias_fano, html_text, langid, latent, licenses, minhash, packing, substrings
+from panelwise.llm import elias_fano, html_text, langid, latent, licenses, minhash, nn_descent, packing, substrings
 from panelwise.llm.base import QUERIES, SQL, query, table  # noqa: F401
 from panelwise.llm.tokens import public_file
 
@@ -47,3 +47,8 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_bucket_refinement")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.remove_repeated(table(spark, folder, "documents"))
+
+
+@query("op7_nn_descent")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return nn_descent.near_vectors(table(spark, folder, "embeddings"))
