@@ -66,6 +66,9 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return frames.new_folder(spark, name)
 
 
+ROWS_AT_ONCE = 1_000  # of a batch made into Python strings together
+
+
 def slices(texts: list[str], most: int) -> Iterator[tuple[int, int]]:
     """Runs of texts of about ``most`` characters; a longer text is a run of its own."""
     begin, size = 0, 0
@@ -80,10 +83,12 @@ def slices(texts: list[str], most: int) -> Iterator[tuple[int, int]]:
 
 def text_batches(batches: Iterable[pa.RecordBatch], most: int = 2_000_000, text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Arrow batches cut into runs of bounded text, with null texts read as empty."""
-    for batch in batches:
-        texts = [t or "" for t in batch.column(text).to_pylist()]
-        for i, j in slices(texts, most):
-            yield batch.slice(i, j - i), texts[i:j]
+    for whole in batches:
+        for at in range(0, whole.num_rows, ROWS_AT_ONCE):
+            batch = whole.slice(at, ROWS_AT_ONCE)
+            texts = [t or "" for t in batch.column(text).to_pylist()]
+            for i, j in slices(texts, most):
+                yield batch.slice(i, j - i), texts[i:j]
 
 
 def rows_of(schema: pa.Schema, **values) -> pa.RecordBatch:

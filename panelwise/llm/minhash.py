@@ -8,9 +8,10 @@ with the probability of their probability Jaccard similarity, the sum over commo
 weights are equal. Points later than a document's latest register are never made.
 
 Registers are banded. In each bucket all documents are compared with the bucket's smallest, and
-verified exactly on their shingles. Buckets whose documents are then still in different groups are
-compared across these groups, in blocks, first by registers and then exactly, so that no link is
-lost to the choice of the smallest.
+verified exactly on their shingles. A family is what these candidate pairs connect. Families whose
+documents are then still in different groups are compared across these groups, in blocks, first by
+registers and then exactly, so that no link is lost to the choice of the smallest; a block's task
+gives only links that join two groups. Families too wide for that are compared bucket by bucket.
 """
 
 from __future__ import annotations
@@ -21,13 +22,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from panelwise.llm.base import arrow_schema, columns, kind_of, materialize, mix, rows_of, text_batches
+from panelwise.llm.base import KeyFilter, arrow_schema, columns, kind_of, materialize, mix, only_likely, rows_of, text_batches
 from panelwise.llm.graph import components
 from panelwise.llm.words import Words, shingles
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 6
-BLOCK = 512  # documents of one bucket compared with another such block in a task
+BLOCK = 512  # documents compared with another such block in a task
+FAMILY = 50_000  # wider families are compared bucket by bucket
 SLACK = 0.1  # registers may show this much less than the threshold: over three standard deviations
 
 
@@ -106,24 +108,31 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> Da
             ok = np.array([probability_jaccard(*of(x), *of(y)) >= threshold - 1e-12 for x, y in zip(left, right, strict=True)], dtype=bool)
             yield rows_of(schema, a=batch.column("a").to_numpy()[ok], b=batch.column("b").to_numpy()[ok])
 
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = materialize(texts.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")))
+    wanted = materialize(texts_of(texts, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()))
     one, other = wanted.select(F.col("node").alias("a"), F.col("text").alias("text_a")), wanted.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     return pairs.join(other, "b").join(one, "a").mapInArrow(run, spec)
 
 
-def across(rows: DataFrame, m: int, least: float) -> DataFrame:
-    """Pairs (a, b) of different components in one bucket whose registers agree in at least that share.
+def texts_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, text of the wanted nodes; other texts mostly do not reach the shuffle."""
+    nodes = materialize(nodes)
+    return only_likely(texts, KeyFilter.of(nodes, "node"), "node").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
 
-    ``rows``: bucket, node, component, registers. A bucket's nodes are dealt into blocks of about
-    ``BLOCK`` by hash and each pair of blocks is compared in a group of its own.
+
+def across(rows: DataFrame, k: int, threshold: float, slack: float = SLACK) -> DataFrame:
+    """Verified pairs (a, b) of different components in one group, enough to connect what is linked.
+
+    ``rows``: group, node, component, registers, text. A group's nodes are dealt into blocks of about
+    ``BLOCK`` by hash and each pair of blocks is compared in a task of its own: every pair of
+    different components whose registers agree nearly enough, unless its components are
+    connected already.
     """
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    dealt = rows.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    sizes = rows.groupBy("group").agg(F.count("*").alias("n")).select("group", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    dealt = rows.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # block i meets blocks i..: every pair of blocks once
     meets = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = dealt.select("*", meets.alias("with")).select(
-        "bucket", "node", "component", "registers", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j")
+        "group", "node", "component", "registers", "text", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j")
     )
     spec, schema = arrow_schema(rows, "a long, b long")
 
@@ -131,15 +140,44 @@ def across(rows: DataFrame, m: int, least: float) -> DataFrame:
         got = pa.Table.from_batches(groups)
         node, component = got.column("node").to_numpy(), got.column("component").to_numpy()
         block, i, j = got.column("block").to_numpy(), got.column("i")[0].as_py(), got.column("j")[0].as_py()
-        marks = np.frombuffer(b"".join(got.column("registers").to_pylist()), dtype="<u2").reshape(-1, m)
+        marks = np.frombuffer(b"".join(got.column("registers").to_pylist()), dtype="<u2").reshape(len(node), -1)
         rest = np.flatnonzero(block == j)
+        near: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for x in np.flatnonzero(block == i):
             y = rest[(component[rest] != component[x]) & ((node[rest] > node[x]) | (i != j))]
             if len(y):
-                y = y[(marks[y] == marks[x]).mean(axis=1) >= least]
-                yield rows_of(schema, a=np.minimum(node[x], node[y]), b=np.maximum(node[x], node[y]))
+                agree = (marks[y] == marks[x]).mean(axis=1)
+                ok = agree >= threshold - slack
+                near.append((agree[ok], np.full(ok.sum(), x), y[ok]))
+        if not near:
+            return
+        agree, left, right = (np.concatenate(c) for c in zip(*near, strict=True))
+        parent: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while (up := parent.get(c, c)) != c:
+                parent[c] = parent.get(up, up)
+                c = parent[c]
+            return c
+
+        texts, known, out = got.column("text"), {}, []
+
+        def of(n: int) -> tuple[np.ndarray, np.ndarray]:
+            if n not in known:
+                h, _, w = weighted([texts[n].as_py()], k)
+                order = np.argsort(h)
+                known[n] = h[order], w[order]
+            return known[n]
+
+        for at in np.argsort(-agree, kind="stable").tolist():
+            x, y = int(left[at]), int(right[at])
+            p, q = find(int(component[x])), find(int(component[y]))
+            if p != q and probability_jaccard(*of(x), *of(y)) >= threshold - 1e-12:
+                parent[q] = p
+                out.append(sorted((int(node[x]), int(node[y]))))
+        yield rows_of(schema, a=[a for a, _ in out], b=[b for _, b in out])
 
-    return dealt.groupBy("bucket", "i", "j").applyInArrow(pairs, spec).distinct()
+    return dealt.groupBy("group", "i", "j").applyInArrow(pairs, spec).distinct()
 
 
 def near_links(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
@@ -169,12 +207,15 @@ def near_links(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD,
     star = materialize(shared.where("node != a").select("a", F.col("node").alias("b")).distinct())
     first = materialize(verified(star, docs, k, threshold))
     group = components(first)
-    named = shared.join(group, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    split = named.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket")
-    open_rows = named.join(split, "bucket").join(signed.select("node", "registers"), "node")
-    more = across(materialize(open_rows.select("bucket", "node", "component", "registers")), m, threshold - SLACK)
-    more = materialize(more.join(star, ["a", "b"], "left_anti"))
-    second = materialize(verified(more, docs, k, threshold))
+    named = signed.select("node", "registers").join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    family = components(star).withColumnRenamed("component", "family")
+    members = materialize(named.join(family, "node"))
+    split = members.groupBy("family").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).where("x < y")
+    some = materialize(members.join(split.select("family", "size"), "family").select("node", "component", "registers", "family", "size"))
+    wide = some.where(F.col("size") > FAMILY).join(shared.select("bucket", "node"), "node").select(F.col("bucket").alias("group"), "node", "component", "registers")
+    narrow = some.where(F.col("size") <= FAMILY).select(F.col("family").alias("group"), "node", "component", "registers")
+    texts = materialize(texts_of(docs, some.select("node")))
+    second = materialize(across(narrow.unionByName(wide).join(texts, "node"), k, threshold))
     links = first.unionByName(second)
     return links, components(links) if second.limit(1).count() else group
 

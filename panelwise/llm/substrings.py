@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from panelwise.llm.base import KeyFilter, arrow_schema, columns, kind_of, materialize, mix, only_likely, rows_of, slices
+from panelwise.llm.base import KeyFilter, arrow_schema, columns, kind_of, materialize, mix, only_likely, rows_of, slices, text_batches
 
 LENGTH, ANCHOR, BLOCK = 200, 32, 16
 AT_ONCE = 400_000  # characters handled together
@@ -95,11 +95,8 @@ def content(level: dict[int, np.ndarray], start: np.ndarray, length: np.ndarray,
 
 
 def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    for batch in batches:
-        texts = [t or "" for t in batch.column("text").to_pylist()]
-        for i, j in slices(texts, AT_ONCE):
-            data, ends = _bytes(texts[i:j])
-            yield batch.slice(i, j - i), data, ends
+    for batch, texts in text_batches(batches, AT_ONCE):
+        yield batch, *_bytes(texts)
 
 
 def repeated_buckets(docs: DataFrame, n: int) -> DataFrame:

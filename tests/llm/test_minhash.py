@@ -131,16 +131,29 @@ def test_groups_against_brute_force(spark):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_blocks_miss_no_pair(spark):
+def test_blocks_join_every_linked_group(spark, monkeypatch):
     rng = np.random.default_rng(4)
-    marks = rng.integers(0, 1 << 16, (40, 32)).astype("<u2")
-    marks[1::2] = marks[::2]
-    rows = [(7, i, i, bytearray(marks[i].tobytes())) for i in range(40)]
-    df = spark.createDataFrame(rows, "bucket long, node long, component long, registers binary")
-    old = minhash.BLOCK
-    minhash.BLOCK = 6
-    try:
-        got = {(r.a, r.b) for r in minhash.across(df, 32, 0.9).collect()}
-    finally:
-        minhash.BLOCK = old
-    assert got == {(i, i + 1) for i in range(0, 40, 2)}
+    rows = []
+    for i in range(20):
+        base = text_of(rng, 60)
+        for copy in range(3):
+            text = " ".join(base[:-1] + [f"end{copy}"])
+            marks = minhash.signature([text], 5, 48)[0].astype("<u2")
+            rows.append((7, 10 * i + copy, 10 * i + copy, bytearray(marks.tobytes()), text))
+    df = spark.createDataFrame(rows, "group long, node long, component long, registers binary, text string")
+    for block in (6, 512):
+        monkeypatch.setattr(minhash, "BLOCK", block)
+        got = {(r.a, r.b) for r in minhash.across(df, 5, 0.8, 0.2).collect()}
+        assert all(a // 10 == b // 10 for a, b in got)
+        label = graph.components(spark.createDataFrame(sorted(got), "a long, b long")).collect()
+        assert {(r.node, r.component) for r in label} == {(10 * i + c, 10 * i) for i in range(20) for c in range(3)}
+
+
+def test_wide_families_bucket_by_bucket(spark, monkeypatch):
+    rng = np.random.default_rng(14)
+    base = text_of(rng, 120)
+    rows = [(i, " ".join(base[:k] + [f"x{i}"] + base[k + 1:])) for i, k in enumerate(rng.integers(0, 120, 30).tolist())]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted((r.doc_id, r.class_id) for r in minhash.near_duplicates(df).collect())
+    monkeypatch.setattr(minhash, "FAMILY", 3)
+    assert sorted((r.doc_id, r.class_id) for r in minhash.near_duplicates(df).collect()) == want
