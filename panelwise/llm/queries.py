@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelwise.llm import elias_fano, html_text, langid, latent, licenses, minhash, nn_descent, packing, substrings
+from panelwise.llm import elias_fano, html_text, langid, latent, licenses, minhash, nn_descent, packing, pii, substrings
 from panelwise.llm.base import QUERIES, SQL, query, table  # noqa: F401
 from panelwise.llm.tokens import public_file
 
@@ -52,3 +52,9 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_nn_descent")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return nn_descent.near_vectors(table(spark, folder, "embeddings"))
+
+
+@query("op8_bilstm_crf_pii")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return pii.find(docs, pii.fit(docs))
