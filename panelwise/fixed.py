@@ -26,45 +26,73 @@ CANONICAL_DDL = """
     source_file STRING, source_row_number BIGINT
 """
 
-# --- Fixed values: header labels (already folded) per canonical column -------
-# Columns not listed are only known by their own name.
-ALIAS_LINES = """
-    ra: ra registro_aluno
-    ano_referencia: ano_referencia ano ano_base
-    nome_anonimizado: nome nome_anonimizado nome_aluno
-    ano_nascimento: ano_nasc ano_nascimento
-    data_nascimento: data_de_nasc data_nascimento
-    idade: idade idade_22 idade_aluno
-    genero: genero sexo
-    instituicao_ensino: instituicao_de_ensino instituicao_ensino instituicao_de_ensino_aluno
-    status_matricula: ativo_inativo ativo_inativo_1 status_matricula
-    pedra_atual: pedra_2023 pedra_2024 pedra_atual
-    inde_23: inde_23 inde_2023
-    inde_atual: inde_2024 inde_atual
-    numero_avaliacoes: n_av no_av n_avs numero_av numero_avaliacoes
-    avaliador_1: avaliador1
-    avaliador_2: avaliador2
-    avaliador_3: avaliador3
-    avaliador_4: avaliador4
-    avaliador_5: avaliador5
-    avaliador_6: avaliador6
-    rec_av_1: rec_av1
-    rec_av_2: rec_av2
-    rec_av_3: rec_av3
-    rec_av_4: rec_av4
-    nota_matematica: matem mat matematica nota_matematica
-    nota_portugues: portug por portugues nota_portugues
-    nota_ingles: ingles ing nota_ingles
-    defasagem: defas defasagem
-    destaque_ipv: destaque_ipv destaque_ipv_1
-"""
+# --- Fixed values: header labels (already folded) and the canonical column each stands for ---
+ALIASES = {
+    "ra": "ra", "registro_aluno": "ra",
+    "ano_referencia": "ano_referencia", "ano": "ano_referencia", "ano_base": "ano_referencia",
+    "fase": "fase",
+    "turma": "turma",
+    "nome_anonimizado": "nome_anonimizado", "nome": "nome_anonimizado", "nome_aluno": "nome_anonimizado",
+    "ano_nascimento": "ano_nascimento", "ano_nasc": "ano_nascimento",
+    "data_nascimento": "data_nascimento", "data_de_nasc": "data_nascimento",
+    "idade": "idade", "idade_22": "idade", "idade_aluno": "idade",
+    "genero": "genero", "sexo": "genero",
+    "ano_ingresso": "ano_ingresso",
+    "instituicao_ensino": "instituicao_ensino", "instituicao_de_ensino": "instituicao_ensino", "instituicao_de_ensino_aluno": "instituicao_ensino",
+    "escola": "escola",
+    "status_matricula": "status_matricula", "ativo_inativo": "status_matricula", "ativo_inativo_1": "status_matricula",
+    "pedra_20": "pedra_20",
+    "pedra_21": "pedra_21",
+    "pedra_22": "pedra_22",
+    "pedra_23": "pedra_23",
+    "pedra_atual": "pedra_atual", "pedra_2023": "pedra_atual", "pedra_2024": "pedra_atual",
+    "inde_22": "inde_22",
+    "inde_23": "inde_23", "inde_2023": "inde_23",
+    "inde_atual": "inde_atual", "inde_2024": "inde_atual",
+    "cg": "cg",
+    "cf": "cf",
+    "ct": "ct",
+    "numero_avaliacoes": "numero_avaliacoes", "n_av": "numero_avaliacoes", "n_avs": "numero_avaliacoes", "no_av": "numero_avaliacoes",
+    "numero_av": "numero_avaliacoes",
+    "avaliador1": "avaliador_1",
+    "avaliador2": "avaliador_2",
+    "avaliador3": "avaliador_3",
+    "avaliador4": "avaliador_4",
+    "avaliador5": "avaliador_5",
+    "avaliador6": "avaliador_6",
+    "rec_av1": "rec_av_1",
+    "rec_av2": "rec_av_2",
+    "rec_av3": "rec_av_3",
+    "rec_av4": "rec_av_4",
+    "rec_psicologia": "rec_psicologia",
+    "iaa": "iaa",
+    "ieg": "ieg",
+    "ips": "ips",
+    "ipp": "ipp",
+    "ida": "ida",
+    "nota_matematica": "nota_matematica", "mat": "nota_matematica", "matem": "nota_matematica", "matematica": "nota_matematica",
+    "nota_portugues": "nota_portugues", "por": "nota_portugues", "portug": "nota_portugues", "portugues": "nota_portugues",
+    "nota_ingles": "nota_ingles", "ing": "nota_ingles", "ingles": "nota_ingles",
+    "indicado": "indicado",
+    "atingiu_pv": "atingiu_pv",
+    "ipv": "ipv",
+    "ian": "ian",
+    "fase_ideal": "fase_ideal",
+    "defasagem": "defasagem", "defas": "defasagem",
+    "destaque_ieg": "destaque_ieg",
+    "destaque_ida": "destaque_ida",
+    "destaque_ipv": "destaque_ipv", "destaque_ipv_1": "destaque_ipv",
+    "source_schema": "source_schema",
+    "source_file": "source_file",
+    "source_row_number": "source_row_number",
+}
 
 # --- Fixed values: layouts in registry order: name, fallback period, signature
-LAYOUT_LINES = """
-    pede_2024_like 2024 escola ativo_inativo inde_2024
-    pede_2023_like 2023 inde_2023 pedra_2023 defasagem
-    pede_2022_like 2022 idade_22 ano_nasc matem portug defas
-"""
+LAYOUTS = (
+    ("pede_2024_like", 2024, ("escola", "ativo_inativo", "inde_2024")),
+    ("pede_2023_like", 2023, ("inde_2023", "pedra_2023", "defasagem")),
+    ("pede_2022_like", 2022, ("idade_22", "ano_nasc", "matem", "portug", "defas")),
+)
 
 # --- Fixed values: words and tokens ------------------------------------------
 REQUIRED_COLUMNS = ("ra", "fase")
@@ -128,10 +156,14 @@ ACTIONABLE = (
 )
 DIRECTION_UNAVAILABLE = "associacao_indisponivel"
 INTERPRETATION_UNAVAILABLE = "sem evidência numérica adicional suficiente nesta execução"
-DIRECTION_TEXT = "valores_mais_{side}_associados_a_{effect}"
-INTERPRETATION_TEXT = "valores mais {side} parecem associados a maior chance de {effect}"
-SIDE_LOW, SIDE_HIGH = "baixos", "altos"
-EFFECT_WORSE, EFFECT_BETTER = "piora", "melhora"
+DIRECTION_LOW_WORSE = "valores_mais_baixos_associados_a_piora"
+DIRECTION_HIGH_WORSE = "valores_mais_altos_associados_a_piora"
+DIRECTION_LOW_BETTER = "valores_mais_baixos_associados_a_melhora"
+DIRECTION_HIGH_BETTER = "valores_mais_altos_associados_a_melhora"
+INTERPRETATION_LOW_WORSE = "valores mais baixos parecem associados a maior chance de piora"
+INTERPRETATION_HIGH_WORSE = "valores mais altos parecem associados a maior chance de piora"
+INTERPRETATION_LOW_BETTER = "valores mais baixos parecem associados a maior chance de melhora"
+INTERPRETATION_HIGH_BETTER = "valores mais altos parecem associados a maior chance de melhora"
 
 # --- Fixed values: output columns of a scored batch --------------------------
 PREDICTION = "prediction_risco_defasagem_futura"
@@ -157,23 +189,3 @@ CANONICAL = T.StructType([
     T.StructField(name, _TYPES[kind]) for name, kind in (field.split() for field in CANONICAL_DDL.split(","))
 ])
 KEY = ("ra", "ano_referencia")
-
-
-def _aliases() -> dict[str, str]:
-    found = {field.name: field.name for field in CANONICAL}
-    # These labels only count under the spelling listed above.
-    for number in range(1, 7):
-        found.pop(f"avaliador_{number}")
-    for number in range(1, 5):
-        found.pop(f"rec_av_{number}")
-    for line in ALIAS_LINES.split("\n"):
-        target, _, labels = line.strip().partition(":")
-        found.update({label: target for label in labels.split()})
-    return found
-
-
-ALIASES = _aliases()
-LAYOUTS = tuple(
-    (parts[0], int(parts[1]), tuple(parts[2:]))
-    for parts in (line.split() for line in LAYOUT_LINES.strip().split("\n"))
-)

@@ -61,33 +61,32 @@ def transition_columns(group: Column | str, entry: Column | str, recovery: Colum
     }
 
 
-def signal_side(delta: Column | str, higher_is_better: Column | bool, scenario: str) -> tuple[Column, str]:
-    """Which side of a feature goes with the effect of the scenario, ``entry`` or ``recovery``.
+def low_side(delta: Column | str, higher_is_better: Column | bool, scenario: str) -> Column:
+    """Whether low values of a feature go with the effect of the scenario, ``entry`` or ``recovery``.
 
-    Zero falls to the side that does not match the expectation.
+    A feature where more is better is expected to point to worsening with low values and to
+    recovery with high ones. Zero falls to the side that does not match the expectation.
     """
     delta = col(delta)
     better = higher_is_better if isinstance(higher_is_better, Column) else F.lit(higher_is_better)
-    # A feature where more is better points to worsening with low values and to recovery with high ones.
     expects_low = better if scenario == "entry" else ~better
-    matches = F.when(expects_low, delta < 0).otherwise(delta > 0)
-    low = matches == expects_low
-    effect = fixed.EFFECT_WORSE if scenario == "entry" else fixed.EFFECT_BETTER
-    return F.when(delta.isNotNull(), F.when(low, fixed.SIDE_LOW).otherwise(fixed.SIDE_HIGH)), effect
+    return F.when(expects_low, delta < 0).otherwise(delta > 0) == expects_low
 
 
 def signal_direction(delta: Column | str, higher_is_better: Column | bool, scenario: str) -> tuple[Column, Column]:
     """Direction code and sentence for a group difference."""
-    side, effect = signal_side(delta, higher_is_better, scenario)
-
-    def fill(template: str, unknown: str) -> Column:
-        head, tail = template.format(side="\0", effect=effect).split("\0")
-        return F.coalesce(F.concat(F.lit(head), side, F.lit(tail)), F.lit(unknown))
-
-    return (
-        fill(fixed.DIRECTION_TEXT, fixed.DIRECTION_UNAVAILABLE),
-        fill(fixed.INTERPRETATION_TEXT, fixed.INTERPRETATION_UNAVAILABLE),
+    low, known, worse = low_side(delta, higher_is_better, scenario), col(delta).isNotNull(), F.lit(scenario == "entry")
+    direction = (
+        F.when(~known, fixed.DIRECTION_UNAVAILABLE)
+        .when(low & worse, fixed.DIRECTION_LOW_WORSE).when(worse, fixed.DIRECTION_HIGH_WORSE)
+        .when(low, fixed.DIRECTION_LOW_BETTER).otherwise(fixed.DIRECTION_HIGH_BETTER)
+    )
+    interpretation = (
+        F.when(~known, fixed.INTERPRETATION_UNAVAILABLE)
+        .when(low & worse, fixed.INTERPRETATION_LOW_WORSE).when(worse, fixed.INTERPRETATION_HIGH_WORSE)
+        .when(low, fixed.INTERPRETATION_LOW_BETTER).otherwise(fixed.INTERPRETATION_HIGH_BETTER)
     )
+    return direction, interpretation
 
 
 def score_bin(score: Column | str, edges=fixed.SCORE_BIN_EDGES) -> Column:

@@ -4,9 +4,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from panelwise.frames import per_group
 from panelwise.operators.consolidate import data_status, ingest_summary, to_insert
-from panelwise.operators.normalize import conform, period_of
+from panelwise.operators.normalize import NormalizationError, conform, period_of
 from panelwise.operators.runs import latest
-from panelwise.sources.layout_csv import LayoutFile, list_csv, read_files, read_layout_csv, sniff
+from panelwise.sources.layout_csv import LayoutFile, base_name, list_csv, read_files, read_layout_csv, sniff
 from panelwise.sources.store import Store
 
 
@@ -50,10 +50,17 @@ def ingest_file(store: Store, path: str, period: int | None = None) -> dict:
 def bootstrap(store: Store, folder: str, period: int | None = None) -> list[dict]:
     """Load a folder as if its files came one by one in name order, with one scan, one duplicate
     removal and one write for all of them."""
-    spark = store.spark
-    files = sniff(spark, list_csv(spark, folder))
-    if not files:
+    return ingest_files(store, list_csv(store.spark, folder), period)
+
+
+def ingest_files(store: Store, paths: list[str], period: int | None = None, stream_batch: str | None = None) -> list[dict]:
+    """The files at these paths, whose names differ, in name order; returns the recorded runs."""
+    if not paths:
         return []
+    spark = store.spark
+    files = sniff(spark, sorted(paths, key=base_name))
+    if len({f.name for f in files}) < len(files):
+        raise NormalizationError("two files of one name cannot be told apart in the store")
     rows = read_files(spark, files, period)
     first_id = store.next_id("ingestion_runs")
     periods = {f.name: period_of(f.name, f.header.fallback_period, period) for f in files}
@@ -75,7 +82,7 @@ def bootstrap(store: Store, folder: str, period: int | None = None) -> list[dict
             "id": first_id + i, "source_file": file.name, "detected_schema": file.header.layout,
             "reference_year": periods[file.name], "input_rows": c.input_rows if c else 0, "inserted_rows": inserted,
             "duplicate_rows": c.duplicate_rows if c else 0, "unknown_columns": list(file.header.unknown),
-            "data_version": f"v{first_id + i}-r{known}",
+            "data_version": f"v{first_id + i}-r{known}", "stream_batch": stream_batch,
         })
     store.append_runs("ingestion_runs", runs)
     store.record_event("INFO", "ingest", "folder loaded", {"files": len(files)})

@@ -1,10 +1,12 @@
 """CSV files of differing layouts, encodings and separators, read as canonical rows."""
 
 import csv
-from concurrent.futures import ThreadPoolExecutor
+import os
+import re
+from collections import Counter
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from panelwise import fixed
 from panelwise.functions.text import ascii_label
@@ -26,17 +28,27 @@ class FileFormat:
 
 
 def list_csv(spark: SparkSession, folder: str) -> list[str]:
-    """Paths of the folder's CSV files, sorted by name; file contents are not read."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder).select("path")
-    return sorted((row.path for row in found.collect()), key=lambda path: path.rsplit("/", 1)[-1])
+    """Paths of the folder's CSV files, empty ones among them, sorted by name; no file is opened."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).listStatus(path)
+    paths = [f.getPath().toString() for f in found if f.isFile() and f.getPath().getName().endswith(".csv")]
+    return sorted(paths, key=base_name)
 
 
-def _first_line(spark: SparkSession, path: str) -> bytes:
-    lines = spark.read.text(path).select(F.col("value").cast("binary").alias("line"))
-    row = lines.first()
-    if row is None:
-        raise NormalizationError(f"{path} is empty")
-    return bytes(row.line)
+def base_name(path: str) -> str:
+    return path.rsplit("/", 1)[-1]
+
+
+def plain_path(path: str) -> str:
+    """One spelling of a path: local files without a scheme, relative ones from the working folder."""
+    if "://" not in path and not path.startswith("file:"):
+        return os.path.abspath(path)
+    return re.sub(r"^file:/+", "/", path)
+
+
+def decoded(path: Column) -> Column:
+    """A path from file metadata, which is escaped as in a URI; a plus sign stands for itself there."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
 
 
 def _layout_score(labels: list[str], layouts) -> int:
@@ -51,26 +63,26 @@ def split_header(line: str, layouts=fixed.LAYOUTS) -> tuple[str, list[str]]:
 
 
 def sniff(spark: SparkSession, paths: list[str], layouts=fixed.LAYOUTS, aliases=fixed.ALIASES) -> list[FileFormat]:
-    """Format of each file. Whether the bytes are UTF-8 and whether quoted fields span lines is checked over
-    the whole files in one distributed pass; only header lines come to the driver."""
+    """Format of each file. Whether the bytes are UTF-8, whether quoted fields span lines and the header
+    line are found in one distributed pass over the whole files; one row per file comes to the driver."""
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
     facts = (
         spark.read.text(paths)
-        .select(F.col("_metadata.file_path").alias("path"), F.is_valid_utf8("value").alias("utf8"), (quotes % 2).alias("odd"))
+        .select(decoded(F.col("_metadata.file_path")).alias("path"), "value", F.is_valid_utf8("value").alias("utf8"), (quotes % 2).alias("odd"), place.alias("place"))
         .groupBy("path")
-        .agg(F.min("utf8").alias("utf8"), F.max("odd").alias("odd"))
+        .agg(F.min("utf8").alias("utf8"), F.max("odd").alias("odd"), F.min_by(F.col("value").cast("binary"), "place").alias("line"))
     )
-    known = {row.path.rsplit("/", 1)[-1]: row for row in facts.collect()}
-    with ThreadPoolExecutor(8) as pool:
-        lines = list(pool.map(lambda path: _first_line(spark, path), paths))
+    known = {plain_path(row.path): row for row in facts.collect()}
     formats = []
-    for path, line in zip(paths, lines):
-        name = path.rsplit("/", 1)[-1]
-        utf8 = known[name].utf8
-        text = line.decode("utf-8-sig" if utf8 else "latin1")
+    for path in paths:
+        fact = known.get(plain_path(path))
+        if fact is None:
+            raise NormalizationError(f"{path} is empty")
+        text = bytes(fact.line).decode("utf-8-sig" if fact.utf8 else "latin1")
         separator, labels = split_header(text, layouts)
         header = resolve_header(labels, layouts, aliases)
-        formats.append(FileFormat(path, name, "UTF-8" if utf8 else "ISO-8859-1", separator, bool(known[name].odd), header))
+        formats.append(FileFormat(path, base_name(path), "UTF-8" if fact.utf8 else "ISO-8859-1", separator, bool(fact.odd), header))
     return formats
 
 
@@ -90,19 +102,24 @@ def with_file_rows(df: DataFrame, splits: int) -> DataFrame:
 
 
 def read_raw(spark: SparkSession, files: list[FileFormat]) -> DataFrame:
-    """Files that share a format as text columns by position, plus ``_file`` and ``_row``."""
+    """Files that share a format as text columns by position, plus ``_file`` and ``_row``; their names differ.
+
+    A row with more fields than the header fails the reading, as it would put values under wrong labels.
+    """
     shape = files[0]
     width = len(shape.header.names)
-    fields = ", ".join(f"_c{i} STRING" for i in range(width))
+    fields = ", ".join([*(f"_c{i} STRING" for i in range(width)), "_surplus STRING"])
     raw = (
         spark.read.schema(fields)
         .options(header=True, sep=shape.separator, encoding=shape.encoding, quote='"', escape='"')
         .option("multiLine", shape.multi_line)
         .csv([file.path for file in files])
     )
-    placed = raw.select(
-        "*",
-        F.col("_metadata.file_name").alias("_file"),
+    name = decoded(F.col("_metadata.file_name"))
+    too_long = F.raise_error(F.concat(F.lit("a row has more fields than the header of "), name)).cast("boolean")
+    placed = raw.where(F.when(F.col("_surplus").isNotNull(), too_long).otherwise(F.lit(True))).select(
+        *[f"_c{i}" for i in range(width)],
+        name.alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_at"),
     )
@@ -112,10 +129,12 @@ def read_raw(spark: SparkSession, files: list[FileFormat]) -> DataFrame:
 
 
 def read_files(spark: SparkSession, files: list[FileFormat], period: int | None = None) -> DataFrame:
-    """Canonical rows of all files; files with the same format are one scan."""
+    """Canonical rows of all files; files with the same format are one scan, files of one name never share one."""
     groups: dict[tuple, list[FileFormat]] = {}
+    seen: Counter = Counter()
     for file in files:
-        key = (file.header.layout, file.header.names, file.encoding, file.separator, file.multi_line)
+        key = (file.header.layout, file.header.names, file.encoding, file.separator, file.multi_line, seen[file.name])
+        seen[file.name] += 1
         groups.setdefault(key, []).append(file)
     return union_all([
         normalize(

@@ -34,7 +34,7 @@ FILE_COLUMNS = "source_file STRING, detected_schema STRING, reference_year INT"
 # Run tables: columns beyond the shared id and created_at.
 RUN_TABLES = {
     "ingestion_runs": f"{FILE_COLUMNS}, input_rows BIGINT, inserted_rows BIGINT, duplicate_rows BIGINT, "
-                      "unknown_columns ARRAY<STRING>, data_version STRING",
+                      "unknown_columns ARRAY<STRING>, data_version STRING, stream_batch STRING",
     "training_runs": f"selected_model STRING, selected_strategy STRING, metrics {METRICS}, candidates ARRAY<{CANDIDATE}>, "
                      "selected_feature_columns ARRAY<STRING>, training_rows BIGINT, validation_rows BIGINT, data_version STRING",
     "baseline_analysis_runs": f"training_run_id BIGINT, validation_reference_year INT, baseline_metrics {METRICS}, "

@@ -20,18 +20,18 @@ def write(folder, name, text, encoding="utf-8"):
 
 
 def test_2022_layout(spark, tmp_path):
-    file = read_layout_csv(spark, write(tmp_path, "lote_2022_teste.csv", fixtures.CSV_2022))
+    file = read_layout_csv(spark, write(tmp_path, "lote 2022 ação.csv", fixtures.CSV_2022))
     assert (file.layout, file.period, file.unknown) == ("pede_2022_like", 2022, ())
     row = file.rows.first()
     assert [(f.name, f.dataType) for f in file.rows.schema] == [(f.name, f.dataType) for f in fixed.CANONICAL]
-    assert (row.ra, row.idade, row.nota_matematica, row.defasagem, row.inde_atual) == ("RA-1", 19.0, 2.7, -1.0, 5.783)
-    assert (row.fase, row.source_row_number, row.source_file, row.ano_referencia) == ("7", 1, "lote_2022_teste.csv", 2022)
+    assert (row.ra, row.idade, row.nota_matematica, row.defasagem, row.inde_atual) == ("E-41", 13.0, 6.25, -2.0, 6.108)
+    assert (row.fase, row.source_row_number, row.source_file, row.ano_referencia) == ("3", 1, "lote 2022 ação.csv", 2022)
 
 
 def test_2024_layout(spark, tmp_path):
-    file = read_layout_csv(spark, write(tmp_path, "arquivo_teste_2024.csv", fixtures.CSV_2024))
+    file = read_layout_csv(spark, write(tmp_path, "lote_b_2024.csv", fixtures.CSV_2024))
     row = file.rows.first()
-    assert (file.layout, row.status_matricula, row.ipp, row.inde_atual, row.nota_ingles) == ("pede_2024_like", True, 5.6, 7.61, None)
+    assert (file.layout, row.status_matricula, row.ipp, row.inde_atual, row.nota_ingles) == ("pede_2024_like", True, 4.75, 8.04, None)
     assert file.renamed["Ativo/ Inativo"] == "status_matricula"
 
 
@@ -103,16 +103,16 @@ def test_whole_file_fallback_uses_the_file_not_the_batch(spark, tmp_path):
 
 def test_ingest_twice(spark, store):
     rows = spark.createDataFrame(
-        [("RA-1", 2023, "7", "t", "t.csv", 1), ("RA-2", 2023, "8", "t", "t.csv", 2)],
+        [("E-7", 2019, "2", "t", "u.csv", 1), ("E-9", 2019, "4", "t", "u.csv", 2)],
         "ra string, ano_referencia int, fase string, source_schema string, source_file string, source_row_number int",
     )
     assert store.load_consolidated().columns == [f.name for f in fixed.CANONICAL] and store.data_version() == "v0-r0"
     first, second = ingest(store, rows, {}), ingest(store, rows, {})
     assert (first["inserted_rows"], first["duplicate_rows"], first["data_version"]) == (2, 0, "v1-r2")
     assert (second["inserted_rows"], second["duplicate_rows"], second["data_version"]) == (0, 2, "v2-r2")
-    assert [r.ra for r in store.load_consolidated().collect()] == ["RA-1", "RA-2"]
+    assert [r.ra for r in store.load_consolidated().collect()] == ["E-7", "E-9"]
     report = status(store).first()
-    assert (report.rows, report.entities, report.periods, report.data_version) == (2, 2, [2023], "v2-r2")
+    assert (report.rows, report.entities, report.periods, report.data_version) == (2, 2, [2019], "v2-r2")
     assert report.latest_ingestion.duplicate_rows == 2
     assert store.recent_events().count() == 2
 
@@ -121,7 +121,7 @@ def folder_of_three(tmp_path):
     folder = tmp_path / "raw"
     folder.mkdir()
     write(folder, "a_2022.csv", fixtures.CSV_2022 + fixtures.CSV_2022.split("\n")[1] + "\n")
-    write(folder, "b_2022.csv", fixtures.CSV_2022.replace("RA-1,7", "RA-1,9") + 'RA-2,7,A,19,Menina,2016,E,5,8,4,5,4,2,3,6,7,5,Fase 8,0\n')
+    write(folder, "b_2022.csv", fixtures.CSV_2022.replace("E-41;3", "E-41;4") + "D;E-42;5;0;7;8;9;14;Menina;6;Rede;2020\n")
     write(folder, "c_2024.csv", fixtures.CSV_2024)
     return folder
 
@@ -148,14 +148,52 @@ def test_stream_picks_up_new_files_once(spark, store, tmp_path):
     assert store.records().count() == 3 and store.runs("ingestion_runs").count() == 3
     ingest_stream(store, str(folder), checkpoint).awaitTermination()
     assert store.runs("ingestion_runs").count() == 3
-    write(folder, "d_2024.csv", fixtures.CSV_2024.replace("RA-10", "RA-11"))
+    write(folder, "d_2024.csv", fixtures.CSV_2024.replace("E-70", "E-71"))
     ingest_stream(store, str(folder), checkpoint).awaitTermination()
     assert store.records().count() == 4 and store.runs("ingestion_runs").count() == 4
 
 
+def test_repeated_batch_adds_no_runs(spark, store, tmp_path):
+    folder, checkpoint = folder_of_three(tmp_path), tmp_path / "checkpoint"
+    ingest_stream(store, str(folder), str(checkpoint)).awaitTermination()
+    before = sorted(map(tuple, store.runs("ingestion_runs").collect()))
+    for commit in (checkpoint / "commits").iterdir():  # as if the query had stopped before the batch was marked done
+        if commit.name.strip(".").split(".")[0].isdigit():
+            commit.unlink()
+    ingest_stream(store, str(folder), str(checkpoint)).awaitTermination()
+    assert sorted(map(tuple, store.runs("ingestion_runs").collect())) == before and len(before) == 3
+
+
+@pytest.mark.parametrize("name", ["dados 2022 ação.csv", "a%20b_2022.csv", "x+y 2022.csv", "n#1_2022.csv"])
+def test_file_names(spark, store, tmp_path, name):
+    write(tmp_path, name, fixtures.CSV_2022)
+    assert read_layout_csv(spark, str(tmp_path / name)).rows.first().source_file == name
+    assert [(r["source_file"], r["inserted_rows"]) for r in bootstrap(store, str(tmp_path))] == [(name, 1)]
+
+
+def test_equal_names_in_two_folders(spark, tmp_path):
+    paths = []
+    for folder, encoding, name in (("one", "utf-8", "Açaí"), ("two", "latin1", "Pé")):
+        (tmp_path / folder).mkdir()
+        paths.append(write(tmp_path / folder, "same_2024.csv", f"RA,Fase,INDE 2024,Escola\n{folder},A,7,{name}\n", encoding))
+    rows = read_files(spark, sniff(spark, paths)).collect()
+    assert sorted((r.ra, r.escola, r.source_row_number) for r in rows) == [("one", "Açaí", 1), ("two", "Pé", 1)]
+
+
+def test_surplus_fields_and_empty_files_fail(spark, tmp_path):
+    wide = write(tmp_path, "w_2024.csv", "RA,Fase,INDE 2024\n1,A,7\n2,B,8,9\n")
+    with pytest.raises(Exception, match="more fields than the header of w_2024.csv"):
+        read_layout_csv(spark, wide).rows.count()
+    (tmp_path / "folder").mkdir()
+    write(tmp_path / "folder", "a_2024.csv", "RA,Fase,INDE 2024\n1,A,7\n")
+    write(tmp_path / "folder", "b_2024.csv", "")
+    with pytest.raises(NormalizationError, match="b_2024.csv is empty"):
+        sniff(spark, list_csv(spark, str(tmp_path / "folder")))
+
+
 def test_period_filter_prunes_folders(spark, store):
     store.append_records(fixtures.panel(spark), 1)
-    plan = store.records().where("ano_referencia = 2023").select("ra")._jdf.queryExecution().executedPlan().toString()
+    plan = store.records().where("ano_referencia = 2022").select("ra")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(ano_referencia" in plan and "ReadSchema: struct<ra:string>" in plan
 
 
@@ -166,7 +204,7 @@ def test_normalized_export(spark, tmp_path):
     path = export_normalized(file, str(tmp_path / "out"))
     assert path.endswith("/lote.a_2022__normalized_2022.csv")
     row = spark.read.csv(path, header=True).first()
-    assert len(row) == 56 and (row.ra, row.inde_atual, row.escola) == ("RA-1", "5.783", None)
+    assert len(row) == 56 and (row.ra, row.inde_atual, row.escola) == ("E-41", "6.108", None)
 
 
 def test_exports(spark, tmp_path):

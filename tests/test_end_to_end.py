@@ -24,31 +24,31 @@ def trained(spark, tmp_path_factory):
     return store, monitor.train(store, SMALL)
 
 
-def test_labels_of_the_twelve_rows(spark):
+def test_labels_of_the_panel(spark):
     rows = labelled_frame(fixtures.panel(spark), SMALL).orderBy("ano_referencia", "ra").collect()
-    assert [r.target_future_risk for r in rows] == [1, 0, 1, 0] * 2
-    assert [r.flag_ipp_ausente for r in rows] == [1] * 4 + [0] * 4
+    assert [r.target_future_risk for r in rows] == [0, 1, 0, 1, 0] * 2
+    assert [r.flag_ipp_ausente for r in rows] == [1] * 5 + [0] * 5
 
 
 def test_training(trained):
     store, result = trained
-    assert (result.training_rows, result.validation_rows, result.validation_period) == (4, 4, 2023)
+    assert (result.training_rows, result.validation_rows, result.validation_period) == (5, 5, 2022)
     assert len(result.candidates) == 7 and result.candidates[0]["model_name"] == fixed.BASELINE_MODEL
     assert result.candidates[0]["metrics"]["f2"] == 1.0 and result.candidates[0]["metrics"]["brier"] == 0.0
     assert result.winner.model_name != fixed.BASELINE_MODEL
     run = store.latest_run("training_runs").first()
-    assert (run.training_rows, run.validation_rows, len(run.candidates), run.data_version) == (4, 4, 7, "v1-r12")
+    assert (run.training_rows, run.validation_rows, len(run.candidates), run.data_version) == (5, 5, 7, "v1-r15")
     reference, features, _ = store.load_reference()
-    assert reference.count() == 8 and features == list(result.winner.features.columns)
+    assert reference.count() == 10 and features == list(result.winner.features.columns)
     segments = store.latest_run("transition_score_runs").first()
     assert segments.entry_metrics.status == segments.recovery_metrics.status == "unavailable"
     study = store.latest_run("baseline_analysis_runs").first()
-    assert study.error_counts == {"correct": 4, "false_negative": 0, "false_positive": 0} and study.false_negative_importances == []
+    assert study.error_counts == {"correct": 5, "false_negative": 0, "false_positive": 0} and study.false_negative_importances == []
 
 
 def test_models_load_and_score_the_same(spark, trained):
     store, result = trained
-    batch = fixtures.panel(spark).where("ano_referencia = 2024")
+    batch = fixtures.panel(spark).where("ano_referencia = 2023")
     from panelwise.operators.models import score_frame
 
     for kind, bundles in (("frozen", result.frozen), ("candidates", result.operational)):
@@ -68,21 +68,21 @@ def test_models_load_and_score_the_same(spark, trained):
 
 def test_prediction(spark, trained):
     store, _ = trained
-    batch = fixtures.panel(spark).where("ano_referencia = 2024")
+    batch = fixtures.panel(spark).where("ano_referencia = 2023")
     run_id, rows = monitor.predict_batch(store, batch, {}, s=SMALL)
     found = {r.ra: r for r in rows.collect()}
-    assert len(found) == 4 and found["RA-1"][fixed.GROUP_NOW] == "ja_defasado" and found["RA-2"][fixed.STATE_NOW] is False
+    assert len(found) == 5 and found["E-2"][fixed.GROUP_NOW] == "ja_defasado" and found["E-1"][fixed.STATE_NOW] is False
     assert all(r[fixed.RELEVANT_SCORE] is None for r in found.values())
     run = store.latest_run("prediction_runs").first()
-    assert (run.id, run.row_count, run.reference_year) == (run_id, 4, 2024)
+    assert (run.id, run.row_count, run.reference_year) == (run_id, 5, 2023)
     rule = f"{fixed.BASELINE_MODEL}__{fixed.BASELINE_STRATEGY}"
-    _, rows = monitor.predict_batch(store, batch, {"reference_year": 2024}, rule, SMALL)
-    assert {r.ra: r[fixed.PREDICTION] for r in rows.collect()} == {"RA-1": 1, "RA-2": 0, "RA-3": 1, "RA-4": 0}
+    _, rows = monitor.predict_batch(store, batch, {"reference_year": 2023}, rule, SMALL)
+    assert {r.ra: r[fixed.PREDICTION] for r in rows.collect()} == {"E-1": 0, "E-2": 1, "E-3": 0, "E-4": 1, "E-5": 0}
 
 
 def test_batch_without_level_or_features(spark, trained):
     store, _ = trained
-    bare = spark.createDataFrame([("x", 2024, "s", "f")], "ra string, ano_referencia int, source_schema string, source_file string")
+    bare = spark.createDataFrame([("x", 2023, "s", "f")], "ra string, ano_referencia int, source_schema string, source_file string")
     _, rows = monitor.predict_batch(store, bare, {}, s=SMALL)
     row = rows.first()
     assert row[fixed.GROUP_NOW] is None and row[fixed.PROBABILITY] is not None
@@ -91,28 +91,28 @@ def test_batch_without_level_or_features(spark, trained):
 def test_evaluations(spark, trained):
     store, result = trained
     rows = fixtures.panel(spark)
-    run_id, pair = monitor.evaluate_files(store, rows.where("ano_referencia = 2023"), rows.where("ano_referencia = 2024"), {}, SMALL)
-    assert (pair.compared_rows, pair.current_period, pair.next_period) == (4, 2023, 2024)
-    assert store.load_evaluation(run_id, pair.model_id).count() == 4
+    run_id, pair = monitor.evaluate_files(store, rows.where("ano_referencia = 2022"), rows.where("ano_referencia = 2023"), {}, SMALL)
+    assert (pair.compared_rows, pair.current_period, pair.next_period) == (5, 2022, 2023)
+    assert store.load_evaluation(run_id, pair.model_id).count() == 5
     summary = monitor.latest_evaluation(store).first()
-    assert (summary.rows, summary.actual_positive) == (4, 2)
-    run_id, found = monitor.evaluate_frozen(store, rows.where("ano_referencia = 2023"), {}, s=SMALL)
+    assert (summary.rows, summary.actual_positive) == (5, 2)
+    run_id, found = monitor.evaluate_frozen(store, rows.where("ano_referencia = 2022"), {}, s=SMALL)
     assert len(found.summaries) == 7 and found.summaries[0]["f2"] == max(x["f2"] for x in found.summaries)
     assert next(x for x in found.summaries if x["model_name"] == fixed.BASELINE_MODEL)["f2"] == 1.0
     run = store.latest_run("evaluation_runs").first()
-    assert run.compared_rows == 28 and len(run.summaries) == 7
+    assert run.compared_rows == 35 and len(run.summaries) == 7
     path = run.summaries[0].output_file
-    assert spark.read.csv(path, header=True).count() == 4
+    assert spark.read.csv(path, header=True).count() == 5
     with pytest.raises(ModelingError):
-        evaluate_candidates(rows.where("ano_referencia = 2022"), rows, result.frozen, SMALL)
-    stranger = rows.where("ano_referencia = 2024").withColumn("ra", F.lit("other"))
+        evaluate_candidates(rows.where("ano_referencia = 2021"), rows, result.frozen, SMALL)
+    stranger = rows.where("ano_referencia = 2023").withColumn("ra", F.lit("other"))
     with pytest.raises(ModelingError):
-        evaluate_pair(rows.where("ano_referencia = 2023"), stranger, result.winner, {}, SMALL)
+        evaluate_pair(rows.where("ano_referencia = 2022"), stranger, result.winner, {}, SMALL)
 
 
 def test_drift_run_and_reports(spark, trained):
     store, result = trained
-    batch = fixtures.panel(spark).where("ano_referencia = 2024")
+    batch = fixtures.panel(spark).where("ano_referencia = 2023")
     _, run = monitor.monitor_drift(store, batch, {}, SMALL)
     row = run.first()
     assert row.feature_rows == len(result.winner.features.columns) and row.alert_count == sum(d.alert for d in row.details)
@@ -120,7 +120,7 @@ def test_drift_run_and_reports(spark, trained):
     compared = monitor.candidate_comparison(store).collect()
     assert [c.is_best_overall for c in compared].count(True) == 1 and compared[0].model_name == fixed.BASELINE_MODEL
     report = monitor.overview_report(store).first()
-    assert (report.rows, report.entities, report.periods, report.candidate_count) == (12, 4, [2022, 2023, 2024], 7)
+    assert (report.rows, report.entities, report.periods, report.candidate_count) == (15, 5, [2021, 2022, 2023], 7)
     assert report.drift_alert_count == row.alert_count and report.selected_model == result.winner.model_name
     assert monitor.actionable_insights(store).count() == 0
 
@@ -130,7 +130,7 @@ def test_report_exports(spark, trained, tmp_path):
     paths = monitor.export_reports(store, str(tmp_path))
     found = spark.read.json(paths[0]).first()
     assert found.selected_model == result.winner.model_name and len(found.candidates) == 7
-    assert spark.read.json(paths[1]).first().error_counts.correct == 4
+    assert spark.read.json(paths[1]).first().error_counts.correct == 5
 
 
 def test_empty_store_reports(spark, tmp_path):
@@ -140,9 +140,9 @@ def test_empty_store_reports(spark, tmp_path):
 
 def test_one_labelled_period_is_not_enough(spark):
     with pytest.raises(ModelingError, match="two labelled periods"):
-        train_and_select(fixtures.panel(spark).where("ano_referencia > 2022"), SMALL)
+        train_and_select(fixtures.panel(spark).where("ano_referencia > 2021"), SMALL)
     with pytest.raises(ModelingError, match="consecutive"):
-        train_and_select(fixtures.panel(spark).where("ano_referencia = 2022"), SMALL)
+        train_and_select(fixtures.panel(spark).where("ano_referencia = 2021"), SMALL)
 
 
 def larger_panel(spark):
