@@ -1,4 +1,4 @@
-"""Drift between two years, and the residual study of the rule."""
+"""Drift between the earlier and the later years, and the residual study of the rule."""
 
 from pyspark.sql import functions as F
 
@@ -12,30 +12,37 @@ NUMBERS = ["level", "n_orders", "min_price", "max_price"]
 TEXTS = ["segment", "nation", "priority"]
 
 
-def two_years(spark, folder, build=full_panel):
-    panel = build(spark, folder)
-    return panel.where("period = 1995"), panel.where("period = 2000")
+def sides(spark, folder, rows):
+    """Rows of the earlier and of the later years, cut in the middle of the years there are."""
+    year = F.year("o_orderdate")
+    middle = table(spark, folder, "orders").agg((F.min(year) + F.max(year)) / 2).scalar()
+    return rows.where(F.col("period") <= middle), rows.where(F.col("period") > middle)
+
+
+def two_sides(spark, folder, build=full_panel):
+    return sides(spark, folder, build(spark, folder))
 
 
 def price_sides(spark, folder):
-    """All order prices of 1995 and of 2000: every value of the year, not only the panel's means."""
-    orders = table(spark, folder, "orders").select(F.year("o_orderdate").alias("period"), F.col("o_totalprice").alias("price"))
-    return orders.where("period = 1995"), orders.where("period = 2000")
+    """All order prices: every value, not only the panel's means."""
+    orders = table(spark, folder, "orders")
+    return sides(spark, folder, orders.select(F.year("o_orderdate").alias("period"), F.col("o_totalprice").alias("price")))
 
 
-# Long form of the panel's numbers, quantile edges of 1995, bins and shares, in SQL.
-LONG = FULL_PANEL + """,
+# Long form of the panel's numbers, quantile edges of the earlier years, bins and shares, in SQL.
+SIDE = """CASE WHEN period > (SELECT (min(year(o_orderdate)) + max(year(o_orderdate))) / 2.0 FROM orders) THEN 'later' ELSE 'earlier' END AS side"""
+LONG = FULL_PANEL + f""",
 long AS (
-  SELECT feature, value, period FROM full_panel UNPIVOT (value FOR feature IN (level, n_orders, min_price, max_price)) WHERE period IN (1995, 2000))
+  SELECT feature, value, {SIDE} FROM full_panel UNPIVOT (value FOR feature IN (level, n_orders, min_price, max_price)))
 """
 EDGES = """
-quantiles AS (SELECT feature, unnest(quantile_cont(value, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0])) AS edge FROM long WHERE period = 1995 GROUP BY feature),
+quantiles AS (SELECT feature, unnest(quantile_cont(value, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0])) AS edge FROM long WHERE side = 'earlier' GROUP BY feature),
 edges AS (SELECT feature, edge, row_number() OVER w AS i, lead(edge) OVER w AS upper, count(*) OVER (PARTITION BY feature) AS n
   FROM (SELECT DISTINCT feature, edge FROM quantiles) WINDOW w AS (PARTITION BY feature ORDER BY edge))
 """
 BINNED = """
 binned AS (
-  SELECT e.feature, CAST(e.i - 1 AS INTEGER) AS bin, e.n, count(*) FILTER (period = 1995) AS r, count(*) FILTER (period = 2000) AS c
+  SELECT e.feature, CAST(e.i - 1 AS INTEGER) AS bin, e.n, count(*) FILTER (side = 'earlier') AS r, count(*) FILTER (side = 'later') AS c
   FROM edges e JOIN long l ON l.feature = e.feature AND l.value >= e.edge AND (l.value < e.upper OR (e.i = e.n - 1 AND l.value <= e.upper))
   GROUP BY 1, 2, 3)
 """
@@ -44,8 +51,8 @@ shares AS (SELECT feature, greatest(r / CAST(sum(r) OVER w AS DOUBLE), 1e-6) AS
   WHERE n >= 3 WINDOW w AS (PARTITION BY feature)),
 psi AS (SELECT feature, sum((cs - rs) * ln(cs / rs)) AS psi FROM shares GROUP BY feature)
 """
-PRICE_LONG = """
-long AS (SELECT 'price' AS feature, o_totalprice AS value, year(o_orderdate) AS period FROM orders WHERE year(o_orderdate) IN (1995, 2000))
+PRICE_LONG = f"""
+long AS (SELECT feature, value, {SIDE} FROM (SELECT 'price' AS feature, o_totalprice AS value, year(o_orderdate) AS period FROM orders))
 """
 
 
@@ -53,7 +60,7 @@ long AS (SELECT 'price' AS feature, o_totalprice AS value, year(o_orderdate) AS
 WITH {LONG}, {EDGES} SELECT feature, CAST(i - 1 AS INTEGER) AS position, round(edge, 4) AS edge FROM edges
 """)
 def a13(spark, folder):
-    reference, current = two_years(spark, folder, order_panel)
+    reference, current = two_sides(spark, folder, order_panel)
     counts = drift.value_counts(reference, current, NUMBERS, "double")
     edges = drift.quantile_edges(counts).select("feature", F.posexplode("edges").alias("position", "edge"))
     return rounded(edges, "edge", digits=4)
@@ -61,7 +68,7 @@ def a13(spark, folder):
 
 @query("a14_histogram", f"WITH {LONG}, {EDGES}, {BINNED} SELECT feature, bin, r, c FROM binned")
 def a14(spark, folder):
-    reference, current = two_years(spark, folder, order_panel)
+    reference, current = two_sides(spark, folder, order_panel)
     counts = drift.value_counts(reference, current, NUMBERS, "double")
     return drift.histogram(counts, drift.quantile_edges(counts)).select("feature", "bin", "r", "c")
 
@@ -93,15 +100,15 @@ def a15_sketch(spark, folder):
 
 NUMERIC = """
 numeric AS (
-  SELECT feature, avg(value) FILTER (period = 1995) AS reference_mean, avg(value) FILTER (period = 2000) AS current_mean FROM long GROUP BY feature),
+  SELECT feature, avg(value) FILTER (side = 'earlier') AS reference_mean, avg(value) FILTER (side = 'later') AS current_mean FROM long GROUP BY feature),
 numeric_rows AS (
   SELECT feature, 'numeric' AS type, round(reference_mean, 4) AS reference_mean, round(current_mean, 4) AS current_mean, round(psi, 6) AS psi,
     psi >= 0.2 OR abs(current_mean - reference_mean) >= greatest(abs(reference_mean) * 0.25, 0.5) AS alert
   FROM numeric JOIN psi USING (feature))
 """
-CATEGORICAL = """
-texts AS (SELECT feature, category, period FROM full_panel UNPIVOT (category FOR feature IN (segment, nation, priority)) WHERE period IN (1995, 2000)),
-kinds AS (SELECT feature, category, count(*) FILTER (period = 1995) AS r, count(*) FILTER (period = 2000) AS c FROM texts GROUP BY 1, 2),
+CATEGORICAL = f"""
+texts AS (SELECT feature, category, {SIDE} FROM full_panel UNPIVOT (category FOR feature IN (segment, nation, priority))),
+kinds AS (SELECT feature, category, count(*) FILTER (side = 'earlier') AS r, count(*) FILTER (side = 'later') AS c FROM texts GROUP BY 1, 2),
 sided AS (SELECT *, sum(r) OVER (PARTITION BY feature) AS ra, sum(c) OVER (PARTITION BY feature) AS ca,
   row_number() OVER (PARTITION BY feature ORDER BY r DESC, category) AS rr, row_number() OVER (PARTITION BY feature ORDER BY c DESC, category) AS cr FROM kinds),
 measured AS (SELECT feature, max(category) FILTER (rr = 1) AS reference_top, max(category) FILTER (cr = 1) AS current_top,
@@ -114,18 +121,18 @@ categorical_rows AS (
 
 @query("a16_numeric_drift", f"WITH {LONG}, {EDGES}, {BINNED}, {PSI}, {NUMERIC} SELECT * FROM numeric_rows")
 def a16(spark, folder):
-    rows = drift.numeric_drift(*two_years(spark, folder, order_panel), NUMBERS).drop("position")
+    rows = drift.numeric_drift(*two_sides(spark, folder, order_panel), NUMBERS).drop("position")
     return rounded(rounded(rows, "psi"), "reference_mean", "current_mean", digits=4)
 
 
 @query("a17_categorical_drift", f"WITH {FULL_PANEL}, {CATEGORICAL} SELECT * FROM categorical_rows")
 def a17(spark, folder):
-    rows = drift.categorical_drift(*two_years(spark, folder), TEXTS).drop("position")
+    rows = drift.categorical_drift(*two_sides(spark, folder), TEXTS).drop("position")
     return rounded(rows, "distribution_shift", "new_category_rate")
 
 
 @query("j5_distribution_outer_join", """
-WITH k AS (SELECT l_shipdate < TIMESTAMP '1996-01-01' AS early, p_brand AS category FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size < 10 OR l_shipdate >= TIMESTAMP '1996-01-01'),
+WITH k AS (SELECT l_shipdate < TIMESTAMP '1996-01-01' AS early, p_brand AS category FROM lineitem JOIN part ON p_partkey = l_partkey),
 n AS (SELECT category, count(*) FILTER (early) AS r, count(*) FILTER (NOT early) AS c FROM k GROUP BY category)
 SELECT category, round(r / CAST(sum(r) OVER () AS DOUBLE), 6) AS reference_share, round(c / CAST(sum(c) OVER () AS DOUBLE), 6) AS current_share FROM n
 """)
@@ -137,12 +144,12 @@ def j5(spark, folder):
 
 
 def shipped_brands(spark, folder):
-    """Brands of small parts shipped before 1996, and of all parts shipped since."""
-    parts = table(spark, folder, "part").select("p_partkey", F.col("p_brand").alias("category"), "p_size")
+    """Brands shipped before 1996, and since."""
+    parts = table(spark, folder, "part").select("p_partkey", F.col("p_brand").alias("category"))
     lines = table(spark, folder, "lineitem").select("l_partkey", "l_shipdate")
     sold = lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
     early = F.col("l_shipdate") < F.lit("1996-01-01").cast("timestamp_ntz")
-    return sold.where(early & (F.col("p_size") < 10)).select("category"), sold.where(~early).select("category")
+    return sold.where(early).select("category"), sold.where(~early).select("category")
 
 
 @query("j6_unseen_rate", """
@@ -172,7 +179,7 @@ SELECT feature, type, reference_mean, current_mean, psi, NULL AS reference_top,
 UNION ALL SELECT feature, type, NULL, NULL, NULL, reference_top, current_top, distribution_shift, new_category_rate, alert FROM categorical_rows
 """)
 def a18(spark, folder):
-    report = drift.drift_report(*two_years(spark, folder), ["level", "segment", "n_orders", "nation", "min_price", "max_price", "priority"], TEXTS)
+    report = drift.drift_report(*two_sides(spark, folder), ["level", "segment", "n_orders", "nation", "min_price", "max_price", "priority"], TEXTS)
     rows = rounded(rounded(report.drop("position"), "psi", "distribution_shift", "new_category_rate"), "reference_mean", "current_mean", digits=4)
     return rows
 
@@ -182,7 +189,7 @@ WITH {LONG}, {EDGES}, {BINNED}, {PSI}, {NUMERIC}, {CATEGORICAL}
 SELECT count(*) AS feature_rows, count(*) FILTER (alert) AS alert_count FROM (SELECT alert FROM numeric_rows UNION ALL SELECT alert FROM categorical_rows)
 """)
 def a18_summary(spark, folder):
-    return drift.drift_summary(drift.drift_report(*two_years(spark, folder), [*NUMBERS, *TEXTS], TEXTS))
+    return drift.drift_summary(drift.drift_report(*two_sides(spark, folder), [*NUMBERS, *TEXTS], TEXTS))
 
 
 # --- residual study ----------------------------------------------------------

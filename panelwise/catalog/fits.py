@@ -1,6 +1,7 @@
-"""Models on the customer panel. Ensembles are small here; the operators' defaults are the real sizes.
+"""Models on the customer panel, with the operators' default sizes.
 
-A fitted forest is not something SQL can restate, so most of these are compared by their rows only.
+A fitted forest is not something SQL can restate; SQL checks what does not depend on the fit: keys,
+rows, decisions against thresholds, states, and what belongs to the rule.
 """
 
 from functools import lru_cache
@@ -8,23 +9,23 @@ from functools import lru_cache
 from pyspark.sql import functions as F
 
 from panelwise import fixed
-from panelwise.catalog.base import LABELLED_FULL, full_panel, labelled_full, query, rounded, table
+from panelwise.catalog.base import FULL_PANEL, LABELLED_FULL, full_panel, labelled_full, query, rounded, table
 from panelwise.catalog.stores import canonical_orders, new_store
 from panelwise.operators import models, residuals
 from panelwise.operators.drift import drift_report
-from panelwise.operators.models import Features, TreeSizes
+from panelwise.operators.models import Features
 from panelwise.operators.normalize import union_all
+from panelwise.operators.panel import temporal_split
 from panelwise.plans import evaluate, monitor, predict, train
 from panelwise.plans.settings import PanelSettings
 
-SMALL = TreeSizes(forest_trees=20, forest_depth=6, boosting_rounds=5, boosting_depth=3, max_bins=64)
 TEXTS = ("segment", "nation", "priority")
 FEATURES_A = Features(("segment", "priority", "n_orders", "avg_price"), TEXTS)
 FEATURES_B = Features(FEATURES_A.columns + ("nation", "min_price", "max_price", "flag_min_missing"), TEXTS)
 SETTINGS = PanelSettings(
     entity="entity", period="period", level="level", target="target", flag_source=None,
     strategies={"strategy_a": FEATURES_A, "strategy_b": FEATURES_B}, provenance=(),
-    numeric_summary=("n_orders", "avg_price", "min_price", "max_price"), categorical_summary=TEXTS, sizes=SMALL,
+    numeric_summary=("n_orders", "avg_price", "min_price", "max_price"), categorical_summary=TEXTS,
 )
 METRICS = ("f2", "recall", "precision", "pr_auc", "roc_auc", "brier")
 
@@ -35,7 +36,14 @@ def panel(spark, folder):
 
 def last_two(spark, folder):
     rows = labelled_full(spark, folder).withColumn("flag_min_missing", (F.col("n_orders") < 2).cast("int"))
-    return rows.where("period = 1995"), rows.where("period = 2000")
+    return temporal_split(rows, "period")
+
+
+def last_pair(spark, folder):
+    """The panel's rows of the last labelled period and of the one after it, and all of them."""
+    rows = panel(spark, folder)
+    last = labelled_full(spark, folder).agg(F.max("period")).first()[0]
+    return rows.where(F.col("period") == last), rows.where(F.col("period") == last + 1), rows
 
 
 @lru_cache(maxsize=4)
@@ -93,19 +101,21 @@ def m4(spark, folder):
 
 
 def fitted_scores(spark, folder, name):
-    """One candidate fitted on the first year, its probabilities on the last."""
+    """One candidate fitted on the first labelled period, its probabilities on the last."""
     training, validation = last_two(spark, folder)
     counts = models.class_counts(training, "target")
-    estimator = models.candidates(SMALL, "target", sum(counts.values()))[name]
+    estimator = models.candidates(SETTINGS.sizes, "target", sum(counts.values()))[name]
     model = models.fit(training, FEATURES_B, estimator, "target", counts)
     scored = models.probability_of(model, validation, FEATURES_B, ["entity", "target"], "probability")
     return rounded(scored, "probability", digits=4)
 
 
-@query("m5_fit_and_transform")
+@query("m5_fit_and_transform", f"""
+WITH {LABELLED_FULL} SELECT target, count(*) AS rows, count(*) AS probabilities FROM labelled WHERE period = (SELECT max(period) FROM labelled) GROUP BY target
+""")
 def m5(spark, folder):
     return fitted_scores(spark, folder, "random_forest").groupBy("target").agg(
-        F.count("*").alias("rows"), F.round(F.avg("probability"), 3).alias("mean_probability")
+        F.count("*").alias("rows"), F.count_if(F.col("probability").between(0, 1)).alias("probabilities")
     )
 
 
@@ -172,28 +182,55 @@ def m12(spark, folder):
                       tag(study.entry_importances, "entry"), tag(study.recovery_importances, "recovery")])
 
 
+SCORED = f"""
+WITH {FULL_PANEL} SELECT entity, period, true AS decided, true AS is_probability FROM full_panel
+"""
+
+
 def batch(spark, folder):
-    return panel(spark, folder).where("period = 2001")
+    return panel(spark, folder)
+
+
+def checked(scored, *keep):
+    """Keys with whether the decision follows from a probability."""
+    probability, wanted = F.col(fixed.PROBABILITY), F.col("threshold") if "threshold" in scored.columns else F.lit(fixed.DECISION_THRESHOLD)
+    return scored.select(
+        "entity", "period", (F.col(fixed.PREDICTION) == (probability >= wanted).cast("int")).alias("decided"),
+        probability.between(0, 1).alias("is_probability"), *keep,
+    )
 
 
-@query("m13_score_batch")
+@query("m13_score_batch", SCORED)
 def m13(spark, folder):
-    return models.score_frame(trained(spark, folder).winner, batch(spark, folder), ["entity", "period"], "level")
+    return checked(models.score_frame(trained(spark, folder).winner, batch(spark, folder), ["entity", "period"], "level"))
 
 
 @query("m14_resolve_model", f"""
-WITH {LABELLED_FULL} SELECT 'baseline_persistencia' AS model_name, 'baseline_current_defasagem' AS strategy, 'baseline' AS kind, false AS has_model, CAST(NULL AS INTEGER) AS validation_period
+WITH {FULL_PANEL} SELECT entity, period, CASE WHEN level < 0 THEN 1 ELSE 0 END AS decision FROM full_panel
 """)
 def m14(spark, folder):
+    """The rule as it comes back from the model store, applied to the panel."""
     from panelwise.sources.model_store import resolve_model, save_models
 
     store = new_store(spark)
     save_models(spark, store.root, "candidates", trained(spark, folder).operational)
     b = resolve_model(spark, store.root, f"{fixed.BASELINE_MODEL}__{fixed.BASELINE_STRATEGY}")
-    return spark.createDataFrame(
-        [(b.model_name, b.strategy, b.kind, b.model is not None, b.validation_period)],
-        "model_name string, strategy string, kind string, has_model boolean, validation_period int",
-    )
+    scored = models.score_frame(b, batch(spark, folder), ["entity", "period"], "level")
+    return scored.select("entity", "period", F.col(fixed.PREDICTION).alias("decision"))
+
+
+@query("s6_load_model", SCORED.replace("true AS is_probability", "true AS is_probability, true AS same"))
+def s6(spark, folder):
+    """A fitted model scores after loading as it did before it was saved."""
+    from panelwise.sources.model_store import resolve_model, save_models
+
+    store, winner = new_store(spark), trained(spark, folder).winner
+    save_models(spark, store.root, "candidates", trained(spark, folder).operational)
+    loaded = resolve_model(spark, store.root, winner.model_id)
+    keys = ["entity", "period"]
+    before = models.score_frame(winner, batch(spark, folder), keys, "level").select(*keys, F.col(fixed.PROBABILITY).alias("was"))
+    after = models.score_frame(loaded, batch(spark, folder), keys, "level")
+    return checked(after.join(before, keys), (F.col("was") == F.col(fixed.PROBABILITY)).alias("same"))
 
 
 @query("m15_predict")
@@ -201,30 +238,43 @@ def m15(spark, folder):
     return predict.predict(batch(spark, folder), trained(spark, folder).winner, segment_models(spark, folder), SETTINGS)
 
 
-@query("m16_evaluate_pair")
+@query("m16_evaluate_pair", f"""
+WITH {LABELLED_FULL} SELECT count(*) AS compared_rows, max(period) + 0 AS current_period, max(period) + 1 AS next_period, true AS measured FROM labelled WHERE period = (SELECT max(period) FROM labelled)
+""")
 def m16(spark, folder):
-    rows = panel(spark, folder)
-    found = evaluate.evaluate_pair(
-        rows.where("period = 2000"), rows.where("period = 2001"), trained(spark, folder).winner, segment_models(spark, folder), SETTINGS
+    current, following, _ = last_pair(spark, folder)
+    found = evaluate.evaluate_pair(current, following, trained(spark, folder).winner, segment_models(spark, folder), SETTINGS)
+    measured = all(0 <= found.metrics[m] <= 1 for m in METRICS)
+    return spark.createDataFrame(
+        [(found.compared_rows, found.current_period, found.next_period, measured)],
+        "compared_rows long, current_period int, next_period int, measured boolean",
     )
-    return metric_rows(spark, [{"model_name": found.model_id, "strategy": f"{found.compared_rows}", "metrics": found.metrics}])
 
 
-@query("m17_evaluate_candidates")
+@query("m17_evaluate_candidates", f"""
+WITH {LABELLED_FULL} SELECT entity, period, round(next_level, 4) AS level, target AS actual, CASE WHEN level < 0 THEN 1 ELSE 0 END AS decision
+FROM labelled WHERE period = (SELECT max(period) FROM labelled)
+""")
 def m17(spark, folder):
-    rows = panel(spark, folder)
-    found = evaluate.evaluate_candidates(rows.where("period = 2000"), rows, trained(spark, folder).frozen, SETTINGS)
-    return metric_rows(spark, [{**r, "metrics": r} for r in found.summaries])
+    """The stored rows of the rule: the batch's keys with the next period's level."""
+    current, _, rows = last_pair(spark, folder)
+    found = evaluate.evaluate_candidates(current, rows, trained(spark, folder).frozen, SETTINGS).rows
+    of_rule = found.where(F.col("model_id") == f"{fixed.BASELINE_MODEL}__{fixed.BASELINE_STRATEGY}")
+    return of_rule.select("entity", "period", F.round("level", 4).alias("level"), F.col(fixed.ACTUAL).alias("actual"), F.col(fixed.PREDICTION).alias("decision"))
 
 
 @query("u5_score_all_models", f"""
-WITH {LABELLED_FULL} SELECT CAST(count(*) AS BIGINT) AS rows, CAST(7 AS BIGINT) AS models FROM labelled WHERE period = (SELECT max(period) FROM labelled)
+WITH {LABELLED_FULL} SELECT entity, CAST(7 AS BIGINT) AS models, CAST(7 AS BIGINT) AS decided, CASE WHEN level < 0 THEN 1 ELSE 0 END AS rule
+FROM labelled WHERE period = (SELECT max(period) FROM labelled)
 """)
 def u5(spark, folder):
     result = trained(spark, folder)
     scored = models.score_all(result.frozen, result.validation, ["entity"], "level")
-    per_model = scored.groupBy("model_id").agg(F.count("*").alias("rows"))
-    return per_model.groupBy("rows").agg(F.count("*").alias("models"))
+    rule = F.when(F.col(fixed.MODEL_USED) == fixed.BASELINE_MODEL, F.col(fixed.PREDICTION))
+    return scored.groupBy("entity").agg(
+        F.countDistinct("model_id").alias("models"),
+        F.count_if(F.col(fixed.PREDICTION) == (F.col(fixed.PROBABILITY) >= F.col("threshold")).cast("int")).alias("decided"), F.max(rule).alias("rule"),
+    )
 
 
 @query("m18_actionable_insights")
@@ -241,19 +291,19 @@ def m18(spark, folder):
 
 
 @query("s4_reference_scan", f"""
-WITH {LABELLED_FULL} SELECT count(*) AS rows FROM labelled
+WITH {LABELLED_FULL} SELECT segment, priority, n_orders, round(avg_price, 4) AS avg_price FROM labelled
 """)
 def s4(spark, folder):
     store, result = new_store(spark), trained(spark, folder)
     store.save_reference(3, result.reference)
     store.append_run("training_runs", {"id": 3, "selected_feature_columns": list(result.winner.features.columns)})
     reference, _, _ = store.load_reference()
-    return reference.agg(F.count("*").alias("rows"))
+    return rounded(reference.select("segment", "priority", "n_orders", "avg_price"), "avg_price", digits=4)
 
 
 @query("a18_drift_against_training")
 def a18_training(spark, folder):
-    """The newest year against the rows the winner was trained on."""
+    """All rows against the rows the winner was trained on."""
     winner = trained(spark, folder).winner.features
     current = models.coerce_features(batch(spark, folder), winner)
     return drift_report(trained(spark, folder).reference, current, list(winner.columns), TEXTS).drop("position")

@@ -9,7 +9,7 @@ from panelwise.catalog.base import (
 from panelwise.functions import risk, text
 from panelwise.operators import consolidate, metrics, ranking
 from panelwise.operators.models import class_weights
-from panelwise.operators.panel import next_value, with_next_period
+from panelwise.operators.panel import next_value, temporal_split, with_next_period
 from panelwise.operators.running import row_numbers
 from panelwise.plans.evaluate import join_actuals, outcome_counts, weighted_metrics
 from panelwise.plans.train import baseline_metrics
@@ -84,48 +84,47 @@ def w5(spark, folder):
 
 
 def predictions_and_actuals(spark, folder):
-    """Every order of 1999 as a prediction for its customer, every customer of 2000 as an outcome."""
+    """Every order as a prediction for its customer and year, every order of the next year as an outcome.
+
+    A few orders on both sides have no customer; they match each other within their years.
+    """
     orders = table(spark, folder, "orders")
-    year = F.year("o_orderdate")
-    predictions = orders.where(year == 1999).select(
-        "o_orderkey", F.when(F.col("o_orderstatus") != "P", F.col("o_custkey")).alias("entity"),
-        (F.floor(F.col("o_totalprice") / 5000) / 100).alias(fixed.PROBABILITY),
+    price = F.col("o_totalprice")
+    predictions = orders.select(
+        "o_orderkey", F.struct(F.when(price < 495000, F.col("o_custkey")).alias("entity"), F.year("o_orderdate").alias("period")).alias("key"),
+        (F.floor(price / 5000) / 100).alias(fixed.PROBABILITY),
     ).withColumn(fixed.PREDICTION, risk.decide(fixed.PROBABILITY))
-    actual = orders.where(year == 2000).select(
-        F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_custkey")).alias("entity"),
-        risk.baseline_predict(F.col("o_totalprice") - 250000).alias(fixed.ACTUAL),
+    actual = orders.select(
+        F.struct(F.when(price >= 6000, F.col("o_custkey")).alias("entity"), (F.year("o_orderdate") - 1).alias("period")).alias("key"),
+        risk.baseline_predict(price - 250000).alias(fixed.ACTUAL),
     )
     return predictions, actual
 
 
 PAIRS = """
-predictions AS (SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_custkey END AS entity, floor(o_totalprice / 5000) / 100 AS score
-  FROM orders WHERE year(o_orderdate) = 1999),
-actual AS (SELECT CASE WHEN o_orderpriority <> '5-LOW' THEN o_custkey END AS entity, CASE WHEN o_totalprice < 250000 THEN 1 ELSE 0 END AS target
-  FROM orders WHERE year(o_orderdate) = 2000)
+predictions AS (SELECT o_orderkey, CASE WHEN o_totalprice < 495000 THEN o_custkey END AS entity, year(o_orderdate) AS period, floor(o_totalprice / 5000) / 100 AS score FROM orders),
+actual AS (SELECT CASE WHEN o_totalprice >= 6000 THEN o_custkey END AS entity, year(o_orderdate) - 1 AS period, CASE WHEN o_totalprice < 250000 THEN 1 ELSE 0 END AS target FROM orders)
 """
 
 
 @query("j2_join_actuals", f"""
-WITH {PAIRS} SELECT o_orderkey, p.entity, target AS real_risco_defasagem, (score >= 0.5) = (target = 1) AS acerto
-FROM predictions p JOIN actual a ON p.entity = a.entity
+WITH {PAIRS} SELECT o_orderkey, p.entity, CAST(p.period AS INTEGER) AS period, target AS real_risco_defasagem, (score >= 0.5) = (target = 1) AS acerto
+FROM predictions p JOIN actual a ON p.entity IS NOT DISTINCT FROM a.entity AND p.period = a.period
 """)
 def j2(spark, folder):
-    predictions, actual = predictions_and_actuals(spark, folder)
-    # Rows without a key would all match each other; here they are left out on one side.
-    joined = join_actuals(predictions, actual.where(F.col("entity").isNotNull()), "entity")
-    return joined.select("o_orderkey", "entity", fixed.ACTUAL, fixed.HIT)
+    joined = join_actuals(*predictions_and_actuals(spark, folder), "key")
+    return joined.select("o_orderkey", "key.entity", "key.period", fixed.ACTUAL, fixed.HIT)
 
 
 @query("j2_pair_metrics", f"""
 WITH {PAIRS}, scored AS (SELECT 1 AS grp, target, CASE WHEN score >= 0.5 THEN 1 ELSE 0 END AS pred, score
-  FROM predictions p JOIN actual a ON p.entity IS NOT DISTINCT FROM a.entity), {RANKED}, {CONFUSION}
+  FROM predictions p JOIN actual a ON p.entity IS NOT DISTINCT FROM a.entity AND p.period = a.period), {RANKED}, {CONFUSION}
 SELECT rows, tp, fp, fn, tn, round(f2, 6) AS f2, round(recall, 6) AS recall, round(precision, 6) AS precision,
   round(pr_auc, 6) AS pr_auc, round(roc_auc, 6) AS roc_auc, round(brier, 6) AS brier FROM decided JOIN ranking USING (grp)
 """)
 def j2_metrics(spark, folder):
     predictions, actual = predictions_and_actuals(spark, folder)
-    return rounded(weighted_metrics(predictions, outcome_counts(actual, "entity"), "entity", []), *METRICS)
+    return rounded(weighted_metrics(predictions, outcome_counts(actual, "key"), "key", []), *METRICS)
 
 
 def panel_keys(spark, folder):
@@ -382,11 +381,12 @@ def a20(spark, folder):
 
 
 @query("u1_concat_frames", f"""
-WITH {LABELLED_FULL} SELECT entity, period, segment FROM labelled WHERE period = 1995 UNION ALL SELECT entity, period, segment FROM labelled WHERE period = 2000
+WITH {LABELLED_FULL} SELECT entity, period, segment FROM labelled WHERE period = (SELECT min(period) FROM labelled)
+UNION ALL SELECT entity, period, segment FROM labelled WHERE period = (SELECT max(period) FROM labelled)
 """)
 def u1(spark, folder):
-    rows = labelled_full(spark, folder).select("entity", "period", "segment")
-    return rows.where("period = 1995").unionByName(rows.where("period = 2000"))
+    first, last = temporal_split(labelled_full(spark, folder).select("entity", "period", "segment"), "period")
+    return first.unionByName(last)
 
 
 @query("m3_category_levels", f"""

@@ -7,7 +7,7 @@ from panelwise.catalog.base import LABELLED, PANEL, labelled, order_panel, query
 from panelwise.frames import new_folder
 from panelwise.functions import payload, risk, text
 from panelwise.operators import metrics, runs
-from panelwise.operators.normalize import conform
+from panelwise.operators.normalize import conform, union_all
 from panelwise.plans.ingest import bootstrap, ingest, status
 from panelwise.sources.exports import export_csv
 from panelwise.sources.store import Store
@@ -77,8 +77,8 @@ def k2(spark, folder):
     return store.runs("ingestion_runs").select("id", "input_rows", "inserted_rows", "duplicate_rows", "data_version")
 
 
-def layout_files(spark, folder, years=(2000, 2001)):
-    """The orders of some years written as raw CSV: text, decimal commas, headers of two layouts."""
+def layout_files(spark, folder):
+    """The orders of each year written as raw CSV: text, decimal commas, headers of two layouts."""
     comma = F.translate(F.format_number("o_totalprice", 2), ",.", ".,")
     orders = table(spark, folder, "orders")
     raw = orders.select(
@@ -86,9 +86,10 @@ def layout_files(spark, folder, years=(2000, 2001)):
         comma.alias("INDE"), F.when(F.col("o_orderstatus") == "F", "Cursando").otherwise("Não").alias("Ativo/ Inativo"),
     )
     paths = []
+    years = sorted(r.y for r in raw.select("y").distinct().collect())
     for year in years:
         if year % 2:
-            rows = raw.withColumnRenamed("INDE", f"INDE {year}").withColumn("Escola", F.lit("Escola Única"))
+            rows = raw.withColumnRenamed("INDE", "INDE 2024").withColumn("Escola", F.lit("Escola Única"))
         else:
             rows = raw.withColumnRenamed("INDE", "INDE 2023").withColumn("Pedra 2023", F.lit("Ágata"))
         path = new_folder(spark, f"raw{year}")
@@ -98,8 +99,8 @@ def layout_files(spark, folder, years=(2000, 2001)):
 
 
 LAYOUT_ROWS = """
-SELECT CAST(year(o_orderdate) AS INTEGER) AS ano_referencia, CASE WHEN year(o_orderdate) = 2001 THEN 'pede_2024_like' ELSE 'pede_2023_like' END AS source_schema,
-  count(DISTINCT o_custkey) AS n, count(DISTINCT o_custkey) AS entities FROM orders WHERE year(o_orderdate) IN (2000, 2001) GROUP BY 1, 2
+SELECT CAST(year(o_orderdate) AS INTEGER) AS ano_referencia, CASE WHEN year(o_orderdate) % 2 = 1 THEN 'pede_2024_like' ELSE 'pede_2023_like' END AS source_schema,
+  count(DISTINCT o_custkey) AS n, count(DISTINCT o_custkey) AS entities FROM orders GROUP BY 1, 2
 """
 
 
@@ -115,16 +116,16 @@ def s2(spark, folder):
 
 @query("s1_read_layout_csv", """
 SELECT CAST(year(o_orderdate) AS INTEGER) AS ano_referencia, count(*) AS n, round(sum(o_totalprice), 2) AS total, count(*) FILTER (o_orderstatus = 'F') AS enrolled,
-  CAST(count(*) AS BIGINT) AS last_row FROM orders WHERE year(o_orderdate) = 2000 GROUP BY 1
+  CAST(count(*) AS BIGINT) AS last_row FROM orders GROUP BY 1
 """)
 def s1(spark, folder):
     from panelwise.sources.layout_csv import list_csv, read_files, sniff
 
-    (year, path), = layout_files(spark, folder, (2000,))
-    rows = read_files(spark, sniff(spark, list_csv(spark, path)), year)
-    # The part files number their rows each from 1.
-    per_file = rows.groupBy("ano_referencia", "source_file").agg(
-        F.count("*").alias("n"), F.sum("inde_23").alias("total"), F.count_if("status_matricula").alias("enrolled"),
+    found = [read_files(spark, sniff(spark, list_csv(spark, path)), year) for year, path in layout_files(spark, folder)]
+    # The part files number their rows each from 1. Each of the two layouts has the price under another label.
+    price = F.coalesce("inde_23", "inde_atual")
+    per_file = union_all(found).groupBy("ano_referencia", "source_file").agg(
+        F.count("*").alias("n"), F.sum(price).alias("total"), F.count_if("status_matricula").alias("enrolled"),
         F.max("source_row_number").alias("last"), F.countDistinct("source_row_number").alias("numbers"),
     )
     return per_file.groupBy("ano_referencia").agg(

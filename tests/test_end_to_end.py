@@ -99,12 +99,17 @@ def test_evaluations(spark, trained):
     run_id, found = monitor.evaluate_frozen(store, rows.where("ano_referencia = 2022"), {}, s=SMALL)
     assert len(found.summaries) == 7 and found.summaries[0]["f2"] == max(x["f2"] for x in found.summaries)
     assert next(x for x in found.summaries if x["model_name"] == fixed.BASELINE_MODEL)["f2"] == 1.0
+    stored = store.load_evaluation(run_id, f"{fixed.BASELINE_MODEL}__{fixed.BASELINE_STRATEGY}")
+    # the level is the next period's: what the rule saw in 2022 was 1, -2, 0, -1, 3
+    assert {r.ra: r.defasagem for r in stored.collect()} == {"E-1": 0, "E-2": -1, "E-3": 1, "E-4": -2, "E-5": 0}
     run = store.latest_run("evaluation_runs").first()
     assert run.compared_rows == 35 and len(run.summaries) == 7
     path = run.summaries[0].output_file
     assert spark.read.csv(path, header=True).count() == 5
-    with pytest.raises(ModelingError):
+    with pytest.raises(ModelingError, match="no frozen candidate"):
         evaluate_candidates(rows.where("ano_referencia = 2021"), rows, result.frozen, SMALL)
+    with pytest.raises(ModelingError, match="no period 2023"):
+        evaluate_candidates(rows.where("ano_referencia = 2022"), rows.where("ano_referencia < 2023"), result.frozen, SMALL)
     stranger = rows.where("ano_referencia = 2023").withColumn("ra", F.lit("other"))
     with pytest.raises(ModelingError):
         evaluate_pair(rows.where("ano_referencia = 2022"), stranger, result.winner, {}, SMALL)
