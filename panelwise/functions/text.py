@@ -49,13 +49,12 @@ def strip_accents(c: Column | str) -> Column:
     plain = F.translate(text, single_from, single_to)
     # Rare: only rows that hold an expandable character pay for the per-character lookup.
     expansions = F.from_json(F.lit(json.dumps(longer)), "map<string,string>")
+    # The map is searched from its front, so only characters that are in it are looked up.
+    has = lambda c: F.length(F.translate(c, "".join(longer), "")) < F.length(c)
     expanded = F.array_join(
-        F.transform(
-            F.split(plain, ""), lambda ch: F.when(ch > "\x7f", F.coalesce(F.element_at(expansions, ch), ch)).otherwise(ch)
-        ),
-        "",
+        F.transform(F.split(plain, ""), lambda ch: F.when((ch > "\x7f") & has(ch), F.element_at(expansions, ch)).otherwise(ch)), ""
     )
-    expandable = F.length(F.translate(plain, "".join(longer), "")) < F.length(plain)
+    expandable = has(plain)
     folded = F.regexp_replace(F.when(expandable, expanded).otherwise(plain), r"[^\x00-\x7F]", "")
     # Plain ASCII, the usual case, stays as it is.
     return F.when(F.octet_length(text) == F.length(text), text).otherwise(folded)
