@@ -49,7 +49,15 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.remove_repeated(table(spark, folder, "documents"))
 
 
-@query("op7_nn_descent")
+@query("op7_nn_descent", """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reach(vec_id, other) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON l.a = r.other),
+smallest AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id),
+counted AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
+SELECT v.vec_id, coalesce(n_links, 0) AS n_links, component_id, v.vec_id = component_id AS kept
+FROM v LEFT JOIN counted USING (vec_id) JOIN smallest USING (vec_id)
+""")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return nn_descent.near_vectors(table(spark, folder, "embeddings"))
 
