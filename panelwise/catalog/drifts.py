@@ -62,7 +62,7 @@ WITH {LONG}, {EDGES} SELECT feature, CAST(i - 1 AS INTEGER) AS position, round(e
 def a13(spark, folder):
     reference, current = two_sides(spark, folder, order_panel)
     counts = drift.value_counts(reference, current, NUMBERS, "double")
-    edges = drift.quantile_edges(counts).select("feature", F.posexplode("edges").alias("position", "edge"))
+    edges = drift.quantile_edges(counts, features=len(NUMBERS)).select("feature", F.posexplode("edges").alias("position", "edge"))
     return rounded(edges, "edge", digits=4)
 
 
@@ -70,13 +70,13 @@ def a13(spark, folder):
 def a14(spark, folder):
     reference, current = two_sides(spark, folder, order_panel)
     counts = drift.value_counts(reference, current, NUMBERS, "double")
-    return drift.histogram(counts, drift.quantile_edges(counts)).select("feature", "bin", "r", "c")
+    return drift.histogram(counts, drift.quantile_edges(counts, features=len(NUMBERS))).select("feature", "bin", "r", "c")
 
 
 @query("a15_psi", f"WITH {PRICE_LONG}, {EDGES}, {BINNED}, {PSI} SELECT feature, round(psi, 6) AS psi FROM psi")
 def a15(spark, folder):
     counts = drift.value_counts(*price_sides(spark, folder), ["price"], "double")
-    return rounded(drift.psi(counts, drift.quantile_edges(counts)), "psi")
+    return rounded(drift.psi(counts, drift.quantile_edges(counts, features=len(NUMBERS))), "psi")
 
 
 FLOAT_GRID = EDGES.replace(
@@ -88,14 +88,14 @@ FLOAT_GRID = EDGES.replace(
 @query("a15_psi_float_grid", f"WITH {PRICE_LONG}, {FLOAT_GRID}, {BINNED}, {PSI} SELECT feature, round(psi, 6) AS psi FROM psi")
 def a15_float(spark, folder):
     counts = drift.value_counts(*price_sides(spark, folder), ["price"], "double")
-    return rounded(drift.psi(counts, drift.quantile_edges(counts, float_quantiles=True)), "psi")
+    return rounded(drift.psi(counts, drift.quantile_edges(counts, float_quantiles=True, features=1)), "psi")
 
 
 @query("a15_psi_sketch_edges")
 def a15_sketch(spark, folder):
     reference, current = price_sides(spark, folder)
-    counts = drift.value_counts(reference, current, ["price"], "double")
-    return rounded(drift.psi(counts, drift.approximate_edges(reference, ["price"])), "psi")
+    rows = drift.value_rows(reference, current, ["price"], "double")
+    return rounded(drift.psi(rows, drift.approximate_edges(reference, ["price"])), "psi")
 
 
 NUMERIC = """
@@ -139,7 +139,7 @@ SELECT category, round(r / CAST(sum(r) OVER () AS DOUBLE), 6) AS reference_share
 def j5(spark, folder):
     reference, current = shipped_brands(spark, folder)
     counts = drift.value_counts(reference, current, ["category"], "string")
-    shares = ranking.share_within(ranking.share_within(counts, ["feature"], "r", "reference_share"), ["feature"], "c", "current_share")
+    shares = ranking.share_within(counts, ["feature"], ["r", "c"], ["reference_share", "current_share"], groups=1)
     return rounded(shares.select(F.col("value").alias("category"), "reference_share", "current_share"), "reference_share", "current_share")
 
 

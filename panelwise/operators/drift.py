@@ -15,8 +15,8 @@ from panelwise.operators.running import exact_quantiles
 BINS = 10
 
 
-def value_counts(reference: DataFrame, current: DataFrame, columns: list[str], kind: str) -> DataFrame:
-    """Feature, value, reference rows ``r``, current rows ``c``. Missing numbers are left out, missing text counts."""
+def value_rows(reference: DataFrame, current: DataFrame, columns: list[str], kind: str) -> DataFrame:
+    """Feature, value, and ``r`` or ``c`` as 1 for the side of the row. Missing numbers are left out, missing text counts."""
 
     def long(df: DataFrame, side: str) -> DataFrame:
         present = df.select(*[F.col(c) if c in df.columns else F.lit(None).alias(c) for c in columns])
@@ -25,15 +25,18 @@ def value_counts(reference: DataFrame, current: DataFrame, columns: list[str], k
             rows = rows.where(F.col("value").isNotNull() & ~F.isnan("value"))
         else:
             rows = rows.withColumn("value", category("value"))
-        return rows.withColumn("side", F.lit(side))
+        return rows.withColumns({s: F.lit(int(s == side)).cast("long") for s in ("r", "c")})
+
+    return long(reference, "r").unionByName(long(current, "c"))
 
-    both = long(reference, "r").unionByName(long(current, "c"))
-    count_of = lambda side: F.count_if(F.col("side") == side).alias(side)
-    return both.groupBy("feature", "value").agg(count_of("r"), count_of("c"))
+
+def value_counts(reference: DataFrame, current: DataFrame, columns: list[str], kind: str) -> DataFrame:
+    """Feature, value, reference rows ``r``, current rows ``c``."""
+    return value_rows(reference, current, columns, kind).groupBy("feature", "value").agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
 
 
 def quantile_edges(
-    counts: DataFrame, bins: int = BINS, float_quantiles: bool = False, slices: int | None = None, features: int = 1000
+    counts: DataFrame, bins: int = BINS, float_quantiles: bool = False, slices: int | None = None, features: int | None = None
 ) -> DataFrame:
     """Distinct quantile edges of the reference side per feature."""
     edges = exact_quantiles(counts, ["feature"], "value", "r", bins, float_quantiles, slices, counted=["r", "c"], groups=features)
@@ -101,10 +104,10 @@ def numeric_drift(
     float_quantiles: bool = False, slices: int | None = None,
 ) -> DataFrame:
     """Means, PSI and alert per numeric feature. A side without values has mean 0."""
-    counts = value_counts(reference, current, columns, "double")
-    if approx:
-        edges = approximate_edges(reference, columns, bins)
+    if approx:  # rows are binned as they come: nothing but a few numbers per feature is shuffled
+        counts, edges = value_rows(reference, current, columns, "double"), approximate_edges(reference, columns, bins)
     else:
+        counts = value_counts(reference, current, columns, "double")
         edges = quantile_edges(counts, bins, float_quantiles, slices, len(columns))
     facts = numeric_facts(counts, edges, bins).select("feature", "reference_mean", "current_mean", "psi")
     rows = null_safe_join(feature_frame(reference.sparkSession, columns), F.broadcast(facts), ["feature"], "left").fillna(

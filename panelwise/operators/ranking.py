@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from panelwise.frames import null_safe_join
+from panelwise.frames import null_safe_join, per_group
 from panelwise.functions.risk import score_bin
 from panelwise.functions.text import natural_key, parse_number, sort_kind
 
@@ -17,10 +17,17 @@ def first_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     return top_n_per_group(df, keys, order, 1, "_first").drop("_first")
 
 
-def share_within(df: DataFrame, by: list[str], n: str, name: str = "share") -> DataFrame:
-    """Part of the group's total. The total is aggregated and joined back, so a large group is not one task."""
-    totals = df.groupBy(*by).agg(F.sum(n).alias("_total"))
-    return null_safe_join(df, totals, by).withColumn(name, F.col(n) / F.col("_total")).drop("_total")
+def share_within(df: DataFrame, by: list[str], n: str | list[str], name: str | list[str] = "share", groups: int | None = None) -> DataFrame:
+    """Part of the group's total, of one column or of several at once.
+
+    The totals are aggregated and joined back, so a large group is not one task; ``groups`` is a known
+    bound on the number of groups, with which they are broadcast.
+    """
+    columns, names = ([x] if isinstance(x, str) else x for x in (n, name))
+    totals = df.groupBy(*by).agg(*[F.sum(c).alias(f"_total_{i}") for i, c in enumerate(columns)])
+    joined = null_safe_join(df, per_group(totals, groups), by)
+    shares = {name: F.col(c) / F.col(f"_total_{i}") for i, (c, name) in enumerate(zip(columns, names, strict=True))}
+    return joined.withColumns(shares).drop(*[f"_total_{i}" for i in range(len(columns))])
 
 
 def mode_per_group(df: DataFrame, by: list[str], column: str) -> DataFrame:

@@ -87,7 +87,7 @@ def select_winner(rows: list[dict]) -> dict:
 
 def train_and_select(panel: DataFrame, s: PanelSettings = PanelSettings()) -> Training:
     """Fit on the first labelled period, compare on the last, refit all candidates on everything."""
-    labelled = materialize(labelled_frame(panel, s))
+    labelled = materialize(labelled_frame(panel, s), s.period)
     periods = {row[0]: row[1] for row in labelled.groupBy(s.period).agg(F.count("*")).collect()}
     if not periods:
         raise ModelingError("no two consecutive periods to label")
