@@ -9,7 +9,7 @@ from panelwise.functions import payload, risk, text
 from panelwise.operators import metrics, runs
 from panelwise.operators.normalize import conform, union_all
 from panelwise.plans.ingest import bootstrap, ingest, status
-from panelwise.sources.exports import export_csv
+from panelwise.sources.exports import export_csv, export_json
 from panelwise.sources.store import Store
 from panelwise.streaming.ingest_stream import ingest_stream
 
@@ -304,3 +304,38 @@ WITH {CANDIDATES} SELECT id, model_name, f2 FROM (SELECT *, row_number() OVER (P
 def o5(spark, folder):
     rows = runs.explode_candidates(candidate_runs(spark, folder))
     return runs.pick_winner(rows, ["id"]).select("id", "model_name", "f2")
+
+
+@query("k4_persist_predictions", f"""
+WITH {PANEL} SELECT entity, period, CASE WHEN level < 0 THEN 1 ELSE 0 END AS decision, CASE WHEN level < 0 THEN 1.0 ELSE 0.0 END AS probability FROM panel
+""")
+def k4(spark, folder):
+    """The rule's predictions for the panel, appended as a run's rows and read back."""
+    from panelwise.operators.models import baseline_bundle, score_frame
+
+    store = new_store(spark)
+    scored = score_frame(baseline_bundle("level"), order_panel(spark, folder), ["entity", "period"], "level")
+    store.append_children("prediction_rows", scored, 1)
+    written = store.children("prediction_rows", 1)
+    return written.select("entity", "period", F.col(fixed.PREDICTION).alias("decision"), F.col(fixed.PROBABILITY).alias("probability"))
+
+
+@query("k7_json_exports", f"""
+WITH {PANEL} SELECT entity, period, CASE WHEN n_orders > 1 THEN round(level, 4) END AS level FROM panel
+""")
+def k7(spark, folder):
+    """Exported as JSON with nulls written out, and read back by schema."""
+    rows = order_panel(spark, folder).select("entity", "period", F.when(F.col("n_orders") > 1, F.round("level", 4)).alias("level"))
+    path = export_json(rows, new_folder(spark, "json"))
+    return spark.read.schema("entity long, period int, level double").json(path)
+
+
+@query("k9_event_append", """
+SELECT o_orderstatus AS message, count(*) AS n FROM orders GROUP BY 1
+""")
+def k9(spark, folder):
+    """One event for each order status, with its number of orders as context."""
+    store = new_store(spark)
+    for row in table(spark, folder, "orders").groupBy("o_orderstatus").count().collect():
+        store.record_event("INFO", "orders", row["o_orderstatus"], {"n": row["count"]})
+    return store.runs("app_events").select("message", F.col("context")["n"].cast("long").alias("n"))
