@@ -66,7 +66,8 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return frames.new_folder(spark, name)
 
 
-ROWS_AT_ONCE = 1_000  # of a batch made into Python strings together
+ROWS_AT_ONCE = 500  # of a batch made into Python strings together
+TEXT_AT_ONCE = 800_000  # characters handled together; a longer text is handled by itself
 
 
 def slices(texts: list[str], most: int) -> Iterator[tuple[int, int]]:
@@ -81,7 +82,7 @@ def slices(texts: list[str], most: int) -> Iterator[tuple[int, int]]:
         yield begin, len(texts)
 
 
-def text_batches(batches: Iterable[pa.RecordBatch], most: int = 2_000_000, text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def text_batches(batches: Iterable[pa.RecordBatch], most: int = TEXT_AT_ONCE, text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Arrow batches cut into runs of bounded text, with null texts read as empty."""
     for whole in batches:
         for at in range(0, whole.num_rows, ROWS_AT_ONCE):

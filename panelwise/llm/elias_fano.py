@@ -197,6 +197,7 @@ def write_tokens(
                 size += len(g)
         if ids:
             yield flush()
+        tokens.forget()
 
     shards = materialize(docs.mapInArrow(run, spec))
     # one small row per file

@@ -137,5 +137,6 @@ def pack(
             if size >= block_ids:
                 yield from flush()
         yield from flush()
+        tokens.forget()
 
     return docs.mapInArrow(run, spec)

@@ -2,8 +2,7 @@
 
 The two kinds of vocabulary used here never merge across a space: one splits every word off with
 the space before it, the other drops white space. So the ids of a text are the ids of its
-space-separated pieces one after the other, and each worker keeps the ids of the pieces it has
-met. Whatever does not fit that rule (added tokens in the text, unusual white space) goes through
+space-separated pieces one after the other, and each task keeps the ids of the pieces it has met. Whatever does not fit that rule (added tokens in the text, unusual white space) goes through
 the library whole. The ids are always the library's own.
 """
 
@@ -15,7 +14,7 @@ import re
 import unicodedata
 from itertools import chain
 
-REMEMBERED = 600_000  # pieces kept per worker and vocabulary
+REMEMBERED = 500_000  # pieces kept per task and vocabulary
 AT_ONCE = 4_096  # pieces given to the library in one call
 ODD_SPACE = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 SPACED = re.compile(r" ?\S+|\s+(?!\S)|\s+")
@@ -119,6 +118,11 @@ class Encoder:
         return [b"".join(map(get, s)) if s is not None else self.whole(t) for s, t in zip(split, texts, strict=True)]
 
 
+    def forget(self) -> None:
+        """Give the remembered pieces back when a task ends; the worker process may be used for other work."""
+        self.known = {}
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
