@@ -1,16 +1,17 @@
 """Near-duplicate vectors by NN-descent.
 
-Every vector keeps its most similar known others. In each round the neighbours of a vector, and the
-vectors that have it as a neighbour, are compared with each other, so that neighbours of neighbours
-become neighbours; rounds go on until little changes. The first lists come from a few orders of the
-vectors by random directions. A list whose entries are all above the threshold is saturated and
-becomes longer. Edges above the threshold give the groups.
+Every vector keeps its most similar known others, however far they are. In each round the neighbours
+of a vector, and the vectors that have it as a neighbour, are compared with each other, so that
+neighbours of neighbours become neighbours; rounds go on until hardly a link is new. The first lists
+come from orders of the vectors by random directions, as many as it takes for a pair at the
+threshold to meet in one of them almost surely. A list whose entries are all above the threshold is
+saturated and becomes longer. Edges above the threshold give the groups.
 
 Lists cannot hold a group of any size, so links are counted, not listed: within a group, a vector
 whose angle to the group's mean plus the largest such angle is below the threshold's is linked with
 all others; the remaining ones are compared with the whole group in blocks, exactly. Last, a bounded
-sample is compared with all vectors; while links are missing there, the search goes on with longer
-lists.
+sample is compared with all vectors; while links are missing there, or vectors lack one of theirs,
+the search goes on with new orders and longer lists, and at last fails.
 """
 
 from __future__ import annotations
@@ -26,12 +27,12 @@ from panelwise.llm.graph import components
 
 THRESHOLD = 0.95
 NEIGHBOURS, LONGER = 8, 4  # list length, and its factor when saturated
-ORDERS, ORDER_BITS, NEXT = 8, 10, 3  # sorted orders for the first lists
-FLOOR = 0.35  # edges this far below the threshold lead nowhere
-ROUNDS, SETTLED = 6, 0.002  # most rounds, and the share of changed entries that ends them
+NEXT, FIRST = 32, 2  # vectors met on each side in an order, and those kept of them besides links
+MISSED, WAVE = 0.001, 8  # chance that a pair at the threshold meets in no order; orders made at once
+ROUNDS, SETTLED = 50, 0.002  # rounds that count as not settling, and the share of new links that ends them
 HUB = 96  # neighbours compared in one group
 BLOCK = 1024  # vectors of a group compared in one task
-AUDIT, AUDIT_RECALL, AUDIT_TRIES = 500, 0.99, 3
+AUDIT, AUDIT_RECALL, AUDIT_TRIES = 2_000, 0.99, 3
 MARGIN = 1e-9
 
 
@@ -43,18 +44,28 @@ def unit(vectors: pa.Array) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def first_edges(vectors: DataFrame, dim: int, floor: float) -> DataFrame:
+def orders_for(n: int, threshold: float) -> int:
+    """Orders after which a pair at the threshold has met with all but the chance ``MISSED``.
+
+    It meets in an order when its first bits agree down to a run of ``NEXT`` vectors.
+    """
+    same = 1 - np.arccos(threshold) / np.pi
+    chance = same ** max(0.0, np.log2(max(1, n) / NEXT))
+    return max(1, int(np.ceil(np.log(MISSED) / np.log1p(-min(chance, 0.999)))))
+
+
+def first_edges(vectors: DataFrame, dim: int, threshold: float, k: int, bits: int, turns: Iterable[int]) -> DataFrame:
     """Edges v, u, sim between vectors that stand close in some order by random directions."""
     spec, schema = arrow_schema(vectors, "v long, u long, sim double")
     out = None
-    for turn in range(ORDERS):
-        axes = np.random.default_rng(turn).standard_normal((dim, ORDER_BITS + 1))
-        key_spec, key_schema = arrow_schema(vectors, "code long, along double, node long, vec array<double>")
+    for turn in turns:
+        axes = np.random.default_rng(turn).standard_normal((dim, bits + 1))
+        key_spec, key_schema = arrow_schema(vectors, f"code long, along double, node long, vec {kind_of(vectors, 'vec')}")
 
         def key(batches: Iterable[pa.RecordBatch], axes: np.ndarray = axes, schema: pa.Schema = key_schema) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 side = unit(batch.column("vec")) @ axes
-                code = (side[:, :-1] > 0) @ (1 << np.arange(ORDER_BITS))
+                code = (side[:, :-1] > 0) @ (1 << np.arange(bits))
                 yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(side[:, -1]), batch.column("node"), batch.column("vec").cast(schema.field("vec").type)], schema=schema)
 
         def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,11 +75,15 @@ def first_edges(vectors: DataFrame, dim: int, floor: float) -> DataFrame:
                 if last is not None:
                     node, x = np.concatenate([last[0], node]), np.concatenate([last[1], x])
                 last = node[-NEXT:], x[-NEXT:]
-                for step in range(1, NEXT + 1):
-                    sim = np.einsum("ij,ij->i", x[:-step], x[step:])
-                    ok = sim >= floor
-                    a, b, s = node[:-step][ok], node[step:][ok], sim[ok]
-                    yield rows_of(schema, v=np.concatenate([a, b]), u=np.concatenate([b, a]), sim=np.concatenate([s, s]))
+                sim, other = np.full((len(node), 2 * NEXT), -2.0), np.zeros((len(node), 2 * NEXT), dtype=np.int64)
+                for step in range(1, min(NEXT, len(node) - 1) + 1):
+                    got = np.einsum("ij,ij->i", x[:-step], x[step:])
+                    sim[:-step, step - 1] = sim[step:, NEXT + step - 1] = got
+                    other[:-step, step - 1], other[step:, NEXT + step - 1] = node[step:], node[:-step]
+                order = np.argsort(-sim, axis=1)[:, :k]
+                sim, other = np.take_along_axis(sim, order, 1), np.take_along_axis(other, order, 1)
+                i, j = np.nonzero((sim >= threshold) | (np.arange(sim.shape[1]) < FIRST) & (sim > -2))
+                yield rows_of(schema, v=node[i], u=other[i, j], sim=sim[i, j])
 
         ordered = vectors.mapInArrow(key, key_spec).repartitionByRange("code", "along").sortWithinPartitions("code", "along")
         edges = ordered.mapInArrow(meet, spec)
@@ -86,14 +101,22 @@ def best(edges: DataFrame, longer: DataFrame | None, k: int) -> DataFrame:
     return ranked.join(longer, "v", "left").where(F.col("r") <= F.coalesce("k", F.lit(k))).select("v", "u", "sim")
 
 
-def descend(graph: DataFrame, vectors: DataFrame, floor: float, turn: int) -> DataFrame:
-    """Edges v, u, sim between neighbours of one vector that are more similar than the worst in v's list."""
+def descend(graph: DataFrame, vectors: DataFrame, longer: DataFrame | None, k: int, active: DataFrame | None, turn: int) -> DataFrame:
+    """Edges v, u, sim between neighbours of one vector that are more similar than the worst in v's list.
+
+    ``active`` holds the vectors (v) whose neighbours are compared; the others' have been.
+    """
     near = graph.select("v", "u")
     near = near.unionByName(near.select(F.col("u").alias("v"), F.col("v").alias("u"))).distinct()
+    if active is not None:
+        near = near.join(active, "v", "left_semi")
     parts = near.groupBy("v").agg(F.count("*").alias("n")).select("v", F.ceil(F.col("n") / HUB).alias("parts"))
-    worst = graph.groupBy("v").agg(F.min("sim").alias("worst"), F.count("*").alias("n")).select(
-        F.col("v").alias("u"), F.when(F.col("n") >= NEIGHBOURS, F.col("worst")).otherwise(F.lit(floor)).alias("worst")
-    )
+    lists = graph.groupBy("v").agg(F.min("sim").alias("worst"), F.count("*").alias("n"))
+    size = F.lit(k)
+    if longer is not None:
+        lists, size = lists.join(longer, "v", "left"), F.coalesce("k", F.lit(k))
+    floor = -2.0
+    worst = lists.select(F.col("v").alias("u"), F.when(F.col("n") >= size, F.col("worst")).otherwise(F.lit(floor)).alias("worst"))
     known = vectors.withColumnRenamed("node", "u").join(worst, "u", "left").withColumn("worst", F.coalesce("worst", F.lit(floor)))
     dealt = near.join(parts, "v").withColumn("part", F.pmod(F.xxhash64("u", F.lit(turn)), F.col("parts"))).join(known, "u")
     groups = dealt.groupBy("v", "part").agg(F.collect_list(F.struct("u", "vec", "worst")).alias("near"))
@@ -107,7 +130,7 @@ def descend(graph: DataFrame, vectors: DataFrame, floor: float, turn: int) -> Da
             ends = np.cumsum(batch.column("near").value_lengths().to_numpy())
             for a, b in zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True):
                 sim = x[a:b] @ x[a:b].T
-                i, j = np.nonzero(sim > np.maximum(worst[a:b], floor)[:, None])
+                i, j = np.nonzero(sim > worst[a:b, None])
                 ok = i != j
                 found.append((node[a:b][i[ok]], node[a:b][j[ok]], sim[i[ok], j[ok]]))
             v, u, sim = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 3
@@ -116,23 +139,30 @@ def descend(graph: DataFrame, vectors: DataFrame, floor: float, turn: int) -> Da
     return groups.select("near").mapInArrow(compare, spec)
 
 
-def search(vectors: DataFrame, dim: int, threshold: float, k: int) -> DataFrame:
-    """The neighbour graph v, u, sim after NN-descent, with longer lists where they were saturated."""
-    floor = threshold - FLOOR
-    graph = materialize(best(first_edges(vectors, dim, floor), None, k))
-    longer = None
+def search(vectors: DataFrame, dim: int, threshold: float, k: int, turns: range, graph: DataFrame | None = None) -> DataFrame:
+    """The neighbour graph v, u, sim after NN-descent, with longer lists where they were saturated.
+
+    ``turns`` numbers the orders, ``graph`` holds what was found before.
+    """
+    bits = min(62, max(10, int(np.ceil(np.log2(max(1, vectors.count()))))))
+    for at in range(0, len(turns), WAVE):
+        edges = first_edges(vectors, dim, threshold, k, bits, turns[at:at + WAVE])
+        graph = materialize(best(edges if graph is None else graph.unionByName(edges), None, k))
+    longer, active = None, None
     for turn in range(ROUNDS):
         back = graph.select(F.col("u").alias("v"), F.col("v").alias("u"), "sim")
-        new = materialize(best(graph.unionByName(back).unionByName(descend(graph, vectors, floor, turn)), longer, k))
-        changed = new.join(graph, ["v", "u"], "left_anti").count()
+        new = materialize(best(graph.unionByName(back).unionByName(descend(graph, vectors, longer, k, active, turns.start + turn)), longer, k))
+        changed = materialize(new.join(graph, ["v", "u"], "left_anti"))
         graph = new
-        if changed > SETTLED * max(1, graph.count()):
+        active = changed.select("v").unionByName(changed.select(F.col("u").alias("v"))).distinct()
+        link = F.col("sim") >= threshold
+        if changed.where(link).count() > SETTLED * graph.where(link).count():
             continue
         full = graph.groupBy("v").agg(F.min("sim").alias("worst"), F.count("*").alias("n")).where((F.col("worst") >= threshold) & (F.col("n") >= k))
         if longer is not None or full.limit(1).count() == 0:
-            break
-        longer = materialize(full.select("v", F.lit(k * LONGER).alias("k")))
-    return graph
+            return graph
+        longer, active = materialize(full.select("v", F.lit(k * LONGER).alias("k"))), None
+    raise RuntimeError(f"the neighbour lists have not settled in {ROUNDS} rounds")
 
 
 def linked_weights(members: DataFrame, threshold: float) -> DataFrame:
@@ -158,7 +188,7 @@ def linked_weights(members: DataFrame, threshold: float) -> DataFrame:
             yield rows_of(sum_schema, component=kinds, total=list(total), n=np.bincount(at, minlength=len(kinds)))
 
     means = members.select("component", "vec").mapInArrow(partial, sum_spec).groupBy("component").applyInArrow(add, sum_spec)
-    angle_spec, angle_schema = arrow_schema(members, "node long, component long, weight long, angle double, vec array<double>")
+    angle_spec, angle_schema = arrow_schema(members, f"node long, component long, weight long, angle double, vec {kind_of(members, 'vec')}")
 
     def angle(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,7 +225,7 @@ def linked_weights(members: DataFrame, threshold: float) -> DataFrame:
 
 
 def audit(vectors: DataFrame, linked: DataFrame, threshold: float, dim: int) -> float:
-    """Share of the true links of a bounded sample that were counted."""
+    """Share of the true links of a bounded sample that were counted, or of its vectors with links that have all, whichever is less."""
     sample = vectors.orderBy(F.xxhash64("node", F.lit(7)), "node").limit(AUDIT).select("node", "vec").toArrow()
     if not sample.num_rows:
         return 1.0
@@ -204,15 +234,20 @@ def audit(vectors: DataFrame, linked: DataFrame, threshold: float, dim: int) ->
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(node), dtype=np.int64)
-        for batch in batches:
-            hit = x @ unit(batch.column("vec")).T >= threshold
-            hit &= node[:, None] != batch.column("node").to_numpy()[None, :]
-            total += hit @ batch.column("weight").to_numpy()
+        for whole in batches:
+            for at in range(0, whole.num_rows, BLOCK):
+                batch = whole.slice(at, BLOCK)
+                hit = x @ unit(batch.column("vec")).T >= threshold
+                hit &= node[:, None] != batch.column("node").to_numpy()[None, :]
+                total += hit @ batch.column("weight").to_numpy()
         yield rows_of(schema, node=node, true=total)
 
-    true = vectors.mapInArrow(count, spec).groupBy("node").agg(F.sum("true").alias("true"))
-    both = true.join(linked, "node", "left").agg(F.sum("true").alias("true"), F.sum(F.least("true", F.coalesce("linked", F.lit(0)))).alias("found")).first()
-    return both["found"] / both["true"] if both["true"] else 1.0
+    true = vectors.mapInArrow(count, spec).groupBy("node").agg(F.sum("true").alias("true")).where(F.col("true") > 0)
+    counted = F.least("true", F.coalesce("linked", F.lit(0)))
+    both = true.join(linked, "node", "left").agg(
+        F.sum("true").alias("true"), F.sum(counted).alias("found"), F.count("*").alias("n"), F.sum((counted == F.col("true")).cast("long")).alias("whole")
+    ).first()
+    return min(both["found"] / both["true"], both["whole"] / both["n"]) if both["n"] else 1.0
 
 
 def near_vectors(
@@ -223,10 +258,12 @@ def near_vectors(
     Equal vectors are one node with their number as weight. Null, empty and zero vectors and those
     with a null or non-finite number have no links; vectors of different lengths never link.
     Repeated rows are links of each other, rows without an id count like others, and an empty table
-    gives no rows. ``log`` gets the audited recall of each try.
+    gives no rows. ``log`` gets the audited recall of each try. When the last try's is too low, there
+    is an error instead of a result with links missing.
     """
     rows = columns(df, vec_id=vec_id, vec=embedding)
-    rows = rows.withColumn("vec", F.col("vec").cast("array<double>"))
+    if kind_of(rows, "vec") != "array<float>":  # floats stay as they are, at half the size
+        rows = rows.withColumn("vec", F.col("vec").cast("array<double>"))
     bad = F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     good = F.coalesce((F.size("vec") > 0) & ~bad & F.exists("vec", lambda x: x != 0), F.lit(False))
     rows = materialize(rows.select("vec_id", F.when(good, F.xxhash64("vec")).alias("node"), F.when(good, F.col("vec")).alias("vec")))
@@ -237,9 +274,9 @@ def near_vectors(
     links, groups = None, None
     for dim in kinds:
         mine = nodes.where(F.col("dim") == dim) if len(kinds) > 1 else nodes
-        size = k
+        size, graph, begin, orders = k, None, 0, orders_for(mine.count(), threshold)
         for _ in range(AUDIT_TRIES):
-            graph = search(mine.select("node", "vec"), dim, threshold, size)
+            graph = search(mine.select("node", "vec"), dim, threshold, size, range(begin, begin + orders), graph)
             label = components(graph.where(F.col("sim") >= threshold).select(F.col("v").alias("a"), F.col("u").alias("b")))
             found = materialize(linked_weights(label.join(mine, "node").select("node", "component", "weight", "vec"), threshold))
             recall = audit(mine, found, threshold, dim)
@@ -247,7 +284,9 @@ def near_vectors(
                 log.append((dim, size, recall))
             if recall >= AUDIT_RECALL:
                 break
-            size *= 2
+            begin, orders, size = begin + orders, 2 * orders, 2 * size
+        else:
+            raise RuntimeError(f"links of vectors of length {dim} are missing: audited recall {recall:.4f}")
         links = found if links is None else links.unionByName(found)
         groups = label if groups is None else groups.unionByName(label)
     if links is None:

@@ -1,4 +1,6 @@
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from panelwise.llm import nn_descent
 
@@ -81,3 +83,28 @@ def test_table_against_brute_force(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     rows = table.collect()
     assert rows_of(nn_descent.near_vectors(table).collect()) == brute([r.vec_id for r in rows], [r.embedding for r in rows])
+
+
+def test_isolated_pairs_in_a_large_background(spark):
+    """Thousands of pairs near the threshold; unrelated vectors are far from all others."""
+    rng = np.random.default_rng(21)
+    n, pairs, d = 40_000, 3_000, 64
+    x = rng.standard_normal((n, d))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    away = rng.standard_normal((pairs, d))
+    away -= np.einsum("ij,ij->i", away, x[:pairs])[:, None] * x[:pairs]
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    cosine = rng.uniform(0.952, 0.97, pairs)[:, None]
+    x = np.concatenate([x, cosine * x[:pairs] + np.sqrt(1 - cosine**2) * away]).astype(np.float32)
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.FixedSizeListArray.from_arrays(x.ravel(), d).cast(pa.list_(pa.float32()))}))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in nn_descent.near_vectors(df).collect()}
+    found = sum(got[i] == (1, i) and got[n + i] == (1, i) for i in range(pairs))
+    assert found >= 0.998 * pairs
+    assert all(got[i] == (0, i) for i in range(pairs, n))
+
+
+def test_too_low_a_recall_is_an_error(spark, monkeypatch):
+    df = spark.createDataFrame([(i, [1.0, i / 1e3]) for i in range(9)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(nn_descent, "audit", lambda *_: 0.9)
+    with pytest.raises(RuntimeError, match="0.9"):
+        nn_descent.near_vectors(df)
