@@ -9,7 +9,10 @@ saturated and becomes longer. Edges above the threshold give the groups.
 
 Lists cannot hold a group of any size, so links are counted, not listed: within a group, a vector
 whose angle to the group's mean plus the largest such angle is below the threshold's is linked with
-all others; the remaining ones are compared with the whole group in blocks, exactly. Last, a bounded
+all others; the remaining ones are compared with the whole group in blocks, exactly. A link
+between two vectors whose lists are full of links is in neither list. So groups of such vectors are
+joined before that: where their means and widest angles allow a link, the vectors at the border are
+compared in blocks. Last, a bounded
 sample is compared with all vectors; while links are missing there, or vectors lack one of theirs,
 the search goes on with new orders and longer lists, and at last fails.
 """
@@ -139,10 +142,10 @@ def descend(graph: DataFrame, vectors: DataFrame, longer: DataFrame | None, k: i
     return groups.select("near").mapInArrow(compare, spec)
 
 
-def search(vectors: DataFrame, dim: int, threshold: float, k: int, turns: range, graph: DataFrame | None = None) -> DataFrame:
+def search(vectors: DataFrame, dim: int, threshold: float, k: int, turns: range, graph: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The neighbour graph v, u, sim after NN-descent, with longer lists where they were saturated.
 
-    ``turns`` numbers the orders, ``graph`` holds what was found before.
+    The second table has the vectors (node) whose lists are saturated at the end. ``turns`` numbers the orders, ``graph`` holds what was found before.
     """
     bits = min(62, max(10, int(np.ceil(np.log2(max(1, vectors.count()))))))
     for at in range(0, len(turns), WAVE):
@@ -158,13 +161,98 @@ def search(vectors: DataFrame, dim: int, threshold: float, k: int, turns: range,
         link = F.col("sim") >= threshold
         if changed.where(link).count() > SETTLED * graph.where(link).count():
             continue
-        full = graph.groupBy("v").agg(F.min("sim").alias("worst"), F.count("*").alias("n")).where((F.col("worst") >= threshold) & (F.col("n") >= k))
+        most = k if longer is None else k * LONGER
+        full = graph.groupBy("v").agg(F.min("sim").alias("worst"), F.count("*").alias("n")).where((F.col("worst") >= threshold) & (F.col("n") >= most))
         if longer is not None or full.limit(1).count() == 0:
-            return graph
+            return graph, full.select(F.col("v").alias("node"))
         longer, active = materialize(full.select("v", F.lit(k * LONGER).alias("k"))), None
     raise RuntimeError(f"the neighbour lists have not settled in {ROUNDS} rounds")
 
 
+def bridges(members: DataFrame, threshold: float) -> DataFrame:
+    """Links a, b between vectors of different components, one at least for each two that have any.
+
+    ``members``: node, component, vec. Angles are to the mean of a component; what they exclude is no
+    link for certain, all else is compared.
+    """
+    limit = float(np.arccos(threshold)) + MARGIN
+    kind = kind_of(members, "vec")
+    sum_spec, sum_schema = arrow_schema(members, "component long, total array<double>")
+
+    def centre(rows: pa.Array) -> np.ndarray:
+        x = rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1).copy()
+        x[np.abs(x).max(axis=1) < 1e-12, 0] = 1.0  # any direction will do
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    def partial(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds, at = np.unique(batch.column("component").to_numpy(), return_inverse=True)
+            x = unit(batch.column("vec"))
+            total = np.zeros((len(kinds), x.shape[1]))
+            np.add.at(total, at, x)
+            yield rows_of(sum_schema, component=kinds, total=list(total))
+
+    def add(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, component = 0.0, None
+        for batch in groups:
+            x = batch.column("total")
+            total = total + x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1).sum(axis=0)
+            component = batch.column("component")[0].as_py()
+        yield rows_of(sum_schema, component=[component], total=[total])
+
+    means = materialize(members.select("component", "vec").mapInArrow(partial, sum_spec).groupBy("component").applyInArrow(add, sum_spec))
+    angle_spec, angle_schema = arrow_schema(members, "component long, angle double")
+
+    def angles(batch: pa.RecordBatch) -> np.ndarray:
+        return np.arccos(np.clip(np.einsum("ij,ij->i", unit(batch.column("vec")), centre(batch.column("total"))), -1, 1))
+
+    def to_mean(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield rows_of(angle_schema, component=batch.column("component"), angle=angles(batch))
+
+    widest = members.join(means, "component").mapInArrow(to_mean, angle_spec).groupBy("component").agg(F.max("angle").alias("widest"))
+    centres = materialize(means.join(widest, "component"))
+    blocks = -(-max(1, centres.count()) // BLOCK)
+    block, every = F.pmod(F.xxhash64("component"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = centres.select(block.alias("i"), every.alias("j"), F.lit(True).alias("side"), "component", "total", "widest")
+    right = centres.select(every.alias("i"), block.alias("j"), F.lit(False).alias("side"), "component", "total", "widest")
+    pair_spec, pair_schema = arrow_schema(members, "component long, other long, total array<double>, widest double")
+
+    def allowed(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = pa.Table.from_batches(groups).combine_chunks()
+        side, name, wide = got.column("side").to_numpy(), got.column("component").to_numpy(), got.column("widest").to_numpy()
+        x = centre(got.column("total").combine_chunks())
+        apart = np.arccos(np.clip(x[side] @ x[~side].T, -1, 1))
+        i, j = np.nonzero((apart <= wide[side][:, None] + wide[~side][None, :] + limit) & (name[side][:, None] != name[~side][None, :]))
+        yield rows_of(pair_schema, component=name[side][i], other=name[~side][j], total=list(x[~side][j]), widest=wide[~side][j])
+
+    pairs = materialize(left.unionByName(right).groupBy("i", "j").applyInArrow(allowed, pair_spec))
+    near_spec, near_schema = arrow_schema(members, f"component long, other long, node long, vec {kind}")
+
+    def at_border(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = batch.filter(pa.array(angles(batch) <= batch.column("widest").to_numpy() + limit))
+            yield pa.RecordBatch.from_arrays([kept.column(f.name).cast(f.type) for f in near_schema], schema=near_schema)
+
+    border = materialize(members.select("component", "node", "vec").join(pairs, "component").mapInArrow(at_border, near_spec))
+    first, second = F.least("component", "other").alias("first"), F.greatest("component", "other").alias("second")
+    border = border.select(first, second, (F.col("component") < F.col("other")).alias("side"), "node", "vec")
+    sizes = border.groupBy("first", "second").agg(*[F.ceil(F.count(F.when(F.col("side") == s, 1)) / BLOCK).cast("int").alias(n) for s, n in ((True, "lows"), (False, "highs"))])
+    dealt = border.join(sizes.where("lows > 0 AND highs > 0"), ["first", "second"])
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("side"), F.col("lows")).otherwise(F.col("highs"))).cast("int")
+    low = dealt.where("side").select("first", "second", own.alias("i"), F.explode(F.sequence(F.lit(0), F.col("highs") - 1)).alias("j"), "side", "node", "vec")
+    high = dealt.where("NOT side").select("first", "second", F.explode(F.sequence(F.lit(0), F.col("lows") - 1)).alias("i"), own.alias("j"), "side", "node", "vec")
+    spec, schema = arrow_schema(members, "a long, b long")
+
+    def compare(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = pa.Table.from_batches(groups).combine_chunks()
+        side, node, x = got.column("side").to_numpy(), got.column("node").to_numpy(), unit(got.column("vec").combine_chunks())
+        i, j = np.nonzero(x[side] @ x[~side].T >= threshold)
+        yield rows_of(schema, a=node[side][i[:1]], b=node[~side][j[:1]])
+
+    return low.unionByName(high).groupBy("first", "second", "i", "j").applyInArrow(compare, spec)
+
+
 def linked_weights(members: DataFrame, threshold: float) -> DataFrame:
     """node, linked: the weight of all vectors of the same component with that cosine, the own one left out.
 
@@ -276,8 +364,14 @@ def near_vectors(
         mine = nodes.where(F.col("dim") == dim) if len(kinds) > 1 else nodes
         size, graph, begin, orders = k, None, 0, orders_for(mine.count(), threshold)
         for _ in range(AUDIT_TRIES):
-            graph = search(mine.select("node", "vec"), dim, threshold, size, range(begin, begin + orders), graph)
-            label = components(graph.where(F.col("sim") >= threshold).select(F.col("v").alias("a"), F.col("u").alias("b")))
+            graph, full = search(mine.select("node", "vec"), dim, threshold, size, range(begin, begin + orders), graph)
+            edges = graph.where(F.col("sim") >= threshold).select(F.col("v").alias("a"), F.col("u").alias("b"))
+            label = components(edges)
+            members = materialize(full.join(label, "node").join(mine.select("node", "vec"), "node"))
+            if members.select("component").distinct().limit(2).count() > 1:
+                across = materialize(bridges(members, threshold))
+                if across.limit(1).count():
+                    label = components(edges.unionByName(across))
             found = materialize(linked_weights(label.join(mine, "node").select("node", "component", "weight", "vec"), threshold))
             recall = audit(mine, found, threshold, dim)
             if log is not None:

@@ -108,3 +108,22 @@ def test_too_low_a_recall_is_an_error(spark, monkeypatch):
     monkeypatch.setattr(nn_descent, "audit", lambda *_: 0.9)
     with pytest.raises(RuntimeError, match="0.9"):
         nn_descent.near_vectors(df)
+
+
+def test_links_between_two_dense_groups(spark):
+    """Groups wider than any list, with links between them at 0.95 to 0.96 only."""
+    rng = np.random.default_rng(4)
+    d, size, vectors = 16, 80, list(np.random.default_rng(5).standard_normal((100, 16)))
+    a, b = np.linalg.qr(rng.standard_normal((d, 2)))[0].T
+    turn = np.arccos(0.955)
+    for centre in (a, np.cos(turn) * a + np.sin(turn) * b):
+        vectors += [centre + 0.002 * rng.standard_normal(d) for _ in range(size)]
+    vectors = [[float(x) for x in v] for v in vectors]
+    df = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>").repartition(3)
+    want = brute(range(len(vectors)), vectors)
+    assert sum(f"{size + size - 1}, 100" in w for w in want) > size
+    old, nn_descent.BLOCK = nn_descent.BLOCK, 30
+    try:
+        assert rows_of(nn_descent.near_vectors(df).collect()) == want
+    finally:
+        nn_descent.BLOCK = old
