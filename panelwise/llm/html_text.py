@@ -3,8 +3,8 @@
 Markup is stripped so that every block element makes a line. A line weighs as many characters as
 it has outside links; what stands in menus, forms, adverts and the like weighs nothing and is a gap.
 The weights of a few neighbouring lines are summed. Where the sums surge the text begins, where they
-dive to nothing it ends, and what lies between is kept. Tags that mark the article are taken
-as its surge and dive points.
+dive to nothing it ends, and what lies between is kept. Tags that mark the article are surge and
+dive points besides: what they hold is kept, and text outside them is kept where it surges by itself.
 """
 
 from __future__ import annotations
@@ -150,32 +150,29 @@ def lines_of(page: str) -> list[Line]:
 def main_text(page: str, window: int = WINDOW) -> str:
     """The article's blocks in page order, joined by one space; empty when there are none."""
     lines = lines_of(page)
-    if any(x.inside for x in lines):  # its tags are the surge and dive points
-        return " ".join(x.text for x in lines if x.inside)
     weight: list[int] = []
     of: list[int] = []
     for i, x in enumerate(lines):
-        if x.gap and weight:  # what was left out is as empty lines
+        if i and (x.gap or x.inside != lines[i - 1].inside):  # what was left out is as empty lines, and so are the article's tags
             weight.extend([0] * window)
             of.extend([-1] * window)
         weight.append(x.weight)
         of.append(i)
     sums = np.convolve(np.array(weight + [0] * (window - 1)), np.ones(window, dtype=np.int64), "valid") if weight else np.empty(0)
-    if not len(sums) or sums.max() == 0:
-        return ""
-    surge = min(sums.max(), max(SURGE_CHARS, SURGE_SHARE * sums.max()))
-    kept: list[int] = []
-    i = 0
-    while i < len(sums):
-        if sums[i] < surge:
-            i += 1
-            continue
-        end = i
-        while end < len(sums) and sums[end] > 0:
-            end += 1
-        kept.extend(k for k, w in zip(of[i:end], weight[i:end], strict=True) if k >= 0 and w > 0)
-        i = end
-    return " ".join(lines[k].text for k in kept)
+    kept = {i for i, x in enumerate(lines) if x.inside}
+    if len(sums) and sums.max() > 0:
+        surge = max(SURGE_SHARE * sums.max(), SURGE_CHARS) if kept else min(sums.max(), max(SURGE_CHARS, SURGE_SHARE * sums.max()))
+        i = 0
+        while i < len(sums):
+            if sums[i] < surge:
+                i += 1
+                continue
+            end = i
+            while end < len(sums) and sums[end] > 0:
+                end += 1
+            kept.update(k for k, w in zip(of[i:end], weight[i:end], strict=True) if k >= 0 and w > 0)
+            i = end
+    return " ".join(lines[k].text for k in sorted(kept))
 
 
 def extract(df: DataFrame, html_col: str = "html", keep: list[str] | None = None) -> DataFrame:

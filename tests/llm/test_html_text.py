@@ -53,3 +53,11 @@ def test_pages_of_the_tables(spark):
         blocks = re.split(r"</?(?:p|h1)>", inner)
         want = " ".join(" ".join(html.unescape(re.sub(r"<[^>]*>", " " if "<br>" in b else "", b.replace("<br>", " "))).split()) for b in blocks)
         assert texts[r.page_id] == " ".join(want.split())
+
+
+def test_teaser_articles_beside_a_plain_div():
+    text = ["Paragraph one of the page's own text, " * 8, "Paragraph two of it, just as long. " * 8]
+    cards = "".join(f"<article><h3>Teaser {i}</h3></article>" for i in range(3))
+    page = f"<body><div>{''.join(f'<p>{t}</p>' for t in text)}</div><div>{cards}</div><div>tiny</div></body>"
+    got = main_text(page)
+    assert all(t.strip() in got for t in text) and "Teaser 2" in got and "tiny" not in got
