@@ -1,9 +1,10 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped so that every block element makes a line. A line weighs as many characters as
-it has outside links; what stands in menus, forms, adverts and the like weighs nothing and is a gap.
-The weights of a few neighbouring lines are summed. Where the sums surge the text begins, where they
-dive to nothing it ends, and what lies between is kept. Tags that mark the article are surge and
+it has outside links; what stands in menus, forms, adverts and the like weighs nothing and is a gap,
+unless the lines before and after it stand in the same element as it does. The weights of a few
+neighbouring lines are summed. A stretch between two dives to nothing is text when the sums surge in
+it; from its first line of weight to its last all is kept, lines of links too. Tags that mark the article are surge and
 dive points besides: what they hold is kept, and text outside them is kept where it surges by itself.
 """
 
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from panelwise.llm.base import arrow_schema, kind_of
 
-WINDOW, SURGE_CHARS, SURGE_SHARE = 3, 80, 0.25
+WINDOW, SURGE_CHARS = 3, 80
 
 MARK = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*(?:>|\Z))", re.S
@@ -34,6 +36,7 @@ INLINE = frozenset(
     "strong sub sup time tt u var wbr".split()
 )
 DROPPED = frozenset("nav footer aside form head button select dialog svg object canvas audio video menu noframes".split())
+LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre".split())  # hold a line; their parent is where it stands
 NEVER = frozenset("html body main h1 h2 h3 h4 h5 h6".split())
 #: Words of class, id and role that mark what is not the article.
 AROUND = frozenset(
@@ -51,7 +54,7 @@ class Line:
     text: str
     weight: int
     inside: bool  # of an article
-    gap: bool  # something was left out before it
+    gap: bool  # something was left out before it that parts it from the line before
 
 
 def dropped(tag: str, attributes: str, in_article: bool) -> bool:
@@ -76,15 +79,20 @@ def lines_of(page: str) -> list[Line]:
     parts: list[str] = []
     linked = 0
     in_link = articles = 0
-    gap = False
+    gaps: set[int] = set()  # elements in which something was left out since the last line
+    homes: list[tuple[str, int]] = [("", 0)]  # open elements and their numbers
+    opened: Counter[str] = Counter()
+    made, last_home = 0, -1
     closes = page.lower()
 
     def end_line() -> None:
-        nonlocal parts, linked, gap
+        nonlocal parts, linked, last_home
         text = SPACE.sub(" ", html.unescape("".join(parts))).strip()
         if text:
-            out.append(Line(text, max(0, len(text) - linked), articles > 0, gap))
-            gap = False
+            home = homes[-1][1]
+            out.append(Line(text, max(0, len(text) - linked), articles > 0, bool(gaps) and not gaps == {home} == {last_home}))
+            gaps.clear()
+            last_home = home
         parts, linked = [], 0
 
     def say(text: str) -> None:
@@ -126,12 +134,19 @@ def lines_of(page: str) -> list[Line]:
                 end_line()
                 if tag in ("article", "main"):
                     articles = max(0, articles - 1)
+                if opened[tag]:
+                    while True:
+                        inner = homes.pop()[0]
+                        opened[inner] -= 1
+                        if inner == tag:
+                            break
             continue
         self_closing = m[3].rstrip().endswith("/>") or tag in VOID
         if not self_closing and dropped(tag, m[3][:-1] if m[3].endswith(">") else m[3], articles > 0) and (closes.find(f"</{tag}", at) >= 0 or tag == "p"):
             if tag not in INLINE:
                 end_line()
-            skip, depth, gap = tag, 1, True
+            gaps.add(homes[-1][1])
+            skip, depth = tag, 1
             continue
         if tag == "br":
             say("\n")
@@ -141,6 +156,10 @@ def lines_of(page: str) -> list[Line]:
             end_line()
             if tag in ("article", "main"):
                 articles += 1
+            if not self_closing and tag not in LEAVES:
+                made += 1
+                homes.append((tag, made))
+                opened[tag] += 1
     if not skip and at < len(page):
         say(page[at:])
     end_line()
@@ -160,18 +179,16 @@ def main_text(page: str, window: int = WINDOW) -> str:
         of.append(i)
     sums = np.convolve(np.array(weight + [0] * (window - 1)), np.ones(window, dtype=np.int64), "valid") if weight else np.empty(0)
     kept = {i for i, x in enumerate(lines) if x.inside}
-    if len(sums) and sums.max() > 0:
-        surge = max(SURGE_SHARE * sums.max(), SURGE_CHARS) if kept else min(sums.max(), max(SURGE_CHARS, SURGE_SHARE * sums.max()))
-        i = 0
-        while i < len(sums):
-            if sums[i] < surge:
-                i += 1
-                continue
-            end = i
-            while end < len(sums) and sums[end] > 0:
-                end += 1
-            kept.update(k for k, w in zip(of[i:end], weight[i:end], strict=True) if k >= 0 and w > 0)
-            i = end
+    surge = SURGE_CHARS if kept or not len(sums) else min(sums.max(), SURGE_CHARS)
+    i = 0
+    while i < len(sums):
+        end = i
+        while end < len(sums) and sums[end] > 0:
+            end += 1
+        if end > i and sums[i:end].max() >= surge:
+            heavy = [j for j in range(i, end) if weight[j] > 0]
+            kept.update(k for k in of[heavy[0]:heavy[-1] + 1] if k >= 0)
+        i = end + 1
     return " ".join(lines[k].text for k in sorted(kept))
 
 

@@ -61,3 +61,12 @@ def test_teaser_articles_beside_a_plain_div():
     page = f"<body><div>{''.join(f'<p>{t}</p>' for t in text)}</div><div>{cards}</div><div>tiny</div></body>"
     got = main_text(page)
     assert all(t.strip() in got for t in text) and "Teaser 2" in got and "tiny" not in got
+
+
+@pytest.mark.parametrize("size", [600, 10_000])
+def test_parts_after_adverts_and_long_paragraphs(size):
+    long, last, ad = "x" * size, "A closing paragraph. " * 14, "<div class='ad'>Buy</div>"
+    page = f"<body><div><h1>Title</h1><p>by me</p><p>1 May</p><p>{long}</p><p>{long}</p><p><a href=/s>A source</a></p><p>{long}</p>{ad}<p>{last}</p>{ad}<p>End.</p></div>{ad}<div>tiny</div></body>"
+    assert main_text(page) == f"Title by me 1 May {long} {long} A source {long} {last.strip()} End."
+    apart = f"<body><div><p>{long}</p></div>{ad}<div><p>{last}</p></div>{ad}<div>tiny</div></body>"
+    assert main_text(apart) == f"{long} {last.strip()}"
