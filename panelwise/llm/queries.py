@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelwise.llm import elias_fano, html_text, langid, latent, licenses, minhash, nn_descent, packing, pii, substrings
+from panelwise.llm import elias_fano, html_text, langid, latent, licenses, line_dedup, minhash, nn_descent, packing, pii, substrings
 from panelwise.llm.base import QUERIES, SQL, query, table  # noqa: F401
 from panelwise.llm.tokens import public_file
 
@@ -66,3 +66,8 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return pii.find(docs, pii.fit(docs))
+
+
+@query("op11_line_dedup", line_dedup.SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, folder, "documents"))
