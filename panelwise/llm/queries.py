@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelwise.llm import elias_fano, html_text, langid, latent, licenses, line_dedup, minhash, nn_descent, packing, pii, substrings
+from panelwise.llm import elias_fano, html_text, langid, latent, licenses, line_dedup, merkle, minhash, nn_descent, packing, pii, prefix_trie, substrings
 from panelwise.llm.base import QUERIES, SQL, query, table  # noqa: F401
 from panelwise.llm.tokens import public_file
 
@@ -71,3 +71,13 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @query("op11_line_dedup", line_dedup.SQL)
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.line_report(table(spark, folder, "documents"))
+
+
+@query("op13_merkle_manifest", merkle.SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.verify(table(spark, folder, "documents"), tampered=merkle.fifth())
+
+
+@query("op12_prefix_trie", prefix_trie.SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, folder, "conversations"))

@@ -20,6 +20,8 @@ COLUMNS = {
     9: ["page_id", "url", "text", "n_chars"],
     10: ["doc_id", "class_id", "n_members", "kept"],
     11: ["doc_id", "n_lines", "n_dropped", "kept_sha256"],
+    12: ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"],
+    13: ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"],
 }
 NAMES = sorted(n for n in entry.queries() if re.match(r"op\d+_", n))
 
