@@ -170,3 +170,17 @@ def only_likely(df: DataFrame, keys: KeyFilter, name: str) -> DataFrame:
             yield batch.filter(pa.array(mine.may_hold(batch.column(name).to_numpy())))
 
     return df.mapInArrow(run, df.schema)
+
+
+def with_likely(df: DataFrame, keys: KeyFilter, name: str, mark: str) -> DataFrame:
+    """The rows with whether the filter lets their key through."""
+    held = df.sparkSession.sparkContext.broadcast(keys.words)  # of fixed size
+    out = df.select("*", F.lit(True).alias(mark)).schema
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = KeyFilter(held.value)
+        for batch in batches:
+            likely = pa.array(mine.may_hold(batch.column(name).to_numpy()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, likely], names=[*batch.schema.names, mark])
+
+    return df.mapInArrow(run, out)

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from panelwise.llm.base import KeyFilter, arrow_schema, columns, kind_of, materialize, mix, only_likely, rows_of, text_batches
+from panelwise.llm.base import KeyFilter, arrow_schema, columns, kind_of, materialize, mix, only_likely, rows_of, text_batches, with_likely
 from panelwise.llm.graph import components
 from panelwise.llm.words import Words, shingles
 
@@ -108,8 +108,7 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> Da
             ok = np.array([probability_jaccard(*of(x), *of(y)) >= threshold - 1e-12 for x, y in zip(left, right, strict=True)], dtype=bool)
             yield rows_of(schema, a=batch.column("a").to_numpy()[ok], b=batch.column("b").to_numpy()[ok])
 
-    wanted = materialize(texts_of(texts, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()))
-    one, other = wanted.select(F.col("node").alias("a"), F.col("text").alias("text_a")), wanted.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+    one, other = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     return pairs.join(other, "b").join(one, "a").mapInArrow(run, spec)
 
 
@@ -204,9 +203,20 @@ def near_links(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD,
     dealt = signed.select(F.explode("buckets").alias("bucket"), "node")
     shared = dealt.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("most")).where("a < most").select("bucket", "a")
     shared = materialize(dealt.join(shared, "bucket"))  # bucket, node, a: rows of buckets with several texts
-    star = materialize(shared.where("node != a").select("a", F.col("node").alias("b")).distinct())
-    first = materialize(verified(star, docs, k, threshold))
-    group = components(first)
+    # One link to the smallest centre a text meets, and the pairs of that one and its other centres: they connect
+    # what all its buckets connect. The other centres are tried where that has not put a text and a centre together.
+    met = materialize(shared.where("node != a").groupBy("node").agg(F.min("a").alias("least"), F.collect_set("a").alias("centres")))
+    between = met.select("least", F.explode("centres").alias("b")).where("least != b").distinct()
+    star = materialize(met.select(F.col("least").alias("a"), F.col("node").alias("b")).unionByName(between.select(F.col("least").alias("a"), "b")).distinct())
+    texts = materialize(texts_of(docs, shared.select("node").distinct()))
+    sure = materialize(verified(star, texts, k, threshold))
+    near = components(sure)
+    at = lambda name, over: near.select(F.col("node").alias(name), F.col("component").alias(over))
+    others = met.where("size(centres) > 1").select("node", F.explode("centres").alias("a")).join(at("node", "x"), "node", "left").join(at("a", "y"), "a", "left")
+    apart = F.coalesce("x", "node") != F.coalesce("y", "a")
+    more = materialize(verified(materialize(others.where(apart).select("a", F.col("node").alias("b")).join(star, ["a", "b"], "left_anti")), texts, k, threshold))
+    first = sure.unionByName(more)
+    group = components(first) if more.limit(1).count() else near
     named = signed.select("node", "registers").join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
     family = components(star).withColumnRenamed("component", "family")
     members = materialize(named.join(family, "node"))
@@ -214,7 +224,6 @@ def near_links(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD,
     some = materialize(members.join(split.select("family", "size"), "family").select("node", "component", "registers", "family", "size"))
     wide = some.where(F.col("size") > FAMILY).join(shared.select("bucket", "node"), "node").select(F.col("bucket").alias("group"), "node", "component", "registers")
     narrow = some.where(F.col("size") <= FAMILY).select(F.col("family").alias("group"), "node", "component", "registers")
-    texts = materialize(texts_of(docs, some.select("node")))
     second = materialize(across(narrow.unionByName(wide).join(texts, "node"), k, threshold))
     links = first.unionByName(second)
     return links, components(links) if second.limit(1).count() else group
@@ -249,12 +258,18 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *
 
 
 def drop_near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The table with one row of each group of copies, all columns as they were."""
+    """The table with one row of each group of copies, all columns as they were.
+
+    Rows whose text is surely in no group are kept as they are; only the others, kept once as a table, meet the decisions.
+    """
     found = near_duplicates(df, doc_id, text, **how)
     gone = found.groupBy("doc_id", "node").agg(F.max(F.col("kept").cast("int")).alias("_stays"), F.count("*").alias("_copies"), F.sum(F.col("kept").cast("int")).alias("_kept"))
     gone = materialize(gone.where("_stays = 0 OR _copies > _kept").select(F.col("doc_id").alias("_doc_id"), F.col("node").alias("_node"), "_stays"))
-    rows = df.withColumn("_node_", F.xxhash64(F.col(f"`{text}`")))
-    marked = rows.join(gone, F.col(f"`{doc_id}`").eqNullSafe(F.col("_doc_id")) & (F.col("_node_") == F.col("_node")), "left")
-    once = marked.where("_stays IS NULL")
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    rows = df.select(whole.alias("_row"), F.xxhash64(F.col(f"`{text}`")).alias("_node_"))
+    rows = with_likely(rows, KeyFilter.of(gone, "_node"), "_node_", "_likely")
+    some = materialize(rows.where("_likely"))
+    marked = some.join(gone, F.col(f"_row.`{doc_id}`").eqNullSafe(F.col("_doc_id")) & (F.col("_node_") == F.col("_node")), "left")
+    once = rows.where("NOT _likely").select("_row").unionByName(marked.where("_stays IS NULL").select("_row"))
     twice = marked.where("_stays = 1").dropDuplicates(["_doc_id", "_node"])
-    return once.unionByName(twice).select(*[F.col(f"`{c}`") for c in df.columns])
+    return once.unionByName(twice.select("_row")).select(*[F.col(f"_row.`{c}`").alias(c) for c in df.columns])
