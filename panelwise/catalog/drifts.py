@@ -153,14 +153,17 @@ def shipped_brands(spark, folder):
 
 
 @query("j6_unseen_rate", """
-WITH sizes AS (SELECT DISTINCT p_size FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity >= 45 AND p_brand = 'Brand#1')
-SELECT 'size' AS feature, round(count(*) FILTER (p_size NOT IN (SELECT p_size FROM sizes)) / CAST(count(*) AS DOUBLE), 6) AS new_category_rate FROM part
+WITH k AS (SELECT l_shipdate < TIMESTAMP '1993-01-01' AS early, CAST(l_suppkey AS VARCHAR) || '/' || p_size AS category FROM lineitem JOIN part ON p_partkey = l_partkey),
+known AS (SELECT DISTINCT category FROM k WHERE early)
+SELECT 'category' AS feature, round(count(*) FILTER (known.category IS NULL) / CAST(count(*) AS DOUBLE), 6) AS new_category_rate FROM k LEFT JOIN known USING (category) WHERE NOT early
 """)
 def j6(spark, folder):
-    part = table(spark, folder, "part")
-    bulk = table(spark, folder, "lineitem").where("l_quantity >= 45").select("l_partkey")
-    reference = bulk.join(part.where("p_brand = 'Brand#1'"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("p_size").alias("size"))
-    rows = drift.categorical_drift(reference, part.select(F.col("p_size").alias("size")), ["size"])
+    """Lines since 1993 whose supplier and size had not met before, over all lines."""
+    parts = table(spark, folder, "part").select("p_partkey", "p_size")
+    lines = table(spark, folder, "lineitem").join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    sold = lines.select("l_shipdate", F.concat_ws("/", F.col("l_suppkey").cast("string"), F.col("p_size").cast("string")).alias("category"))
+    early = F.col("l_shipdate") < F.lit("1993-01-01").cast("timestamp_ntz")
+    rows = drift.categorical_drift(sold.where(early).select("category"), sold.where(~early).select("category"), ["category"])
     return rounded(rows.select("feature", "new_category_rate"), "new_category_rate")
 
 

@@ -311,9 +311,12 @@ def w6(spark, folder):
 
 
 # --- orders and limits -------------------------------------------------------
-@query("o1_order_panel", f"WITH {PANEL} SELECT period, entity, round(level, 6) AS level FROM panel ORDER BY period, entity")
+@query("o1_order_panel", f"""
+WITH {PANEL} SELECT period, entity, round(level, 6) AS level, row_number() OVER (ORDER BY period, entity) AS position FROM panel
+""")
 def o1(spark, folder):
-    return ranking.order_panel(rounded(order_panel(spark, folder).select("period", "entity", "level"), "level"), "period", "entity")
+    rows = ranking.number_panel(order_panel(spark, folder).select("period", "entity", "level"), "period", "entity")
+    return rounded(ranking.order_panel(rows, "period", "entity"), "level")
 
 
 @query("o8_preview", f"WITH {PANEL} SELECT period, entity, round(level, 6) AS level FROM panel ORDER BY period, entity LIMIT 10")
@@ -323,24 +326,27 @@ def o8(spark, folder):
 
 
 @query("o9_priority_list", f"""
-WITH {PANEL} SELECT entity, period, CASE WHEN n_orders > 1 THEN rule_score END AS score FROM panel
-WHERE level >= 0 ORDER BY score DESC NULLS LAST, entity
+WITH {PANEL}, scored AS (SELECT entity, period, CASE WHEN n_orders > 1 THEN rule_score END AS score FROM panel WHERE level >= 0)
+SELECT *, row_number() OVER (ORDER BY score DESC NULLS LAST, entity, period) AS rank FROM scored
 """)
 def o9(spark, folder):
     rows = order_panel(spark, folder).withColumns({
         "state": risk.state_group("level"), "score": F.when(F.col("n_orders") > 1, F.col("rule_score")),
     })
-    return ranking.priority_list(rows, "state", fixed.GROUP_OK, "score", "entity").select("entity", "period", "score")
+    ranked = ranking.number_priorities(rows, "state", "score", "entity", "period")
+    return ranking.priority_list(ranked, "state", fixed.GROUP_OK, "score", "entity").select("entity", "period", "score", "rank")
 
 
 @query("o11_sort_mixed", """
 WITH cells AS (SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN format('{:,.2f}', c_acctbal)
-    WHEN c_mktsegment = 'MACHINERY' THEN ' n/a ' WHEN c_mktsegment = 'HOUSEHOLD' THEN 'Ação ' || CAST(c_custkey AS VARCHAR) ELSE lower(c_name) END AS cell FROM customer)
-SELECT c_custkey, CAST(CASE WHEN trim(cell) = 'n/a' THEN 2 WHEN cell LIKE '%#%' OR cell LIKE 'A%' THEN 1 ELSE 0 END AS INTEGER) AS kind,
+    WHEN c_mktsegment = 'MACHINERY' THEN ' n/a ' WHEN c_mktsegment = 'HOUSEHOLD' THEN 'Ação ' || CAST(c_custkey AS VARCHAR) ELSE lower(c_name) END AS cell FROM customer),
+keyed AS (SELECT c_custkey, CAST(CASE WHEN trim(cell) = 'n/a' THEN 2 WHEN cell LIKE '%#%' OR cell LIKE 'A%' THEN 1 ELSE 0 END AS INTEGER) AS kind,
   try_cast(replace(cell, ',', '') AS DOUBLE) AS number,
   CASE WHEN cell LIKE 'A%' THEN 'acao ' || lpad(CAST(CASE WHEN c_custkey = 0 THEN 0 ELSE length(CAST(c_custkey AS VARCHAR)) END AS VARCHAR), 9, '0') || CASE WHEN c_custkey = 0 THEN '' ELSE CAST(c_custkey AS VARCHAR) END
     WHEN cell LIKE '%#%' THEN 'customer#' || lpad(CAST(CASE WHEN c_custkey = 0 THEN 0 ELSE length(CAST(c_custkey AS VARCHAR)) END AS VARCHAR), 9, '0') || CASE WHEN c_custkey = 0 THEN '' ELSE CAST(c_custkey AS VARCHAR) END END AS sort_text
-FROM cells
+FROM cells)
+SELECT *, row_number() OVER (ORDER BY kind, number, sort_text, c_custkey) AS rank,
+  row_number() OVER (ORDER BY kind DESC, number DESC, sort_text DESC, c_custkey) AS reverse_rank FROM keyed
 """)
 def o11(spark, folder):
     segment = F.col("c_mktsegment")
@@ -349,10 +355,12 @@ def o11(spark, folder):
         .when(segment == "HOUSEHOLD", F.concat(F.lit("Ação "), F.col("c_custkey").cast("string"))).otherwise(F.lower("c_name"))
     )
     rows = table(spark, folder, "customer").select("c_custkey", cell.alias("cell"))
-    ordered = ranking.sort_mixed(rows, "cell", "c_custkey")
+    ranked = ranking.number_mixed(rows, "cell", "c_custkey")
+    ranked = ranking.number_mixed(ranked, "cell", "c_custkey", ascending=False, name="reverse_rank")
+    ordered = ranking.sort_mixed(ranked, "cell", "c_custkey")
     kind = text.sort_kind("cell")
     return ordered.select(
-        "c_custkey", kind.alias("kind"), text.parse_number("cell", "heuristic").alias("number"),
+        "c_custkey", "rank", "reverse_rank", kind.alias("kind"), text.parse_number("cell", "heuristic").alias("number"),
         F.when(kind == 1, text.natural_key("cell")).alias("sort_text"),
     )
 

@@ -291,11 +291,12 @@ def j9(spark, folder):
 
 
 @query("o4_rank_candidates", f"""
-WITH {CANDIDATES} SELECT id, model_name, f2 FROM candidates WHERE model_name <> 'baseline_persistencia' ORDER BY f2 DESC, id, position
+WITH {CANDIDATES} SELECT id, model_name, f2, row_number() OVER (PARTITION BY id ORDER BY coalesce(f2, 0) DESC, position) AS rank
+FROM candidates WHERE model_name <> 'baseline_persistencia'
 """)
 def o4(spark, folder):
-    rows = runs.explode_candidates(candidate_runs(spark, folder))
-    return runs.rank_candidates(rows, include_baseline=False).select("id", "model_name", "f2")
+    ranked = runs.number_candidates(runs.explode_candidates(candidate_runs(spark, folder)), ["id"], include_baseline=False)
+    return runs.rank_candidates(ranked, include_baseline=False).select("id", "model_name", "f2", "rank")
 
 
 @query("o5_pick_winner", f"""

@@ -1,6 +1,9 @@
 """Feature preparation, candidates and fits with Spark ML."""
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from threading import Lock
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -9,6 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from panelwise import fixed
+from panelwise.frames import materialize, shared_folder
 from panelwise.functions.risk import baseline_predict, decide, missing_flag
 from panelwise.functions.text import category
 
@@ -37,24 +41,47 @@ STRATEGIES = {"strategy_a": Features(fixed.STRATEGY_A), "strategy_b": Features(f
 
 @dataclass(frozen=True)
 class TreeSizes:
-    """Sizes of the ensembles. The defaults are the real ones; small trials pass smaller ones."""
+    """Sizes of the ensembles. The defaults are the real ones; small trials pass smaller ones.
+
+    ``fit_rows`` bounds the rows of one fit: of more, those whose hash is small enough are taken, the same
+    share of each class. By default there is no bound.
+    """
 
     forest_trees: int = 300
     forest_depth: int = 30
+    forest_bins: int = 32
     boosting_rounds: int = 100
     boosting_depth: int = 6
     max_bins: int = 255
     seed: int = 42
+    fit_rows: int | None = None
+
+
+class Later[T]:
+    """A value that is made when it is first asked for, once, whichever thread asks."""
+
+    def __init__(self, make: Callable[[], T]):
+        self._make, self._lock, self._made = make, Lock(), False
+
+    def __call__(self) -> T:
+        with self._lock:
+            if not self._made:
+                self._value, self._made = self._make(), True
+        return self._value
+
+    @property
+    def made(self) -> bool:
+        return self._made
 
 
 @dataclass(frozen=True)
 class Bundle:
-    """A fitted model with what is needed to apply it; the rule has no model."""
+    """A model with what is needed to apply it; the rule has none. A model given as ``Later`` is fitted when it is first used."""
 
     model_name: str
     strategy: str
     features: Features
-    model: PipelineModel | None = None
+    fitted: PipelineModel | Later | None = None
     threshold: float = fixed.DECISION_THRESHOLD
     kind: str = "model"
     validation_period: int | None = None
@@ -64,6 +91,18 @@ class Bundle:
     def model_id(self) -> str:
         return f"{self.model_name}{fixed.MODEL_ID_SEPARATOR}{self.strategy}"
 
+    @property
+    def model(self) -> PipelineModel | None:
+        return self.fitted() if isinstance(self.fitted, Later) else self.fitted
+
+
+def fit_all(bundles: list[Bundle], parallelism: int) -> None:
+    """Fit what is not fitted yet; the fits are independent jobs and share the executors."""
+    waiting = [b for b in bundles if isinstance(b.fitted, Later) and not b.fitted.made]
+    with ThreadPoolExecutor(max(1, parallelism)) as pool:
+        for done in [pool.submit(b.fitted) for b in waiting]:
+            done.result()
+
 
 def baseline_bundle(level: str, validation_period: int | None = None) -> Bundle:
     return Bundle(
@@ -148,12 +187,34 @@ def candidates(sizes: TreeSizes, label: str, rows: int) -> dict[str, Estimator]:
 
 
 def forest(sizes: TreeSizes, label: str) -> RandomForestClassifier:
+    """Node ids stay with the rows, checkpointed every few levels, so that jobs do not carry the trees grown so far."""
     return RandomForestClassifier(
         labelCol=label, featuresCol="features", weightCol=WEIGHT, numTrees=sizes.forest_trees, maxDepth=sizes.forest_depth,
-        minInstancesPerNode=2, featureSubsetStrategy="sqrt", maxBins=sizes.max_bins, seed=sizes.seed, maxMemoryInMB=1024,
+        minInstancesPerNode=2, featureSubsetStrategy="sqrt", maxBins=sizes.forest_bins, seed=sizes.seed, maxMemoryInMB=1024,
+        cacheNodeIds=True, checkpointInterval=10,
     )
 
 
+ROWS_IN_PART = 1_000  # fewer rows are not worth a task of their own in the thousands of short jobs of a fit
+
+
+def spread(df: DataFrame, rows: int) -> DataFrame:
+    """The rows written once and dealt evenly, over all cores or shuffle partitions when there are enough of them:
+    iterative fits read them again and again."""
+    spark = df.sparkSession
+    shared_folder(spark)
+    most = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return materialize(df.repartition(max(1, min(most, -(-rows // ROWS_IN_PART)))))
+
+
+def bounded(df: DataFrame, rows: int, most: int | None) -> DataFrame:
+    """About ``most`` of so many rows: those with the smallest hashes of all their columns, the same share of every class."""
+    if most is None or rows <= most:
+        return df
+    share = int(most / rows * (1 << 32))
+    return df.where(F.pmod(F.xxhash64(*df.columns), F.lit(1 << 32)) < share)
+
+
 def fit_encoder(df: DataFrame, features: Features) -> PipelineModel:
     """Learn the category levels, once for all models with the same features."""
     return Pipeline(stages=feature_stages(features)).fit(prepared(df, features))
@@ -172,7 +233,7 @@ def fit_on(encoded: DataFrame, encoder: PipelineModel, estimator: Estimator) ->
 def fit(df: DataFrame, features: Features, estimator: Estimator, label: str, counts: dict[int, int]) -> PipelineModel:
     """Fit the feature stages and the estimator on labelled rows."""
     encoder = fit_encoder(df, features)
-    return fit_on(encode(df, features, encoder, label, counts), encoder, estimator)
+    return fit_on(spread(encode(df, features, encoder, label, counts), sum(counts.values())), encoder, estimator)
 
 
 def probability_of(model: PipelineModel, df: DataFrame, features: Features, keep: list[str], name: str) -> DataFrame:
@@ -226,10 +287,9 @@ def score_all(bundles: list[Bundle], df: DataFrame, keep: list[str], level: str
     return rows.withColumn(fixed.PREDICTION, (F.col(fixed.PROBABILITY) >= F.col("threshold")).cast("int"))
 
 
-def encoded_importances(model: PipelineModel, features: Features, df: DataFrame) -> DataFrame:
-    """Importance per encoded column of a fitted forest, named through the assembler's attributes."""
+def encoded_names(model: PipelineModel, features: Features, df: DataFrame) -> list[str]:
+    """Names of the encoded columns in order, through the assembler's attributes."""
     attributes = PipelineModel(model.stages[:-1]).transform(prepared(df, features)).schema["features"].metadata
-    importances = model.stages[-1].featureImportances
     encoded = {f"{c}_hot_": f"{c}_" for c in sorted(features.text, key=len, reverse=True)}
 
     def plain(name: str) -> str:
@@ -238,7 +298,11 @@ def encoded_importances(model: PipelineModel, features: Features, df: DataFrame)
                 return short + name[len(prefix):]
         return name.removesuffix("_filled")
 
-    rows = [(plain(a["name"]), float(importances[a["idx"]])) for kind in attributes["ml_attr"]["attrs"].values() for a in kind]
-    return df.sparkSession.createDataFrame(rows, "name string, importance double")
+    listed = [a for kind in attributes["ml_attr"]["attrs"].values() for a in kind]
+    return [plain(a["name"]) for a in sorted(listed, key=lambda a: a["idx"])]
 
 
+def encoded_importances(model: PipelineModel, features: Features, df: DataFrame) -> DataFrame:
+    """Importance per encoded column of a fitted forest."""
+    rows = list(zip(encoded_names(model, features, df), model.stages[-1].featureImportances.toArray().tolist(), strict=True))
+    return df.sparkSession.createDataFrame(rows, "name string, importance double")

@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from panelwise.frames import null_safe_join, per_group
 from panelwise.functions.risk import score_bin
 from panelwise.functions.text import natural_key, parse_number, sort_kind
+from panelwise.operators.running import Key, positions
 
 
 def top_n_per_group(df: DataFrame, by: list[str], order: list, n: int, name: str = "rank") -> DataFrame:
@@ -44,32 +45,51 @@ def order_panel(df: DataFrame, period: str, entity: str) -> DataFrame:
     return df.orderBy(period, entity)
 
 
+def number_panel(df: DataFrame, period: str, entity: str, name: str = "position") -> DataFrame:
+    """Each row's place in the order of the panel, as a column that later steps can rely on."""
+    return positions(df, [Key(period), Key(entity)], name=name)
+
+
 def preview(df: DataFrame, n: int, *order) -> DataFrame:
     """First rows of an explicit order."""
     return df.orderBy(*order).limit(n)
 
 
+def mixed_keys(column: str) -> dict[str, Column]:
+    """The parts of the order of mixed cells: kind, number, text."""
+    kind = sort_kind(column)
+    return {
+        "_kind": kind, "_number": F.when(kind == 0, parse_number(F.trim(F.col(column)), "heuristic")),
+        "_text": F.when(kind == 1, natural_key(column)),
+    }
+
+
 def sort_mixed(df: DataFrame, column: str, position: str, ascending: bool = True) -> DataFrame:
     """Order of a column of mixed cells: numbers, then text, then empty; descending turns all of it round.
 
     Equal cells keep the order of ``position``.
     """
-    keys = {
-        "_kind": sort_kind(column),
-        "_number": parse_number(F.trim(F.col(column)), "heuristic"),
-        "_text": natural_key(column),
-    }
-    keys["_number"] = F.when(keys["_kind"] == 0, keys["_number"])
-    keys["_text"] = F.when(keys["_kind"] == 1, keys["_text"])
+    keys = mixed_keys(column)
     turn = (lambda c: F.col(c).asc()) if ascending else (lambda c: F.col(c).desc())
     return df.withColumns(keys).orderBy(*[turn(k) for k in keys], F.col(position).asc()).drop(*keys)
 
 
+def number_mixed(df: DataFrame, column: str, position: str, ascending: bool = True, name: str = "rank") -> DataFrame:
+    """Each row's place in that order."""
+    parts = [Key(value, ascending, nulls_last=not ascending) for value in mixed_keys(column).values()]
+    return positions(df, [*parts, Key(position)], name=name)
+
+
 def priority_list(df: DataFrame, group: str, value: str, score: str, entity: str) -> DataFrame:
     """Rows of one group, the highest score first, unknown scores last."""
     return df.where(F.col(group) == value).orderBy(F.col(score).desc_nulls_last(), entity)
 
 
+def number_priorities(df: DataFrame, group: str, score: str, *ties: str, name: str = "rank") -> DataFrame:
+    """Each row's place in the priority list of its group."""
+    return positions(df, [Key(score, ascending=False, nulls_last=True), *[Key(t) for t in ties]], [group], name)
+
+
 def score_bins(df: DataFrame, score: str, by: list[str] = ()) -> DataFrame:
     """Rows per fifth of the score range."""
     return df.where(score_bin(score).isNotNull()).groupBy(*by, score_bin(score).alias("bin")).agg(F.count("*").alias("n"))

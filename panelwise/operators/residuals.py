@@ -73,12 +73,13 @@ def base_feature(name: Column, features: list[str]) -> Column:
     return chain.otherwise(name)
 
 
-def grouped_importances(encoded: DataFrame, features: list[str], n: int = 10) -> DataFrame:
+def grouped_importances(encoded: DataFrame, features: list[str], n: int | None = 10) -> DataFrame:
     """Sum of the encoded columns' importances per feature, the largest first."""
     summed = encoded.groupBy(base_feature(F.col("name"), features).alias("feature")).agg(
         F.sum("importance").alias("importance")
     )
-    return summed.orderBy(F.col("importance").desc(), "feature").limit(n)
+    ordered = summed.orderBy(F.col("importance").desc(), "feature")
+    return ordered if n is None else ordered.limit(n)
 
 
 def action_frame(spark, actionable=fixed.ACTIONABLE) -> DataFrame:

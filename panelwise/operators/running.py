@@ -7,12 +7,13 @@ The cut points are chosen by the values' hashes: an even sample that is the
 same however often and in whatever order the rows are read.
 """
 
+from dataclasses import dataclass
 from functools import reduce
 from math import isqrt
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from panelwise.frames import null_safe_join, per_group
+from panelwise.frames import materialize, null_safe_join, per_group
 
 MIN_SLICES = 64
 
@@ -88,6 +89,66 @@ def row_numbers(
     return numbered.withColumn(name, F.col("_one_before") + 1).drop("_one", "_one_before", "_one_all")
 
 
+@dataclass(frozen=True)
+class Key:
+    """One part of an order: an expression, which may be collated, its direction, and where missing values go."""
+
+    value: Column | str
+    ascending: bool = True
+    nulls_last: bool = False
+
+    def columns(self, i: int) -> dict[str, Column]:
+        value = F.col(self.value) if isinstance(self.value, str) else self.value
+        return {f"_null{i}": value.isNull().cast("int") if self.nulls_last else value.isNotNull().cast("int"), f"_key{i}": value}
+
+    def order(self, i: int) -> list[Column]:
+        return [F.col(f"_null{i}").asc(), F.col(f"_key{i}").asc() if self.ascending else F.col(f"_key{i}").desc()]
+
+    def before(self, i: int, a: str, b: str) -> tuple[str, str]:
+        """SQL for "a comes before b" and "a equals b" in this part."""
+        sign = "<" if self.ascending else ">"
+        value = f"coalesce({a}_key{i} {sign} {b}_key{i}, false)"
+        return (f"({a}_null{i} < {b}_null{i} OR ({a}_null{i} = {b}_null{i} AND {value}))",
+                f"({a}_null{i} = {b}_null{i} AND {a}_key{i} <=> {b}_key{i})")
+
+
+def comes_before(keys: list[Key], a: str, b: str) -> str:
+    """SQL for "a comes before b" in the whole order, a and b being prefixes of the parts' names."""
+    text = "false"
+    for i, key in reversed(list(enumerate(keys))):
+        before, equal = key.before(i, a, b)
+        text = f"({before} OR ({equal} AND {text}))"
+    return text
+
+
+def positions(
+    df: DataFrame, keys: list[Key], by: list[str] = (), name: str = "position", slices: int | None = None, groups: int | None = None
+) -> DataFrame:
+    """Number the rows from 1 in an order of several parts with directions and collations, per group or in all.
+
+    As for running totals, the order is cut into slices at values chosen by hash, and every slice is
+    numbered on its own with its offset, so that no task sees a whole group. The last part should tell rows apart;
+    rows that are equal in all parts are numbered in any order.
+    """
+    group = list(by) or ["_all"]
+    groups, slices = groups if by else 1, slice_count(df, slices)
+    parts = {n: c for i, key in enumerate(keys) for n, c in key.columns(i).items()}
+    rows = materialize(df.withColumns({**parts, **({} if by else {"_all": F.lit(1)})}))  # read for cuts, counts and numbers
+    hashed = rows.select(*group, F.struct(*parts).alias("_cut"), F.xxhash64(*[F.col(f"_key{i}") for i in range(len(keys))]).alias("_hash"))
+    picked = hashed.groupBy(*group, F.pmod("_hash", F.lit(slices)).alias("_class")).agg(F.min_by("_cut", "_hash").alias("_cut"))
+    listed = picked.groupBy(*group).agg(F.collect_list("_cut").alias("_cuts"))
+    ordered = f"array_sort(_cuts, (a, b) -> CASE WHEN {comes_before(keys, 'a.', 'b.')} THEN -1 WHEN {comes_before(keys, 'b.', 'a.')} THEN 1 ELSE 0 END)"
+    cuts = listed.withColumn("_cuts", F.expr(ordered))
+    below = F.expr(f"size(filter(_cuts, cut -> {comes_before(keys, 'cut.', '')}))")
+    sliced = null_safe_join(rows, per_group(cuts, groups, slices), group).withColumn("_slice", below).drop("_cuts")
+    counts = sliced.groupBy(*group, "_slice").agg(F.count("*").alias("_n"))
+    earlier = F.sum("_n").over(W.partitionBy(*group).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1))
+    offsets = counts.select(*group, "_slice", F.coalesce(earlier, F.lit(0)).alias("_offset"))
+    joined = null_safe_join(sliced, per_group(offsets, groups, slices), [*group, "_slice"])
+    within = F.row_number().over(W.partitionBy(*group, "_slice").orderBy(*[c for i, key in enumerate(keys) for c in key.order(i)]))
+    return joined.select(*df.columns, (F.col("_offset") + within).alias(name))
+
+
 def exact_quantiles(
     counts: DataFrame, by: list[str], value: str, n: str, bins: int = 10, float_quantiles: bool = False,
     slices: int | None = None, counted: list[str] = (), groups: int | None = None,

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from panelwise import fixed
 from panelwise.functions.text import model_id, split_model_id
+from panelwise.operators.running import Key, positions
 
 
 def latest(df: DataFrame, run_id: str = "id") -> DataFrame:
@@ -45,6 +46,13 @@ def rank_candidates(df: DataFrame, f2: str = "f2", position: str = "position", i
     return kept.orderBy(F.coalesce(F.col(f2), F.lit(0.0)).desc(), position)
 
 
+def number_candidates(df: DataFrame, by: list[str], f2: str = "f2", position: str = "position", include_baseline: bool = True,
+                      name: str = "model_name", rank: str = "rank") -> DataFrame:
+    """Each candidate's place in its run."""
+    kept = df if include_baseline else df.where(F.col(name) != fixed.BASELINE_MODEL)
+    return positions(kept, [Key(F.coalesce(F.col(f2), F.lit(0.0)), ascending=False), Key(position)], by, rank)
+
+
 def best_candidate(df: DataFrame, by: list[str], f2: str = "f2", position: str = "position",
                    include_baseline: bool = True, name: str = "model_name") -> DataFrame:
     """The best candidate per group; the rule is only eligible when asked for."""

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from panelwise import fixed
 from panelwise.operators.drift import drift_report
-from panelwise.operators.models import Bundle, coerce_features, with_missing_flag
+from panelwise.operators.models import Bundle, coerce_features, fit_all, with_missing_flag
 from panelwise.operators.residuals import actionable
 from panelwise.operators.runs import evaluation_summary, explode_candidates, flag_best, overview
 from panelwise.operators.consolidate import data_status
@@ -15,7 +15,7 @@ from panelwise.plans.train import Training, fit_segments, residual_analysis, tra
 from panelwise.functions.text import normalized_file_name
 from panelwise.sources.exports import export_csv, export_json, export_per_model
 from panelwise.sources.layout_csv import LayoutFile
-from panelwise.sources.model_store import load_model, load_models, resolve_model, save_models
+from panelwise.sources.model_store import current_version, load_model, load_models, resolve_model, save_models
 from panelwise.sources.store import Store
 
 
@@ -25,18 +25,22 @@ def as_dicts(df: DataFrame) -> list[dict]:
 
 
 def train(store: Store, s: PanelSettings = PanelSettings()) -> Training:
-    """Train on the consolidated table and record everything the later steps read."""
-    spark, version = store.spark, store.data_version()
+    """Train on the consolidated table and record everything the later steps read.
+
+    The training's own run row is written last: until then all readers use the training before it.
+    """
+    version = store.data_version()
     result = train_and_select(store.records(), s)
     run_id = store.next_id("training_runs")
     best = next(c for c in result.candidates if c["model_name"] == result.winner.model_name and c["strategy"] == result.winner.strategy)
     study = residual_analysis(result.validation, s)
     found = fit_segments(result.train, result.validation, s)
 
-    save_models(spark, store.root, "candidates", result.operational)
-    save_models(spark, store.root, "frozen", result.frozen)
-    save_models(spark, store.root, "segments", [x.bundle for x in found.values() if x.bundle])
-    save_models(spark, store.root, "winner", [result.winner])
+    fit_all([*result.operational, *[x.bundle for x in found.values() if x.bundle]], s.parallelism)
+    save_models(store, run_id, {
+        "candidates": result.operational, "frozen": result.frozen, "winner": [result.winner],
+        "segments": [x.bundle for x in found.values() if x.bundle],
+    })
     store.save_reference(run_id, result.reference)
 
     shared = {"training_run_id": run_id, "validation_reference_year": result.validation_period, "data_version": version}
@@ -68,16 +72,17 @@ def train(store: Store, s: PanelSettings = PanelSettings()) -> Training:
     return result
 
 
-def segment_bundles(store: Store) -> dict[str, Bundle]:
-    """The segment models always belong to the last training, whatever model is chosen."""
-    return {b.label_name: b for b in load_models(store.spark, store.root, "segments")}
+def segment_bundles(store: Store, version: int) -> dict[str, Bundle]:
+    """The segment models of a training, whatever model is chosen."""
+    return {b.label_name: b for b in load_models(store, "segments", version=version)}
 
 
 def predict_batch(store: Store, batch: DataFrame, about: dict, model_id: str | None = None,
                   s: PanelSettings = PanelSettings()) -> tuple[int, DataFrame]:
     """Score a batch, append its rows and then its run."""
-    bundle = resolve_model(store.spark, store.root, model_id)
-    scored = predict(batch, bundle, segment_bundles(store), s)
+    version = current_version(store)
+    bundle = resolve_model(store, model_id, version)
+    scored = predict(batch, bundle, segment_bundles(store, version), s)
     run_id = store.next_id("prediction_runs")
     store.append_children("prediction_rows", scored, run_id)
     written = store.children("prediction_rows", run_id)
@@ -107,7 +112,8 @@ def _save_evaluation(store: Store, rows: DataFrame, run: dict, summaries=None) -
 def evaluate_files(store: Store, current: DataFrame, following: DataFrame, about: dict,
                    s: PanelSettings = PanelSettings()) -> tuple[int, PairEvaluation]:
     """The winner's predictions for one file against the outcomes in the next."""
-    found = evaluate_pair(current, following, load_model(store.spark, store.root), segment_bundles(store), s)
+    version = current_version(store)
+    found = evaluate_pair(current, following, load_model(store, version=version), segment_bundles(store, version), s)
     run_id = _save_evaluation(store, found.rows.withColumn("model_id", F.lit(found.model_id)), {
         "source_file": about.get("source_file", "pair.csv"), "detected_schema": about.get("detected_schema", "uploaded_pair"),
         "current_year": found.current_period, "next_year": found.next_period, "evaluation_mode": "uploaded_pair",
@@ -119,8 +125,9 @@ def evaluate_files(store: Store, current: DataFrame, following: DataFrame, about
 def evaluate_frozen(store: Store, batch: DataFrame, about: dict, model_id: str | None = None,
                     s: PanelSettings = PanelSettings()) -> tuple[int, CandidateEvaluation]:
     """All frozen candidates against the stored next period."""
-    selected = model_id or load_model(store.spark, store.root).model_id
-    found = evaluate_candidates(batch, store.records(), load_models(store.spark, store.root, "frozen"), s)
+    version = current_version(store)
+    selected = model_id or load_model(store, version=version).model_id
+    found = evaluate_candidates(batch, store.records(), load_models(store, "frozen", version=version), s)
     run_id = _save_evaluation(store, found.rows, {
         "source_file": about.get("source_file", "file.csv"), "detected_schema": about.get("detected_schema", "unknown"),
         "current_year": found.current_period, "next_year": found.next_period,
@@ -132,10 +139,10 @@ def evaluate_frozen(store: Store, batch: DataFrame, about: dict, model_id: str |
 
 def monitor_drift(store: Store, batch: DataFrame, about: dict, s: PanelSettings = PanelSettings(), **options) -> tuple[int, DataFrame]:
     """Drift of a batch against the rows the winner was trained on."""
-    reference, features, _ = store.load_reference()
+    reference, features, version = store.load_reference()
     flagged = with_missing_flag(batch, s.flag_source) if s.flag_source else batch
     categorical = s.strategies[s.segment_strategy].categorical
-    bundle = load_model(store.spark, store.root)
+    bundle = load_model(store, version=version)
     current = coerce_features(flagged, bundle.features)
     details = as_dicts(drift_report(reference, current, features, categorical, **options).drop("position"))
     run_id = store.next_id("drift_runs")
@@ -176,15 +183,20 @@ def candidate_comparison(store: Store) -> DataFrame:
     return flag_best(flat, ["id"]).orderBy("position")
 
 
-def actionable_insights(store: Store) -> DataFrame:
-    """Signals of the last residual study that one can act on, for both scenarios."""
+def actionable_insights(store: Store, actions: DataFrame | None = None) -> DataFrame:
+    """Signals of the last residual study that one can act on, for both scenarios, with the study's run,
+    validation year and data version and the notes on how to read them."""
     run = store.latest_run("baseline_analysis_runs")
     summary = run.select(F.inline("numeric_summary"))
     parts = [
-        actionable(run.select(F.inline(column)), summary, scenario)
+        actionable(run.select(F.inline(column)), summary, scenario, actions)
         for scenario, column in (("entry", "false_negative_importances"), ("recovery", "recovery_importances"))
     ]
-    return parts[0].unionByName(parts[1])
+    context = {"run_id": "id", "validation_year": "validation_reference_year", "data_version": "data_version"}
+    return parts[0].unionByName(parts[1]).select(
+        *[run.select(c).scalar().alias(name) for name, c in context.items()], "*",
+        F.array(*[F.lit(note) for note in fixed.INSIGHT_NOTES]).alias("notes"),
+    )
 
 
 def latest_evaluation(store: Store) -> DataFrame:

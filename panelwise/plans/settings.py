@@ -21,7 +21,7 @@ class PanelSettings:
     sizes: TreeSizes = TreeSizes()
     models: tuple[str, ...] = ("logistic_regression", "random_forest", "hist_gradient_boosting")
     train_on: str = "first"
-    parallelism: int = 3
+    parallelism: int = 6
 
     @property
     def segment_features(self) -> Features:

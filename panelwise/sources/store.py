@@ -138,7 +138,8 @@ class Store:
         return self.spark.read.parquet(f"{self.path(table)}/run_id={int(run_id)}")
 
     def save_reference(self, run_id: int, df: DataFrame) -> None:
-        self.append_children("training_reference_rows", df, run_id)
+        """The rows of one training; what an unfinished training of the same number has left is replaced."""
+        sanitize(df).write.mode("overwrite").parquet(f"{self.path('training_reference_rows')}/run_id={int(run_id)}")
 
     def load_reference(self) -> tuple[DataFrame, list[str], int]:
         """Reference rows of the latest training, its features and its id."""

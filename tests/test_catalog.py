@@ -19,19 +19,31 @@ def connection():
     return compare.connect(FOLDER)
 
 
-@pytest.fixture(scope="module", autouse=True)
+FULL_SIZE = ["m7_random_forest", "m10_segment_models", "m11_importance_study", "o6_top_importances"]
+
+
+@pytest.fixture
 def small_ensembles():
     """The registered queries fit ensembles of the real sizes; here small ones stand in for them."""
-    fits.SETTINGS, kept = dataclasses.replace(fits.SETTINGS, sizes=TreeSizes(8, 5, 4, 3, 64)), fits.SETTINGS
+    fits.SETTINGS, kept = dataclasses.replace(fits.SETTINGS, sizes=TreeSizes(8, 5, 32, 4, 3, 64)), fits.SETTINGS
     yield
     fits.SETTINGS = kept
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_query(spark, connection, name):
+def test_query(spark, connection, small_ensembles, name):
     difference, _, _ = compare.compare(spark, connection, entry.queries()[name], entry.oracle_sql().get(name), FOLDER)
     assert not difference
 
 
+@pytest.mark.parametrize("name", FULL_SIZE)
+def test_query_at_full_size(spark, connection, name):
+    """Forests of 300 trees, 30 levels deep."""
+    fits.forget()
+    difference, _, _ = compare.compare(spark, connection, entry.queries()[name], entry.oracle_sql()[name], FOLDER)
+    fits.forget()
+    assert not difference
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0 and set(entry.oracle_sql()) <= set(entry.queries())

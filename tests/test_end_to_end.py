@@ -1,3 +1,4 @@
+import dataclasses
 import math
 
 import pytest
@@ -5,12 +6,16 @@ from pyspark.sql import functions as F
 
 import fixtures
 from panelwise import fixed
-from panelwise.operators.models import Features, TreeSizes, coerce_features, encoded_importances, fit, forest, probability_of
+from panelwise.operators.certificates import forest_facts, importances_agree, node_table, ridge_gradient
+from panelwise.operators.models import (
+    WEIGHT, Features, TreeSizes, balanced_weight, baseline_bundle, bounded, candidates, class_counts, coerce_features, encode,
+    encoded_importances, fit, fit_encoder, fit_on, forest, probability_of,
+)
 from panelwise.plans import monitor
 from panelwise.plans.evaluate import batch_period, evaluate_candidates, evaluate_pair
 from panelwise.plans.settings import PanelSettings
 from panelwise.plans.train import ModelingError, fit_segments, labelled_frame, residual_analysis, train_and_select
-from panelwise.sources.model_store import load_model, load_models, resolve_model
+from panelwise.sources.model_store import load_model, load_models, resolve_model, save_models
 from panelwise.sources.store import Store
 
 SMALL = PanelSettings(sizes=TreeSizes(forest_trees=5, forest_depth=3, boosting_rounds=2, boosting_depth=2))
@@ -52,18 +57,56 @@ def test_models_load_and_score_the_same(spark, trained):
     from panelwise.operators.models import score_frame
 
     for kind, bundles in (("frozen", result.frozen), ("candidates", result.operational)):
-        loaded = {b.model_id: b for b in load_models(spark, store.root, kind)}
+        loaded = {b.model_id: b for b in load_models(store, kind)}
         assert set(loaded) == {b.model_id for b in bundles}
         for b in bundles:
             assert loaded[b.model_id].validation_period == b.validation_period
             ours, theirs = (sorted(score_frame(x, batch, ["ra"]).collect()) for x in (b, loaded[b.model_id]))
             assert ours == theirs
-    assert load_model(spark, store.root).model_id == result.winner.model_id
-    assert resolve_model(spark, store.root, "random_forest__strategy_a").strategy == "strategy_a"
+    assert load_model(store).model_id == result.winner.model_id
+    assert resolve_model(store, "random_forest__strategy_a").strategy == "strategy_a"
     with pytest.raises(LookupError):
-        resolve_model(spark, store.root, "none__x")
+        resolve_model(store, "none__x")
     with pytest.raises(LookupError):
-        load_model(spark, store.root + "/nowhere")
+        load_model(Store(spark, store.root + "/nowhere"))
+
+
+def test_a_training_that_stops_leaves_the_version_before_it(spark, tmp_path):
+    """Models count when their training's run is written: a stop between two saves shows nothing of the new set."""
+    store = Store(spark, str(tmp_path / "versions"))
+    rule = lambda strategy: dataclasses.replace(baseline_bundle("level"), strategy=strategy)
+    save_models(store, 1, {"winner": [rule("old")], "candidates": [rule("old"), rule("older")]})
+    with pytest.raises(LookupError):
+        load_model(store)
+    store.append_run("training_runs", {"id": 1})
+    save_models(store, 2, {"winner": [rule("new")]})  # stops here
+    assert load_model(store).strategy == "old" and {b.strategy for b in load_models(store, "candidates")} == {"old", "older"}
+    save_models(store, 2, {"winner": [rule("newer")], "candidates": [rule("newer")]})  # the training that follows takes its number
+    store.append_run("training_runs", {"id": 2})
+    assert load_model(store).strategy == "newer" and [b.strategy for b in load_models(store, "candidates")] == ["newer"]
+    assert load_model(store, version=1).strategy == "old"
+    with pytest.raises(ValueError, match="finished"):
+        save_models(store, 1, {"winner": [rule("late")]})
+
+
+def test_models_are_fitted_when_they_are_needed(spark):
+    """Nothing is fitted for the rule; a chosen model is fitted once, and alone."""
+    result = train_and_select(fixtures.panel(spark), SMALL)
+    made = lambda: [b.model_id for b in result.frozen + result.operational if b.fitted is not None and b.fitted.made]
+    assert result.measure([b for b in result.frozen if b.fitted is None])[0]["metrics"]["f2"] == 1.0 and made() == []
+    chosen = result.model("logistic_regression__strategy_b")
+    assert chosen.model is chosen.model and made() == ["logistic_regression__strategy_b"]
+    assert result.reference_of(chosen).count() == 10 and made() == ["logistic_regression__strategy_b"]
+
+
+def test_rows_of_a_fit_can_be_bounded(spark):
+    rows = spark.range(20_000).select("id", (F.col("id") % 4 == 0).cast("int").alias("y"))
+    some = bounded(rows, 20_000, 2_000)
+    counts = {r.y: r["count"] for r in some.groupBy("y").count().collect()}
+    assert 1_300 < counts[0] < 1_700 and 400 < counts[1] < 600 and sorted(some.collect()) == sorted(bounded(rows, 20_000, 2_000).collect())
+    assert bounded(rows, 20_000, None) is rows and bounded(rows, 20_000, 20_000) is rows
+    bound = dataclasses.replace(SMALL, sizes=dataclasses.replace(SMALL.sizes, fit_rows=8))
+    assert train_and_select(fixtures.panel(spark), bound).model("random_forest__strategy_a").fitted is not None
 
 
 def test_prediction(spark, trained):
@@ -210,3 +253,21 @@ def test_batch_period_is_the_smallest_most_frequent(spark):
     assert batch_period(frame, "p") == 2020
     with pytest.raises(ModelingError):
         batch_period(frame.limit(0), "p")
+
+
+def test_certificates(spark):
+    """They hold for fitted models and fail for spoilt ones."""
+    features = Features(("x", "kind"), ("kind",))
+    rows = larger_panel(spark).withColumn("y", (F.col("level") < -0.2).cast("int"))
+    counts = class_counts(rows, "y")
+    encoder = fit_encoder(rows, features)
+    encoded = encode(rows, features, encoder, "y", counts)
+    n = sum(counts.values())
+    regression = fit_on(encoded, encoder, candidates(TreeSizes(), "y", n)["logistic_regression"]).stages[-1]
+    steepest = lambda strength, weight: ridge_gradient(regression, encoded.withColumn(WEIGHT, weight), "y", WEIGHT, strength).agg(F.max(F.abs("gradient"))).first()[0]
+    assert steepest(1 / n, balanced_weight("y", counts)) < 1e-3 < steepest(1 / n, F.lit(1.0))
+    model = fit_on(encoded, encoder, forest(TreeSizes(forest_trees=7, forest_depth=6), "y")).stages[-1]
+    nodes = node_table(model)
+    assert tuple(forest_facts(nodes).first())[0] == 7 and forest_facts(nodes).first()[1] >= 2
+    assert importances_agree(model, nodes).first().agree and importances_agree(model, nodes).first().whole
+    assert not importances_agree(model, nodes.withColumn("gain", F.col("gain") * F.col("tree") + F.col("feature"))).first().agree
