@@ -2,8 +2,12 @@
 
 The two kinds of vocabulary used here never merge across a space: one splits every word off with
 the space before it, the other drops white space. So the ids of a text are the ids of its
-space-separated pieces one after the other, and each task keeps the ids of the pieces it has met. Whatever does not fit that rule (added tokens in the text, unusual white space) goes through
-the library whole. The ids are always the library's own.
+space-separated pieces one after the other, and each task keeps the ids of the pieces it has met.
+Texts with plain white space are cut as one byte buffer: a piece is known by its first 16 bytes, whose
+place in a table holds the ids of the last such piece met there; longer pieces, and those whose place
+another one has taken, are looked up by their bytes. Texts with unusual white space are cut by a pattern, and
+what does not fit the rule at all (added tokens in the text) goes through the library whole. The ids are
+always the library's own.
 """
 
 from __future__ import annotations
@@ -14,10 +18,17 @@ import re
 import unicodedata
 from itertools import chain
 
+import numpy as np
+
 REMEMBERED = 500_000  # pieces kept per task and vocabulary
 AT_ONCE = 4_096  # pieces given to the library in one call
 ODD_SPACE = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 SPACED = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+SLOTS = 19  # bits of a place in the table of pieces
+WIDE = 16  # bytes by which a piece is known there
+MASK = np.array([int.from_bytes(b"\xff" * n + bytes(WIDE - n), "little") >> shift & (1 << 64) - 1 for n in range(WIDE + 1) for shift in (0, 64)], dtype=np.uint64).reshape(-1, 2)
+LETTERS = "".join(chr(c) for c in range(0x250) if chr(c).isalpha() and c != 0x130)  # a lower-cased dotted I is two characters
+WORD = re.compile(f"( ?[{LETTERS}]+)([.,]?)")  # one word of plain letters, and a mark
 SEPARATORS = re.compile(r"[\x1c-\x1f]")  # white space for Python, not for the tokenizers
 
 
@@ -54,12 +65,11 @@ class Encoder:
         else:
             self.kind = "whole"
         self.known: dict[str, bytes] = {}
+        self.forget()
         self.model = self.tokenizer.model
         self.byte_letters = byte_letters()
 
     def whole(self, text: str) -> bytes:
-        import numpy as np
-
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def pieces(self, text: str) -> list[str] | None:
@@ -76,51 +86,132 @@ class Encoder:
         # a word that follows a space carries it; a line break stands alone
         return text.replace("\n", " \n ").replace(" ", "\x00 ").replace("\x00 \n\x00 ", "\x00\n\x00").split("\x00")
 
-    def plain_word(self, stem: str) -> str | None:
-        """The form in which the merge model sees a piece that is one word of plain letters; None for any other piece."""
-        letters = stem[1:] if stem[:1] == " " else stem
-        if not letters.isalpha() or max(letters) >= "\u0250" or "\u0130" in letters:
-            return None
+    def seen(self, stem: str) -> str | None:
+        """The form in which the merge model sees a piece that is one word of plain letters."""
         if self.kind == "words":
-            if not unicodedata.is_normalized("NFC", stem):
+            if not stem.isascii() and not unicodedata.is_normalized("NFC", stem):
                 return None
             stem = stem.lower()
+        if stem.isascii():
+            return self.byte_letters[0x20] + stem[1:] if stem[0] == " " else stem
         return stem.encode().decode("latin-1").translate(self.byte_letters)
 
-    def learn(self, missing: list[str]) -> None:
+    def ids_of(self, pieces: list[str]) -> list[list[int]]:
         """Plain words go straight to the library's merge model, all other pieces through the whole tokenizer."""
-        import numpy as np
-
-        others = []
-        for w in missing:
-            stem, mark = (w[:-1], w[-1]) if w[-1:] in (".", ",") else (w, "")
-            seen = self.plain_word(stem) if stem else None
-            if seen is None:
-                others.append(w)
-                continue
-            ids = [t.id for t in self.model.tokenize(seen)] + ([t.id for t in self.model.tokenize(mark)] if mark else [])
-            self.known[w] = np.array(ids, dtype="<u4").tobytes()
+        tokenize, met, found, others = self.model.tokenize, {}, [], []
+        marks = {m: [t.id for t in tokenize(m)] for m in ".,"}
+        for i, w in enumerate(pieces):
+            word = WORD.fullmatch(w)
+            ids = None
+            if word is not None:
+                stem, mark = word.groups()
+                ids = met.get(stem)
+                if ids is None:
+                    known, seen = self.place.get(stem.encode()), None
+                    if known is not None:
+                        ids = self.ids[known[0]:known[0] + known[1]].tolist()
+                    elif (seen := self.seen(stem)) is not None:
+                        ids = [t.id for t in tokenize(seen)]
+                    met[stem] = ids
+                if mark and ids is not None:
+                    ids = ids + marks[mark]
+            if ids is None:
+                others.append(i)
+            found.append(ids)
         for at in range(0, len(others), AT_ONCE):
             part = others[at:at + AT_ONCE]
-            got = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ids, of = np.array(got.ids, dtype="<u4"), np.array(got.word_ids, dtype=np.int64)
-            ends = np.searchsorted(of, np.arange(len(part) + 1)) * 4
-            data = ids.tobytes()
-            self.known.update((w, data[ends[i]:ends[i + 1]]) for i, w in enumerate(part))
+            got = self.tokenizer.encode([pieces[i] for i in part], is_pretokenized=True, add_special_tokens=False)
+            ids = got.ids
+            ends = np.searchsorted(np.array(got.word_ids, dtype=np.int64), np.arange(len(part) + 1)).tolist()
+            for k, i in enumerate(part):
+                found[i] = ids[ends[k]:ends[k + 1]]
+        return found
+
+    def is_plain(self, text: str) -> bool:
+        """Whether spaces and line breaks alone tell where the text is cut."""
+        if self.kind == "whole" or "\x00" in text or ODD_SPACE.search(text) or any(a in text for a in self.added):
+            return False
+        return self.kind == "words" or not ("  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[-1:] in (" ", "\n"))
+
+    def cut(self, data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the pieces of plain texts begin and end in their bytes; text i begins at first[i]."""
+        space, line = data == 0x20, data == 0x0A
+        edge = np.zeros(len(data) + 1, dtype=bool)
+        edge[first] = True
+        if self.kind == "spaced":  # a word carries the space before it, a line break stands alone
+            begins = space | line | edge[:-1]
+            begins[1:] |= line[:-1]
+            begin = np.flatnonzero(begins)
+            return begin, np.append(begin[1:], len(data))[:len(begin)]
+        inside = ~(space | line)
+        begins, ends = inside.copy(), inside.copy()
+        begins[1:] &= ~inside[:-1] | edge[1:-1]
+        ends[:-1] &= ~inside[1:] | edge[1:-1]
+        return np.flatnonzero(begins), np.flatnonzero(ends) + 1
+
+    def remember(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of these pieces stand and how many they are; the ids of new ones are added."""
+        new = list({w for w in words if w not in self.place})
+        if new:
+            found = self.ids_of(b"\x00".join(new).decode().split("\x00"))
+            counts = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+            upto = self.used + np.cumsum(counts)
+            while upto[-1] > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), dtype="<u4")])
+            self.ids[self.used:upto[-1]] = np.fromiter(chain.from_iterable(found), dtype="<u4", count=upto[-1] - self.used)
+            self.place.update(zip(new, zip((upto - counts).tolist(), counts.tolist(), strict=True), strict=True))
+            self.used = int(upto[-1])
+        at = np.fromiter(chain.from_iterable(map(self.place.__getitem__, words)), dtype=np.int64, count=2 * len(words))
+        return at[::2], at[1::2]
+
+    def encode_plain(self, texts: list[str]) -> list[bytes]:
+        raw = [t.encode() for t in texts]
+        first = np.cumsum([0] + [len(r) for r in raw])
+        joined = b"".join(raw)
+        data = np.frombuffer(joined + bytes(WIDE), dtype=np.uint8)
+        begin, end = self.cut(data[:len(joined)], first)
+        if not len(begin):
+            return [b""] * len(texts)
+        length = end - begin
+        keys = np.lib.stride_tricks.sliding_window_view(data, WIDE)[begin].view("<u8") & MASK[np.minimum(length, WIDE)]
+        a, b = keys[:, 0], keys[:, 1]
+        mixed = (a ^ (b * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
+        slot = ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x94D049BB133111EB) >> np.uint64(64 - SLOTS)).astype(np.int64)
+        held = (self.keys[slot, 0] == a) & (self.keys[slot, 1] == b) & (length <= WIDE)
+        at, count = self.at[slot], self.count[slot]
+        miss = np.flatnonzero(~held)
+        if len(miss):
+            words = [joined[i:j] for i, j in zip(begin[miss].tolist(), end[miss].tolist(), strict=True)]
+            at[miss], count[miss] = self.remember(words)
+            short = miss[length[miss] <= WIDE]
+            self.keys[slot[short]], self.at[slot[short]], self.count[slot[short]] = keys[short], at[short], count[short]
+        upto = np.cumsum(count)
+        ids = self.ids[np.repeat(at - (upto - count), count) + np.arange(upto[-1])].tobytes()
+        ends = np.concatenate([[0], upto])[np.searchsorted(begin, first)] * 4
+        ends = ends.tolist()
+        return [ids[ends[i]:ends[i + 1]] for i in range(len(texts))]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self.pieces(t) for t in texts]
+        if len(self.place) + len(self.known) > REMEMBERED:
+            self.forget()
+        plain = [self.is_plain(t) for t in texts]
+        fast = iter(self.encode_plain([t for t, p in zip(texts, plain, strict=True) if p]))
+        split = [None if p else self.pieces(t) for t, p in zip(texts, plain, strict=True)]
         met = set(chain.from_iterable(s for s in split if s))
-        if len(self.known) + len(met) > REMEMBERED:  # the pieces met now stay, the others go
-            self.known = {w: self.known[w] for w in met & self.known.keys()}
-        self.learn(list(met - self.known.keys()))
+        new = list(met - self.known.keys())
+        self.known.update((w, np.array(ids, dtype="<u4").tobytes()) for w, ids in zip(new, self.ids_of(new), strict=True))
         get = self.known.__getitem__
-        return [b"".join(map(get, s)) if s is not None else self.whole(t) for s, t in zip(split, texts, strict=True)]
-
+        return [
+            next(fast) if p else b"".join(map(get, s)) if s is not None else self.whole(t)
+            for t, p, s in zip(texts, plain, split, strict=True)
+        ]
 
     def forget(self) -> None:
         """Give the remembered pieces back when a task ends; the worker process may be used for other work."""
-        self.known = {}
+        self.known, self.place, self.used = {}, {}, 0
+        self.ids = np.zeros(1 << 16, dtype="<u4")
+        self.keys = np.zeros((1 << SLOTS, 2), dtype=np.uint64)
+        self.at, self.count = np.zeros(1 << SLOTS, dtype=np.int64), np.zeros(1 << SLOTS, dtype=np.int64)
 
 
 _ENCODERS: dict[str, Encoder] = {}
