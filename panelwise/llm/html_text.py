@@ -2,10 +2,11 @@
 
 Markup is stripped so that every block element makes a line. A line weighs as many characters as
 it has outside links; what stands in menus, forms, adverts and the like weighs nothing and is a gap,
-unless the lines before and after it stand in the same element as it does. The weights of a few
-neighbouring lines are summed. A stretch between two dives to nothing is text when the sums surge in
-it; from its first line of weight to its last all is kept, lines of links too. Tags that mark the article are surge and
-dive points besides: what they hold is kept, and text outside them is kept where it surges by itself.
+unless the lines before and after it stand in the same element as it does. Tags that mark the article only change weights: a
+line within them weighs ``SURGE_CHARS`` more, and on a page that has them a line outside weighs
+``OUTSIDE_CHARS`` less. The weights of a few neighbouring lines are summed. A stretch between two dives to nothing is text when
+the sums surge in it; from its first line of weight to its last all is kept, lines of links too, but for
+lines outside the article that weigh nothing. Pages without such tags are read by the same rule.
 """
 
 from __future__ import annotations
@@ -22,12 +23,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from panelwise.llm.base import arrow_schema, kind_of
 
-WINDOW, SURGE_CHARS = 3, 80
+WINDOW, SURGE_CHARS, OUTSIDE_CHARS = 3, 80, 160
 
 MARK = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*(?:>|\Z))", re.S
 )
 ATTRIBUTE = re.compile(r"([A-Za-z-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)")
+CLOSED = re.compile(r"</([a-z][^\s/>]*)")
 SPACE, WORD = re.compile(r"\s+"), re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noscript iframe template".split())
@@ -83,7 +85,8 @@ def lines_of(page: str) -> list[Line]:
     homes: list[tuple[str, int]] = [("", 0)]  # open elements and their numbers
     opened: Counter[str] = Counter()
     made, last_home = 0, -1
-    closes = page.lower()
+    lowered = page.lower()
+    closed = {m[1]: m.start() for m in CLOSED.finditer(lowered)}  # where an element is closed for the last time
 
     def end_line() -> None:
         nonlocal parts, linked, last_home
@@ -113,7 +116,7 @@ def lines_of(page: str) -> list[Line]:
             continue
         closing, tag = m[1] == "/", m[2].lower()
         if not closing and tag in RAW:  # its content is not markup
-            end = closes.find(f"</{tag}", at)
+            end = lowered.find(f"</{tag}", at) if closed.get(tag, -1) >= at else -1
             at = len(page) if end < 0 and tag != "title" else max(end, at)
             continue
         if skip:
@@ -142,7 +145,7 @@ def lines_of(page: str) -> list[Line]:
                             break
             continue
         self_closing = m[3].rstrip().endswith("/>") or tag in VOID
-        if not self_closing and dropped(tag, m[3][:-1] if m[3].endswith(">") else m[3], articles > 0) and (closes.find(f"</{tag}", at) >= 0 or tag == "p"):
+        if not self_closing and dropped(tag, m[3][:-1] if m[3].endswith(">") else m[3], articles > 0) and (closed.get(tag, -1) >= at or tag == "p"):
             if tag not in INLINE:
                 end_line()
             gaps.add(homes[-1][1])
@@ -166,20 +169,27 @@ def lines_of(page: str) -> list[Line]:
     return out
 
 
+def weights(lines: list[Line]) -> list[int]:
+    """What the lines weigh, with the tags' say in it."""
+    marked = any(x.inside for x in lines)
+    return [x.weight + SURGE_CHARS if x.inside else max(0, x.weight - OUTSIDE_CHARS) if marked else x.weight for x in lines]
+
+
 def main_text(page: str, window: int = WINDOW) -> str:
     """The article's blocks in page order, joined by one space; empty when there are none."""
     lines = lines_of(page)
+    marked = any(x.inside for x in lines)
     weight: list[int] = []
     of: list[int] = []
-    for i, x in enumerate(lines):
-        if i and (x.gap or x.inside != lines[i - 1].inside):  # what was left out is as empty lines, and so are the article's tags
+    for i, (x, w) in enumerate(zip(lines, weights(lines), strict=True)):
+        if i and x.gap:  # what was left out is as empty lines
             weight.extend([0] * window)
             of.extend([-1] * window)
-        weight.append(x.weight)
+        weight.append(w)
         of.append(i)
     sums = np.convolve(np.array(weight + [0] * (window - 1)), np.ones(window, dtype=np.int64), "valid") if weight else np.empty(0)
-    kept = {i for i, x in enumerate(lines) if x.inside}
-    surge = SURGE_CHARS if kept or not len(sums) else min(sums.max(), SURGE_CHARS)
+    surge = SURGE_CHARS if marked or not len(sums) else min(sums.max(), SURGE_CHARS)
+    kept = []
     i = 0
     while i < len(sums):
         end = i
@@ -187,9 +197,9 @@ def main_text(page: str, window: int = WINDOW) -> str:
             end += 1
         if end > i and sums[i:end].max() >= surge:
             heavy = [j for j in range(i, end) if weight[j] > 0]
-            kept.update(k for k in of[heavy[0]:heavy[-1] + 1] if k >= 0)
+            kept += [of[j] for j in range(heavy[0], heavy[-1] + 1) if of[j] >= 0 and (weight[j] > 0 or not marked or lines[of[j]].inside)]
         i = end + 1
-    return " ".join(lines[k].text for k in sorted(kept))
+    return " ".join(lines[k].text for k in kept)
 
 
 def extract(df: DataFrame, html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
