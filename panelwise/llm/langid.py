@@ -194,3 +194,16 @@ def predict_documents(df: DataFrame) -> DataFrame:
     docs = columns(df, doc_id="doc_id", text="text", lang="lang")
     model = fit(docs.where(~held_out()))
     return identify(docs.select("doc_id", held_out().alias("held_out"), "text"), model, keep=["doc_id", "held_out"])
+
+
+#: A document is rejected when no language holds this share of its n-grams; documents in a learnt language hold over 0.6.
+KEPT_SHARE = 0.35
+
+
+def keep_identified(docs: DataFrame, text: str = "text", least: float = KEPT_SHARE) -> DataFrame:
+    """The documents whose language is one of those learnt from them; all columns stay as they are, whatever their names."""
+    model = fit(docs.where(~held_out()))
+    names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    judged = identify(docs.withColumnsRenamed(names), model, text=names[text])
+    kept = judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    return kept.select(*[F.col(n).alias(c) for c, n in names.items()])

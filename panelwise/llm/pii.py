@@ -28,6 +28,7 @@ FIT_DOCS = 600  # documents with a digit or an at sign to train from, at most
 FIT_WINDOWS, PASSES = 1_600, 6
 LENGTH, STRIDE, CONTEXT = 96, 64, 24
 TRAIN_LENGTH = 72
+EXCERPT = 4_000  # characters of a training document
 
 
 def made_up(rng: np.random.Generator, kind: str) -> str:
@@ -70,7 +71,7 @@ def training_set(texts: list[str], seed: int = 5) -> tuple[np.ndarray, np.ndarra
         elif n % 2 == 0:  # a window with a digit in it, where there is one
             i = int(rng.integers(0, len(texts)))
             text, spans = texts[i], found[i]
-            near = [k for k, c in enumerate(text[:20_000]) if c.isdigit()]
+            near = [k for k, c in enumerate(text) if c.isdigit()]
             at = max(0, (int(rng.choice(near)) if near else int(rng.integers(0, len(text)))) - int(rng.integers(1, TRAIN_LENGTH - 10)))
         else:
             base = texts[int(rng.integers(0, len(texts)))]
@@ -90,12 +91,17 @@ def training_set(texts: list[str], seed: int = 5) -> tuple[np.ndarray, np.ndarra
 
 
 def fit(df: DataFrame, text: str = "text", fit_docs: int = FIT_DOCS) -> Tagger:
-    """A tagger from at most ``fit_docs`` documents with a digit or an at sign, those with the smallest text hash."""
-    docs = columns(df, text=text).where(F.col("text").rlike("[0-9@]") & (F.length("text") <= 100_000))
+    """A tagger from at most ``fit_docs`` documents with a digit or an at sign, those with the smallest text hash.
+
+    Of a text longer than ``EXCERPT`` characters, as many are taken from a place chosen by its hash.
+    """
+    docs = columns(df, text=text).where(F.col("text").rlike("[0-9@]"))
     order = F.xxhash64("text")
     share = docs.agg(F.count("*").alias("n")).first()["n"]
     picked = docs.where(F.pmod(order, F.lit(1 << 31)) < int(min(1.0, 2 * fit_docs / max(1, share)) * (1 << 31)))
-    texts = [r["text"] for r in picked.orderBy(order, "text").limit(fit_docs).collect()]
+    begin = F.pmod(order, F.greatest(F.length("text") - EXCERPT, F.lit(0)).cast("long") + 1).cast("int") + 1
+    excerpts = picked.select(order.alias("order"), F.col("text").substr(begin, F.lit(EXCERPT)).alias("part"))
+    texts = [r["part"] for r in excerpts.orderBy("order", "part").limit(fit_docs).collect()]
     model = Tagger.new()
     model.train(*training_set(texts), PASSES)
     return Tagger({k: v.astype(np.float32) for k, v in model.p.items()})
