@@ -7,9 +7,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors can reach: the cluster's checkpoint folder.
+    """The folder all executors can reach: the one that ``spark.checkpoint.dir`` names.
 
-    Only a local session without the setting gets one of its own.
+    Only a local session without the setting, whose executors are the driver, gets one next to its warehouse.
     """
     folder = spark.sparkContext.getCheckpointDir()
     if folder:
@@ -18,9 +18,7 @@ def shared_folder(spark: SparkSession) -> str:
     if not configured:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        import tempfile
-
-        configured = tempfile.mkdtemp(prefix="panelwise-")
+        configured = f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
     spark.sparkContext.setCheckpointDir(configured)
     return spark.sparkContext.getCheckpointDir()
 
@@ -51,6 +49,32 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"_r_{k}" for k in keys])
 
 
+def heavy_keys(df: DataFrame, key: str, partitions: int) -> DataFrame:
+    """``_heavy``: keys, null among them, that hold more than a quarter of an even partition's rows: four a partition at most."""
+    counts = df.groupBy(F.col(key).alias("_heavy")).agg(F.count("*").alias("_n"))
+    whole = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).scalar()
+    return counts.where(F.col("_n") * (4 * partitions) > whole).select("_heavy")
+
+
+def heavy_join(left: DataFrame, right: DataFrame, key: str, right_key: str, partitions: int | None = None) -> DataFrame:
+    """Inner join in which null matches null and no key is one task's work, however many rows of ``left`` hold it.
+
+    Keys are counted first. Those that are heavy in ``left`` are dealt over all partitions by a hash of the whole row,
+    and their rows of ``right`` go to each of them; all others are joined by hash. The rows of ``right`` that are
+    repeated belong to at most four keys a partition.
+    """
+    partitions = partitions or int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    heavy = materialize(heavy_keys(left, key, partitions))
+    known = F.broadcast(heavy)  # at most four rows a partition
+    split = lambda df, k, how: df.join(known, F.col(k).eqNullSafe(F.col("_heavy")), how)
+    matches = F.col(key).eqNullSafe(F.col(right_key))
+    rest = split(left, key, "left_anti").join(split(right, right_key, "left_anti"), matches)
+    salted = split(left, key, "left_semi").withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(partitions)))
+    copies = split(right, right_key, "left_semi").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(partitions - 1))))
+    dealt = salted.join(copies, matches & (F.col("_salt") == F.col("_copy"))).drop("_salt", "_copy")
+    return rest.unionByName(dealt)
+
+
 def unpivot(df: DataFrame, keep: list[str], columns: list[str], kind: str, name="feature", value="value") -> DataFrame:
     """Wide to long: one row per kept key and column, values cast to one type."""
     cast = df.select(*keep, *[F.col(c).cast(kind).alias(c) for c in columns])
