@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import os
 import uuid
@@ -67,7 +68,15 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 ROWS_AT_ONCE = 500  # of a batch made into Python strings together
-TEXT_AT_ONCE = 800_000  # characters handled together; a longer text is handled by itself
+TEXT_AT_ONCE = 400_000  # characters handled together; a longer text is handled by itself
+
+
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task: the worker process lives on and may wait for long."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
 
 
 def slices(texts: list[str], most: int) -> Iterator[tuple[int, int]]:
@@ -90,6 +99,7 @@ def text_batches(batches: Iterable[pa.RecordBatch], most: int = TEXT_AT_ONCE, te
             texts = [t or "" for t in batch.column(text).to_pylist()]
             for i, j in slices(texts, most):
                 yield batch.slice(i, j - i), texts[i:j]
+    give_back()
 
 
 def rows_of(schema: pa.Schema, **values) -> pa.RecordBatch:
@@ -168,6 +178,7 @@ def only_likely(df: DataFrame, keys: KeyFilter, name: str) -> DataFrame:
         mine = KeyFilter(held.value)
         for batch in batches:
             yield batch.filter(pa.array(mine.may_hold(batch.column(name).to_numpy())))
+        give_back()
 
     return df.mapInArrow(run, df.schema)
 
@@ -182,5 +193,6 @@ def with_likely(df: DataFrame, keys: KeyFilter, name: str, mark: str) -> DataFra
         for batch in batches:
             likely = pa.array(mine.may_hold(batch.column(name).to_numpy()))
             yield pa.RecordBatch.from_arrays([*batch.columns, likely], names=[*batch.schema.names, mark])
+        give_back()
 
     return df.mapInArrow(run, out)

@@ -23,7 +23,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from panelwise.llm.base import arrow_schema, columns, materialize, new_name, rows_of, shared_path, text_batches
+from panelwise.llm.base import arrow_schema, give_back, columns, materialize, new_name, rows_of, shared_path, text_batches
 from panelwise.llm.tokens import encoder
 
 STEP, MAGIC = 256, b"EFT1"
@@ -198,6 +198,7 @@ def write_tokens(
         if ids:
             yield flush()
         tokens.forget()
+        give_back()
 
     shards = materialize(docs.mapInArrow(run, spec))
     # one small row per file

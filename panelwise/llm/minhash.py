@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from panelwise.llm.base import KeyFilter, arrow_schema, columns, kind_of, materialize, mix, only_likely, rows_of, text_batches, with_likely
+from panelwise.llm.base import KeyFilter, arrow_schema, columns, give_back, kind_of, materialize, mix, only_likely, rows_of, text_batches, with_likely
 from panelwise.llm.graph import components
 from panelwise.llm.words import Words, shingles
 
@@ -107,6 +107,8 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> Da
             left, right = batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()
             ok = np.array([probability_jaccard(*of(x), *of(y)) >= threshold - 1e-12 for x, y in zip(left, right, strict=True)], dtype=bool)
             yield rows_of(schema, a=batch.column("a").to_numpy()[ok], b=batch.column("b").to_numpy()[ok])
+        known.clear()
+        give_back()
 
     one, other = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     return pairs.join(other, "b").join(one, "a").mapInArrow(run, spec)

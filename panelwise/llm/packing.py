@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from panelwise.llm.base import arrow_schema, columns, kind_of, rows_of, text_batches
+from panelwise.llm.base import arrow_schema, give_back, columns, kind_of, rows_of, text_batches
 from panelwise.llm.tokens import encoder
 
 CAPACITY, CLASSES, BLOCK_IDS, END_ID = 2048, 16, 4_000_000, 1
@@ -138,5 +138,6 @@ def pack(
                 yield from flush()
         yield from flush()
         tokens.forget()
+        give_back()
 
     return docs.mapInArrow(run, spec)

@@ -20,7 +20,7 @@ from itertools import chain
 
 import numpy as np
 
-REMEMBERED = 500_000  # pieces kept per task and vocabulary
+REMEMBERED = 300_000  # pieces kept per task and vocabulary, some 80 MB
 AT_ONCE = 4_096  # pieces given to the library in one call
 ODD_SPACE = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 SPACED = re.compile(r" ?\S+|\s+(?!\S)|\s+")
