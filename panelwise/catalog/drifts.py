@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from panelwise.catalog.base import (
     FULL_PANEL, RULED, customer_kinds, full_panel, labelled_full, order_panel, query, rounded, table,
 )
+from panelwise.frames import materialize
 from panelwise.operators import drift, metrics, ranking, residuals
 from panelwise.operators.normalize import union_all
 
@@ -91,11 +92,27 @@ def a15_float(spark, folder):
     return rounded(drift.psi(counts, drift.quantile_edges(counts, float_quantiles=True, features=1)), "psi")
 
 
-@query("a15_psi_sketch_edges")
+@query("a15_psi_sketch_edges", f"""
+WITH {PRICE_LONG} SELECT CAST(i AS INTEGER) AS position, true AS near, true AS psi_near, (SELECT count(*) FROM long WHERE side = 'earlier') AS reference_rows FROM range(0, 11) t(i)
+""")
 def a15_sketch(spark, folder):
+    """Edges from merged sketches of the reference's years: each has a rank within a thousandth of the exact one, and the
+    index made from the sketch alone is the exact one to two hundredths."""
     reference, current = price_sides(spark, folder)
-    rows = drift.value_rows(reference, current, ["price"], "double")
-    return rounded(drift.psi(rows, drift.approximate_edges(reference, ["price"])), "psi")
+    parts = union_all([drift.profile(reference.where(F.col("period") % 2 == side), ["price"], ()) for side in (0, 1)])
+    kept = drift.merge_profiles(parts)
+    edges = drift.profile_edges(kept).select(F.posexplode("edges").alias("position", "edge"))
+    counts = drift.value_counts(reference, current, ["price"], "double")
+    n = counts.agg(F.sum("r")).scalar()
+    below = F.sum(F.when(F.col("value") < F.col("edge"), F.col("r")).otherwise(0)) / n
+    upto = F.sum(F.when(F.col("value") <= F.col("edge"), F.col("r")).otherwise(0)) / n
+    ranks = counts.join(F.broadcast(edges)).groupBy("position").agg(below.alias("below"), upto.alias("upto"))  # eleven edges
+    wanted = F.col("position") / 10
+    exact = drift.psi(counts, drift.quantile_edges(counts, features=1)).select("psi").scalar()
+    sketched = drift.drift_from_profile(kept, current, ["price"], ()).select("psi").scalar()
+    return ranks.select(
+        "position", ((F.col("below") <= wanted + 0.001) & (F.col("upto") >= wanted - 0.001)).alias("near"),
+        (F.abs(exact - sketched) <= 0.02).alias("psi_near"), kept.select("n").scalar().alias("reference_rows"))
 
 
 NUMERIC = """
@@ -187,6 +204,20 @@ def a18(spark, folder):
     return rows
 
 
+@query("a18_drift_from_profile", f"""
+WITH {LONG}, {EDGES}, {BINNED}, {PSI}, {NUMERIC}, {CATEGORICAL}
+SELECT feature, type, reference_mean, current_mean, NULL AS reference_top, NULL AS current_top, NULL AS distribution_shift, NULL AS new_category_rate, alert FROM numeric_rows
+UNION ALL SELECT feature, type, NULL, NULL, reference_top, current_top, distribution_shift, new_category_rate, alert FROM categorical_rows
+""")
+def a18_profile(spark, folder):
+    """The report against a kept profile: everything but the index is exact, and the alerts are the same."""
+    reference, current = two_sides(spark, folder)
+    features = ["level", "segment", "n_orders", "nation", "min_price", "max_price", "priority"]
+    kept = materialize(drift.profile(reference, features, TEXTS))
+    rows = drift.drift_from_profile(kept, current, features, TEXTS).drop("position", "psi")
+    return rounded(rounded(rows, "distribution_shift", "new_category_rate"), "reference_mean", "current_mean", digits=4)
+
+
 @query("a18_drift_summary", f"""
 WITH {LONG}, {EDGES}, {BINNED}, {PSI}, {NUMERIC}, {CATEGORICAL}
 SELECT count(*) AS feature_rows, count(*) FILTER (alert) AS alert_count FROM (SELECT alert FROM numeric_rows UNION ALL SELECT alert FROM categorical_rows)

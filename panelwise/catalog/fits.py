@@ -8,13 +8,15 @@ solution, importances recomputed from stored nodes, limits kept, losses below th
 from concurrent.futures import ThreadPoolExecutor
 from functools import lru_cache
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, functions as F
 
 from panelwise import fixed
 from panelwise.catalog.base import FULL_PANEL, LABELLED_FULL, RULED, full_panel, labelled_full, query, rounded, table
 from panelwise.catalog.drifts import BINNED, CATEGORICAL, EDGES, NUMERIC, PSI
 from panelwise.catalog.stores import canonical_orders, new_store
-from panelwise.operators import certificates, models, ranking, residuals
+from panelwise.frames import materialize
+from panelwise.operators import certificates, models, ranking, residuals, vocabulary
 from panelwise.operators.drift import drift_report, drift_summary
 from panelwise.operators.models import Features
 from panelwise.operators.normalize import union_all
@@ -96,7 +98,6 @@ SELECT c_custkey, CAST(CASE WHEN c_mktsegment = 'BUILDING' THEN 0 ELSE 1 END AS
 def m4(spark, folder):
     """Levels are learned without one segment, which is then unseen: all its columns are zero."""
     from pyspark.ml import Pipeline
-    from pyspark.ml.functions import vector_to_array
 
     features = Features(("segment",), ("segment",))
     rows = table(spark, folder, "customer").select("c_custkey", F.col("c_mktsegment").alias("segment"))
@@ -105,6 +106,26 @@ def m4(spark, folder):
     return encoded.select("c_custkey", F.aggregate("v", F.lit(0.0), lambda a, b: a + b).alias("ones"), F.size("v").alias("width"))
 
 
+@query("m4_vocabulary", f"""
+WITH {FULL_PANEL}, levels AS (
+  SELECT 0 AS place, segment AS level FROM full_panel UNION SELECT 1, priority FROM full_panel UNION SELECT 2, CASE WHEN nation LIKE 'A%' THEN '<NA>' ELSE nation END FROM full_panel),
+numbered AS (SELECT *, row_number() OVER (ORDER BY place, level) - 1 AS i FROM levels)
+SELECT entity, period, (SELECT count(*) FROM levels) + 5 AS width, CAST(s.i AS VARCHAR) || ',' || CAST(p.i AS VARCHAR) || coalesce(',' || CAST(n.i AS VARCHAR), '') AS ones, n_orders
+FROM full_panel f JOIN numbered s ON s.place = 0 AND s.level = f.segment JOIN numbered p ON p.place = 1 AND p.level = f.priority
+LEFT JOIN numbered n ON n.place = 2 AND n.level = f.nation
+""")
+def m4_vocabulary(spark, folder):
+    """Indices from a table of levels; nations with an A are missing where it is learnt, and give no entry."""
+    rows, keys = panel(spark, folder), ["entity", "period"]
+    learnt = rows.withColumn("nation", F.when(~F.col("nation").startswith("A"), F.col("nation")))
+    levels = materialize(vocabulary.vocabulary(learnt, FEATURES_B))
+    encoded = vocabulary.encode_sparse(rows, FEATURES_B, levels, keys)
+    cells = vector_to_array("features")
+    width = F.size(cells) - 5
+    ones = F.array_compact(F.transform(F.slice(cells, 1, width), lambda x, i: F.when(x == 1, i)))
+    return encoded.select(*keys, F.size(cells).cast("long").alias("width"), F.array_join(ones, ",").alias("ones"), F.element_at(cells, width + 1).alias("n_orders"))
+
+
 RULE = f"{fixed.BASELINE_MODEL}__{fixed.BASELINE_STRATEGY}"
 LAST = LABELLED_FULL + ", last AS (SELECT * FROM labelled WHERE period = (SELECT max(period) FROM labelled))"
 TRAIN = "train AS (SELECT * FROM labelled WHERE period = (SELECT min(period) FROM labelled))"

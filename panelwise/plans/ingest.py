@@ -16,34 +16,40 @@ def stored_keys(store: Store, periods: list[int]) -> DataFrame:
 
 
 def ingest(store: Store, df: DataFrame, about: dict) -> dict:
-    """Add the rows whose key is new; returns the recorded run."""
+    """Add the rows whose key is new; returns the recorded run.
+
+    Of the store, only the incoming rows' periods are read. The totals that describe the whole store are those of the
+    last run with what this one adds.
+    """
     run_id = store.next_id("ingestion_runs")
-    rows = conform(df, store.schema)
-    periods = about.get("periods") or [
-        row[0] for row in rows.select(F.col(store.period).try_cast("int").alias("p")).distinct().collect() if row[0] is not None
-    ]
-    added = to_insert(rows, stored_keys(store, periods), store.entity, store.period)
-    store.append_records(added, run_id)
-    inserted = store.records().where(
-        F.col(store.period).isin(*periods) & (F.col("ingestion_run_id") == run_id)
-    ).count()
-    total = rows.count()
+    rows, before = conform(df, store.schema), store.total_rows()
+    arrived = {r.p: r.n for r in rows.groupBy(F.col(store.period).try_cast("int").alias("p")).agg(F.count("*").alias("n")).collect()}
+    periods = [p for p in arrived if p is not None]
+    store.append_records(to_insert(rows, stored_keys(store, periods), store.entity, store.period), run_id)
+    by_period = inserted_by_period(store, periods, run_id)
+    total, inserted = sum(arrived.values()), sum(by_period.values())
     run = {
         "id": run_id, "source_file": about.get("source_file"), "detected_schema": about.get("detected_schema"),
         "reference_year": about.get("reference_year"), "input_rows": total, "inserted_rows": inserted,
         "duplicate_rows": total - inserted, "unknown_columns": list(about.get("unknown_columns", ())),
-        "data_version": f"v{run_id}-r{store.records().count()}",
+        "data_version": f"v{run_id}-r{before + inserted}", "total_rows": before + inserted, "rows_by_period": by_period,
     }
     store.append_run("ingestion_runs", run)
     store.record_event("INFO", "ingest", "rows ingested", {k: v for k, v in run.items() if k != "unknown_columns"})
     return run
 
 
+def inserted_by_period(store: Store, periods: list[int], run_id: int) -> dict[int, int]:
+    """Rows of one run as they are stored, per period: a few numbers, from the folders of these periods."""
+    mine = store.records().where(F.col(store.period).isin(*periods) & (F.col("ingestion_run_id") == run_id))
+    return {r.p: r.n for r in mine.groupBy(F.col(store.period).alias("p")).agg(F.count("*").alias("n")).collect()}
+
+
 def ingest_file(store: Store, path: str, period: int | None = None) -> dict:
     file: LayoutFile = read_layout_csv(store.spark, path, period)
     return ingest(store, file.rows, {
         "source_file": file.name, "detected_schema": file.layout, "reference_year": file.period,
-        "unknown_columns": file.unknown, "periods": [file.period],
+        "unknown_columns": file.unknown,
     })
 
 
@@ -64,14 +70,14 @@ def ingest_files(store: Store, paths: list[str], period: int | None = None, stre
     rows = read_files(spark, files, period)
     first_id = store.next_id("ingestion_runs")
     periods = {f.name: period_of(f.name, f.header.fallback_period, period) for f in files}
-    known = store.records().count()
-    added = to_insert(rows, stored_keys(store, sorted(set(periods.values()))), store.entity, store.period)
+    known, years = store.total_rows(), sorted(set(periods.values()))
+    added = to_insert(rows, stored_keys(store, years), store.entity, store.period)
     ids = spark.createDataFrame(
         [(f.name, first_id + i) for i, f in enumerate(files)], "source_file string, ingestion_run_id long"
     )
     stamped = added.join(per_group(ids, len(files)), "source_file").select(*store.schema.names, "ingestion_run_id")
     store.write_records(stamped)
-    mine = store.records().where(F.col("ingestion_run_id") >= first_id)
+    mine = store.records().where(F.col(store.period).isin(*years) & (F.col("ingestion_run_id") >= first_id))
     counted = {r.source_file: r for r in ingest_summary(rows, mine, ["source_file"]).collect()}
     runs = []
     for i, file in enumerate(files):
@@ -83,6 +89,7 @@ def ingest_files(store: Store, paths: list[str], period: int | None = None, stre
             "reference_year": periods[file.name], "input_rows": c.input_rows if c else 0, "inserted_rows": inserted,
             "duplicate_rows": c.duplicate_rows if c else 0, "unknown_columns": list(file.header.unknown),
             "data_version": f"v{first_id + i}-r{known}", "stream_batch": stream_batch,
+            "total_rows": known, "rows_by_period": {periods[file.name]: inserted} if inserted else {},
         })
     store.append_runs("ingestion_runs", runs)
     store.record_event("INFO", "ingest", "folder loaded", {"files": len(files)})
@@ -90,9 +97,17 @@ def ingest_files(store: Store, paths: list[str], period: int | None = None, stre
 
 
 def status(store: Store) -> DataFrame:
-    """State of the consolidated table and the last ingestion, one row."""
-    last = latest(store.runs("ingestion_runs"))
+    """State of the consolidated table and the last ingestion, one row.
+
+    Rows and periods are added up from the runs; only the number of distinct entities is counted in the store.
+    """
+    runs = store.runs("ingestion_runs")
+    last = latest(runs)
     fields = ["id", "source_file", "reference_year", "inserted_rows", "duplicate_rows", "created_at"]
-    return data_status(store.records(), store.entity, store.period).withColumns({
-        "data_version": F.lit(store.data_version()), "latest_ingestion": last.select(F.struct(*fields)).scalar(),
-    })
+    facts = {"data_version": F.lit(store.data_version()), "latest_ingestion": last.select(F.struct(*fields)).scalar()}
+    if runs.where(F.col("rows_by_period").isNull()).limit(1).count():  # runs from before these were kept
+        return data_status(store.records(), store.entity, store.period).withColumns(facts)
+    kept = runs.select(F.explode("rows_by_period").alias("period", "n")).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.array_sort(F.collect_set("period")).alias("periods"))
+    entities = store.records().agg(F.countDistinct(store.entity)).scalar()
+    return kept.select("rows", entities.alias("entities"), "periods").withColumns(facts)

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from panelwise import fixed
-from panelwise.operators.drift import drift_report
+from panelwise.operators.drift import drift_from_profile, drift_report, profile
 from panelwise.operators.models import Bundle, coerce_features, fit_all, with_missing_flag
 from panelwise.operators.residuals import actionable
 from panelwise.operators.runs import evaluation_summary, explode_candidates, flag_best, overview
@@ -42,6 +42,8 @@ def train(store: Store, s: PanelSettings = PanelSettings()) -> Training:
         "segments": [x.bundle for x in found.values() if x.bundle],
     })
     store.save_reference(run_id, result.reference)
+    saved, columns = store.children("training_reference_rows", run_id), list(result.winner.features.columns)
+    store.save_profile(run_id, profile(saved, columns, result.winner.features.categorical))
 
     shared = {"training_run_id": run_id, "validation_reference_year": result.validation_period, "data_version": version}
     metrics = study.metrics.first().asDict()
@@ -138,13 +140,17 @@ def evaluate_frozen(store: Store, batch: DataFrame, about: dict, model_id: str |
 
 
 def monitor_drift(store: Store, batch: DataFrame, about: dict, s: PanelSettings = PanelSettings(), **options) -> tuple[int, DataFrame]:
-    """Drift of a batch against the rows the winner was trained on."""
+    """Drift of a batch against the rows the winner was trained on; ``approx=True`` reads their kept profile only."""
     reference, features, version = store.load_reference()
     flagged = with_missing_flag(batch, s.flag_source) if s.flag_source else batch
     categorical = s.strategies[s.segment_strategy].categorical
     bundle = load_model(store, version=version)
     current = coerce_features(flagged, bundle.features)
-    details = as_dicts(drift_report(reference, current, features, categorical, **options).drop("position"))
+    if options.pop("approx", False):
+        report = drift_from_profile(store.load_profile(version), current, features, categorical, **options)
+    else:
+        report = drift_report(reference, current, features, categorical, **options)
+    details = as_dicts(report.drop("position"))
     run_id = store.next_id("drift_runs")
     year = about.get("reference_year") or (batch_period(batch, s.period) if s.period in batch.columns else 0)
     store.append_run("drift_runs", {

@@ -112,7 +112,6 @@ def read_raw(spark: SparkSession, files: list[FileFormat]) -> DataFrame:
     raw = (
         spark.read.schema(fields)
         .options(header=True, sep=shape.separator, encoding=shape.encoding, quote='"', escape='"')
-        .option("multiLine", shape.multi_line)
         .csv([file.path for file in files])
     )
     name = decoded(F.col("_metadata.file_name"))
@@ -128,6 +127,98 @@ def read_raw(spark: SparkSession, files: list[FileFormat]) -> DataFrame:
     return with_file_rows(placed, splits)
 
 
+# --- files with line breaks inside quotes ----------------------------------------
+def open_quote_patterns(separator: str) -> tuple[str, str, str]:
+    """Patterns for a line that ends inside a quoted field: begun outside of one; begun inside and never closed;
+    begun inside, closed, and opened again. A quote opens a field only where the field begins."""
+    sep = re.escape(separator)
+    inner = '[^"]*+(?:""[^"]*+)*+'
+    opens = f'(?:(?:"{inner}"[^{sep}]*+|[^"{sep}][^{sep}]*+|){sep})*+"{inner}\\z'
+    return f"^{opens}", f"^{inner}\\z", f'^{inner}"[^{sep}]*+{sep}{opens}'
+
+
+def state_before(df: DataFrame, by: list[str], order: str, entry: Column) -> DataFrame:
+    """Add ``_before``: whether the state is inside quotes before each row, 1 or 0, given the state before the first.
+
+    A row either leaves the state, or turns it round (``_swap``), or sets it (``_const``). So the state
+    follows from the last row that set it and the number of turns since then.
+    """
+    upto, earlier = (W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, end) for end in (0, -1))
+    turned = df.withColumn("_turns", F.sum("_swap").over(upto))
+    last = F.max(F.when(F.col("_const").isNotNull(), F.struct(order, "_const", "_turns"))).over(earlier)
+    marked = turned.withColumn("_last", last)
+    turns = F.col("_turns") - F.col("_swap")
+    since = F.col("_last._const") + turns - F.col("_last._turns")
+    return marked.withColumn("_before", F.when(F.col("_last").isNotNull(), since).otherwise(entry + turns) % 2)
+
+
+def read_quoted(spark: SparkSession, files: list[FileFormat]) -> DataFrame:
+    """The rows of files whose quoted fields span lines, read in as many tasks as the files have splits.
+
+    Every line is known to keep, turn or set whether one is inside quotes. A split's lines together do one
+    of the same, so the state at the start of each split follows from one row per split, and with it
+    the lines at which records begin. Lines that are whole records are parsed where they are; only those of
+    records of several lines are put together. Line breaks inside quotes become ``\\n``.
+    """
+    shape = files[0]
+    width = len(shape.header.names)
+    raw = spark.read.text([file.path for file in files])
+    value = F.col("value")
+    if shape.encoding != "UTF-8":
+        value = F.decode(value.cast("binary"), shape.encoding)
+    lines = raw.select(
+        decoded(F.col("_metadata.file_name")).alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_at"), F.ltrim(value, F.lit("\ufeff")).alias("_line"),
+    )
+    outside, inside, again = (F.col("_line").rlike(p) for p in open_quote_patterns(shape.separator))
+    quoted = F.col("_line").contains('"')
+    ends = lines.withColumns({
+        "_from_out": F.when(quoted, outside.cast("int")).otherwise(0),
+        "_from_in": F.when(quoted, (inside | again).cast("int")).otherwise(1),
+    })
+    same = F.col("_from_out") == F.col("_from_in")
+    kinds = ends.withColumns({
+        "_const": F.when(same, F.col("_from_out")), "_swap": F.when(~same, F.col("_from_out")).otherwise(0),
+    })
+    # The state within a split as if it began outside; it is the other one wherever no line has set it.
+    local = state_before(kinds, ["_file", "_block"], "_at", F.lit(0))
+    free = F.col("_last").isNull()
+    begins = lambda entry: ((F.when(free, F.col("_before") + entry).otherwise(F.col("_before")) % 2 == 0) & (F.col("_line") != "")).cast("long")
+    splits = local.groupBy("_file", "_block").agg(
+        F.sum("_swap").alias("_all"), F.max(F.when(F.col("_const").isNotNull(), F.struct("_at", "_const", "_turns"))).alias("_set"),
+        F.sum(begins(0)).alias("_n0"), F.sum(begins(1)).alias("_n1"),
+    )
+    after = (F.col("_set._const") + F.col("_all") - F.col("_set._turns")) % 2
+    known = state_before(
+        splits.select("_file", "_block", "_n0", "_n1", F.when(F.col("_set").isNotNull(), after).alias("_const"),
+                      F.when(F.col("_set").isNull(), F.col("_all") % 2).otherwise(0).alias("_swap")),
+        ["_file"], "_block", F.lit(0),
+    )
+    earlier = W.partitionBy("_file").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    records = F.when(F.col("_before") == 0, F.col("_n0")).otherwise(F.col("_n1"))
+    entries = known.select("_file", "_block", F.col("_before").alias("_entry"), F.coalesce(F.sum(records).over(earlier), F.lit(0)).alias("_offset"))
+    if raw.rdd.getNumPartitions() + len(files) <= BROADCAST_SPLITS:
+        entries = F.broadcast(entries)
+    placed = local.join(entries, ["_file", "_block"])
+    state = F.when(free, F.col("_before") + F.col("_entry")).otherwise(F.col("_before")) % 2
+    placed = placed.withColumns({"_state": state, "_begins": begins(F.col("_entry"))})
+    upto = W.partitionBy("_file", "_block").orderBy("_at").rowsBetween(W.unboundedPreceding, 0)
+    numbered = placed.select(
+        "_file", "_block", "_at", "_line", "_state", (F.col("_offset") + F.sum("_begins").over(upto)).alias("_record"),
+        F.when(F.col("_state") == 0, F.col("_from_out")).otherwise(F.col("_from_in")).alias("_after"),
+    ).where((F.col("_state") == 1) | (F.col("_line") != ""))
+    whole = (F.col("_state") == 0) & (F.col("_after") == 0)
+    together = numbered.where(~whole).groupBy("_file", "_record").agg(F.array_sort(F.collect_list(F.struct("_block", "_at", "_line"))).alias("_lines"))
+    text = numbered.where(whole).select("_file", "_record", "_line").unionByName(
+        together.select("_file", "_record", F.array_join(F.transform("_lines", lambda x: x["_line"]), "\n").alias("_line")))
+    fields = ", ".join([*(f"_c{i} STRING" for i in range(width)), "_surplus STRING"])
+    options = {"sep": shape.separator, "quote": '"', "escape": '"', "multiLine": "true"}
+    rows = text.where("_record > 1").select("_file", (F.col("_record") - 1).alias("_row"), F.from_csv("_line", fields, options).alias("_cells"))
+    too_long = F.raise_error(F.concat(F.lit("a row has more fields than the header of "), F.col("_file"))).cast("boolean")
+    return rows.where(F.when(F.col("_cells._surplus").isNotNull(), too_long).otherwise(F.lit(True))).select(
+        *[F.col(f"_cells._c{i}").alias(f"_c{i}") for i in range(width)], "_file", "_row")
+
+
 def read_files(spark: SparkSession, files: list[FileFormat], period: int | None = None) -> DataFrame:
     """Canonical rows of all files; files with the same format are one scan, files of one name never share one."""
     groups: dict[tuple, list[FileFormat]] = {}
@@ -138,7 +229,7 @@ def read_files(spark: SparkSession, files: list[FileFormat], period: int | None
         groups.setdefault(key, []).append(file)
     return union_all([
         normalize(
-            read_raw(spark, group), group[0].header, "_file", "_row", period, files=len(group),
+            (read_quoted if group[0].multi_line else read_raw)(spark, group), group[0].header, "_file", "_row", period, files=len(group),
             years={period_of(file.name, file.header.fallback_period, period) for file in group},
         )
         for group in groups.values()

@@ -34,7 +34,8 @@ FILE_COLUMNS = "source_file STRING, detected_schema STRING, reference_year INT"
 # Run tables: columns beyond the shared id and created_at.
 RUN_TABLES = {
     "ingestion_runs": f"{FILE_COLUMNS}, input_rows BIGINT, inserted_rows BIGINT, duplicate_rows BIGINT, "
-                      "unknown_columns ARRAY<STRING>, data_version STRING, stream_batch STRING",
+                      "unknown_columns ARRAY<STRING>, data_version STRING, stream_batch STRING, "
+                      "total_rows BIGINT, rows_by_period MAP<INT, BIGINT>",
     "training_runs": f"selected_model STRING, selected_strategy STRING, metrics {METRICS}, candidates ARRAY<{CANDIDATE}>, "
                      "selected_feature_columns ARRAY<STRING>, training_rows BIGINT, validation_rows BIGINT, data_version STRING",
     "baseline_analysis_runs": f"training_run_id BIGINT, validation_reference_year INT, baseline_metrics {METRICS}, "
@@ -103,8 +104,19 @@ class Store:
         return conform(self.records(), self.schema).orderBy(self.period, self.entity)
 
     def data_version(self) -> str:
+        """From the last ingestion's run row; the rows are counted only where that row holds no total."""
+        last = self.latest_run("ingestion_runs").select("id", "total_rows").first()
+        if last is not None and last.total_rows is not None:
+            return f"v{last.id}-r{last.total_rows}"
         return data_version(self.runs("ingestion_runs"), self.records()).first()[0]
 
+    def total_rows(self) -> int:
+        """Rows stored by the ingestions so far, kept in the last one's run row."""
+        last = self.latest_run("ingestion_runs").select("total_rows").first()
+        if last is not None and last.total_rows is not None:
+            return last.total_rows
+        return self.records().count()
+
     # --- run rows ---
     def runs(self, table: str) -> DataFrame:
         return self._scan(table, run_schema(table))
@@ -141,6 +153,13 @@ class Store:
         """The rows of one training; what an unfinished training of the same number has left is replaced."""
         sanitize(df).write.mode("overwrite").parquet(f"{self.path('training_reference_rows')}/run_id={int(run_id)}")
 
+    def save_profile(self, run_id: int, profile: DataFrame) -> None:
+        """What drift needs of a training's rows, a few numbers and sketches per feature."""
+        profile.coalesce(1).write.mode("overwrite").parquet(f"{self.path('training_reference_profiles')}/run_id={int(run_id)}")
+
+    def load_profile(self, run_id: int) -> DataFrame:
+        return self.children("training_reference_profiles", run_id)
+
     def load_reference(self) -> tuple[DataFrame, list[str], int]:
         """Reference rows of the latest training, its features and its id."""
         run = self.latest_run("training_runs").select("id", "selected_feature_columns").first()

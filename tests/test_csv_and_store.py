@@ -1,4 +1,5 @@
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from panelwise import fixed
 from panelwise.operators.normalize import NormalizationError, dedupe_columns, detect_layout, layout_column, resolve_header
 from panelwise.plans.ingest import bootstrap, ingest, ingest_file, status
 from panelwise.sources.exports import export_csv, export_json, export_per_model
-from panelwise.sources.layout_csv import list_csv, read_files, read_layout_csv, read_raw, sniff
+from panelwise.sources.layout_csv import list_csv, read_files, read_layout_csv, read_quoted, read_raw, sniff
 from panelwise.streaming.ingest_stream import ingest_stream
 
 
@@ -54,6 +55,65 @@ def test_quoted_line_breaks(spark, tmp_path):
     assert [(r.ra, r.escola, r.source_row_number) for r in rows] == [("1", "two\nlines", 1), ("2", "one", 2)]
 
 
+def random_cells(chance, separator):
+    plain = ["", "a", "Ação", "12\" pipe", "x y", "5,5" if separator == ";" else "5;5", " pad "]
+    quoted = ["two\nlines", f"a{separator}b", 'say "hi"', "\n\n", f"end{separator}\n", '""', "", "tail\n"]
+    cell = lambda: '"' + chance.choice(quoted).replace('"', '""') + '"' if chance.random() < 0.3 else chance.choice(plain)
+    return [cell() for _ in range(3)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_quoted_line_breaks_over_many_splits(spark, tmp_path, seed):
+    """The rows that a reader of whole files finds, from many splits that begin anywhere; blank lines between them."""
+    chance, separator = random.Random(seed), ",;"[seed % 2]
+    names = []
+    for name in ("a.csv", "b.csv"):
+        lines = [separator.join(["RA", "Fase", "INDE 2024", "Escola"])]
+        for i in range(400):
+            lines.append(separator.join([str(i), *random_cells(chance, separator)]))
+            if chance.random() < 0.1:
+                lines.append("")
+        end = chance.choice(["\n", "", "\n\n"])
+        names.append(write(tmp_path, name, "\n".join(lines) + end))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        files = sniff(spark, list_csv(spark, str(tmp_path)))
+        assert all(f.multi_line for f in files)
+        got = read_quoted(spark, files)
+        assert spark.read.text([f.path for f in files]).rdd.getNumPartitions() > 10
+        found = sorted((r._file, r._row, r._c0, r._c1, r._c2, r._c3) for r in got.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", old[1])
+    want = []
+    for file in files:
+        whole = spark.read.options(header=True, sep=separator, quote='"', escape='"', multiLine=True).schema("_c0 string, _c1 string, _c2 string, _c3 string").csv(file.path)
+        want += [(file.name, i, *r) for i, r in enumerate(whole.collect(), 1)]
+    assert found == sorted(want) and len(found) == 800
+
+
+def test_one_odd_quote_keeps_many_tasks(spark, tmp_path):
+    """A quoted line break early in a long file; an unclosed quote later takes the rest of the file into its field."""
+    lines = ["RA,Fase,INDE 2024", '0,"a\nb",1', *(f"{i},A,{i}" for i in range(1, 3000)), '3000,"open,1', "3001,A,1"]
+    write(tmp_path, "o.csv", "\n".join(lines) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small as the file is
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        rows = read_quoted(spark, sniff(spark, list_csv(spark, str(tmp_path))))
+        tasks = rows.select(F.spark_partition_id()).distinct().count()
+        found = {r._row: tuple(r)[:3] for r in rows.collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", old[1])
+    assert len(found) == 3001 and found[1] == ("0", "a\nb", "1") and found[2] == ("1", "A", "1") and found[3000] == ("2999", "A", "2999")
+    assert found[3001][0] == "3000" and found[3001][1].startswith("open,1\n3001") and tasks > 3
+
+
 def test_row_numbers_over_many_splits(spark, tmp_path):
     lines = "".join(f"{i},A,{i}\n" for i in range(1, 20001))
     for name in ("a.csv", "b.csv"):
