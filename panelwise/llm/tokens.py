@@ -28,7 +28,7 @@ SLOTS = 19  # bits of a place in the table of pieces
 WIDE = 16  # bytes by which a piece is known there
 MASK = np.array([int.from_bytes(b"\xff" * n + bytes(WIDE - n), "little") >> shift & (1 << 64) - 1 for n in range(WIDE + 1) for shift in (0, 64)], dtype=np.uint64).reshape(-1, 2)
 LETTERS = "".join(chr(c) for c in range(0x250) if chr(c).isalpha() and c != 0x130)  # a lower-cased dotted I is two characters
-WORD = re.compile(f"( ?[{LETTERS}]+)([.,]?)")  # one word of plain letters, and a mark
+WORD = re.compile(f"( ?[{LETTERS}]+)([!-&(-/:-@\\[-`{{-~]*)")  # one word of plain letters, and marks without an apostrophe
 SEPARATORS = re.compile(r"[\x1c-\x1f]")  # white space for Python, not for the tokenizers
 
 
@@ -87,33 +87,41 @@ class Encoder:
         return text.replace("\n", " \n ").replace(" ", "\x00 ").replace("\x00 \n\x00 ", "\x00\n\x00").split("\x00")
 
     def seen(self, stem: str) -> str | None:
-        """The form in which the merge model sees a piece that is one word of plain letters."""
+        """The form in which the merge model sees a piece that is one word of plain letters, some of them beyond ASCII."""
         if self.kind == "words":
-            if not stem.isascii() and not unicodedata.is_normalized("NFC", stem):
+            if not unicodedata.is_normalized("NFC", stem):
                 return None
             stem = stem.lower()
-        if stem.isascii():
-            return self.byte_letters[0x20] + stem[1:] if stem[0] == " " else stem
         return stem.encode().decode("latin-1").translate(self.byte_letters)
 
     def ids_of(self, pieces: list[str]) -> list[list[int]]:
         """Plain words go straight to the library's merge model, all other pieces through the whole tokenizer."""
-        tokenize, met, found, others = self.model.tokenize, {}, [], []
-        marks = {m: [t.id for t in tokenize(m)] for m in ".,"}
+        tokenize, match, place, met = self.model.tokenize, WORD.fullmatch, self.place, {}
+        spaced, space, found, others = self.kind == "spaced", self.byte_letters[0x20], [], []
+        marks: dict[str, list[int]] = {}
         for i, w in enumerate(pieces):
-            word = WORD.fullmatch(w)
+            word = match(w)
             ids = None
             if word is not None:
                 stem, mark = word.groups()
                 ids = met.get(stem)
                 if ids is None:
-                    known, seen = self.place.get(stem.encode()), None
+                    known = place.get(stem.encode()) if mark else None  # the word without its marks may have been met
                     if known is not None:
                         ids = self.ids[known[0]:known[0] + known[1]].tolist()
-                    elif (seen := self.seen(stem)) is not None:
-                        ids = [t.id for t in tokenize(seen)]
+                    else:
+                        if not stem.isascii():
+                            seen = self.seen(stem)
+                        elif spaced:
+                            seen = space + stem[1:] if stem[0] == " " else stem
+                        else:
+                            seen = stem.lower()
+                        if seen is not None:
+                            ids = [t.id for t in tokenize(seen)]
                     met[stem] = ids
                 if mark and ids is not None:
+                    if mark not in marks:
+                        marks[mark] = [t.id for t in tokenize(mark)]
                     ids = ids + marks[mark]
             if ids is None:
                 others.append(i)
