@@ -2,6 +2,7 @@ import dataclasses
 import math
 
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 import fixtures
@@ -71,6 +72,31 @@ def test_models_load_and_score_the_same(spark, trained):
         load_model(Store(spark, store.root + "/nowhere"))
 
 
+def test_forests_grow_in_parts(spark):
+    """Parts of few trees on few partitions make one model; its importances need no whole model; scoring is dealt over the cores."""
+    from panelwise.operators import models
+
+    rows = spark.range(400).select(
+        (F.col("id") % 2).cast("int").alias("y"), (F.col("id") % 3 + F.pmod(F.xxhash64("id"), F.lit(50)) / 20.0).alias("a"),
+        (F.col("id") % 2 * F.rand(3)).alias("b"), F.when(F.col("id") % 5 > 0, "x").otherwise("z").alias("kind"))
+    features, sizes = Features(("a", "b", "kind"), ("kind",)), TreeSizes(forest_trees=30, forest_depth=6)
+    counts = class_counts(rows, "y")
+    encoder = fit_encoder(rows, features)
+    encoded = encode(rows, features, encoder, "y", counts).repartition(9)
+    parts = list(models.forest_parts(encoded, forest(sizes, "y")))
+    assert [p.getNumTrees for p in parts] == [12, 12, 6]
+    model = fit_on(encoded, encoder, forest(sizes, "y"))
+    whole = model.stages[-1]
+    assert forest_facts(node_table(whole)).first().trees == 30
+    assert importances_agree(whole, node_table(whole)).first().agree
+    alone = models.forest_importances(encoded, forest(sizes, "y"))
+    assert max(abs(x - y) for x, y in zip(alone, whole.featureImportances.toArray(), strict=True)) < 1e-9
+    scored = probability_of(model, rows.coalesce(1), features, ["y"], "p")
+    assert scored.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    shares = [p.transform(encoded).agg(F.sum(vector_to_array("probability")[1])).first()[0] * p.getNumTrees for p in parts]
+    assert abs(scored.agg(F.sum("p")).first()[0] - sum(shares) / 30) < 1e-6
+
+
 def test_a_training_that_stops_leaves_the_version_before_it(spark, tmp_path):
     """Models count when their training's run is written: a stop between two saves shows nothing of the new set."""
     store = Store(spark, str(tmp_path / "versions"))
