@@ -333,7 +333,7 @@ def o9(spark, folder):
     rows = order_panel(spark, folder).withColumns({
         "state": risk.state_group("level"), "score": F.when(F.col("n_orders") > 1, F.col("rule_score")),
     })
-    ranked = ranking.number_priorities(rows, "state", "score", "entity", "period")
+    ranked = ranking.number_priorities(rows, "state", "score", "entity", "period", groups=3)  # low, not low, unknown
     return ranking.priority_list(ranked, "state", fixed.GROUP_OK, "score", "entity").select("entity", "period", "score", "rank")
 
 

@@ -85,9 +85,9 @@ def priority_list(df: DataFrame, group: str, value: str, score: str, entity: str
     return df.where(F.col(group) == value).orderBy(F.col(score).desc_nulls_last(), entity)
 
 
-def number_priorities(df: DataFrame, group: str, score: str, *ties: str, name: str = "rank") -> DataFrame:
-    """Each row's place in the priority list of its group."""
-    return positions(df, [Key(score, ascending=False, nulls_last=True), *[Key(t) for t in ties]], [group], name)
+def number_priorities(df: DataFrame, group: str, score: str, *ties: str, name: str = "rank", groups: int | None = None) -> DataFrame:
+    """Each row's place in the priority list of its group. With a known bound on the ``groups`` no group is shuffled as one key."""
+    return positions(df, [Key(score, ascending=False, nulls_last=True), *[Key(t) for t in ties]], [group], name, groups=groups)
 
 
 def score_bins(df: DataFrame, score: str, by: list[str] = ()) -> DataFrame:
