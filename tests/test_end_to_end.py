@@ -72,10 +72,12 @@ def test_models_load_and_score_the_same(spark, trained):
         load_model(Store(spark, store.root + "/nowhere"))
 
 
-def test_forests_grow_in_parts(spark):
+def test_forests_grow_in_parts(spark, monkeypatch):
     """Parts of few trees on few partitions make one model; its importances need no whole model; scoring is dealt over the cores."""
     from panelwise.operators import models
 
+    assert [models.trees_of_part(n) for n in (500, 9_000, 55_000, 540_000, 5_000_000)] == [500, 27, 12, 1, 1]
+    monkeypatch.setattr(models, "BAGGED_ROWS_OF_PART", 1)
     rows = spark.range(400).select(
         (F.col("id") % 2).cast("int").alias("y"), (F.col("id") % 3 + F.pmod(F.xxhash64("id"), F.lit(50)) / 20.0).alias("a"),
         (F.col("id") % 2 * F.rand(3)).alias("b"), F.when(F.col("id") % 5 > 0, "x").otherwise("z").alias("kind"))
