@@ -47,3 +47,13 @@ def test_query_at_full_size(spark, connection, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0 and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ["m13_score_batch", "m16_evaluate_pair", "u5_score_all_models"])
+def test_every_candidate_is_fitted(spark, small_ensembles, name):
+    """The winner is one of all candidates, and all of them are scored, not only a chosen few."""
+    fits.forget()
+    entry.queries()[name](spark, FOLDER)
+    found = [b.fitted.made for b in fits.trained(spark, FOLDER).frozen if b.kind != "baseline"]
+    fits.forget()
+    assert found == [True] * 6
