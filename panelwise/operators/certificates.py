@@ -9,7 +9,7 @@ from pyspark.ml import Model, PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
-from panelwise.frames import new_folder
+from panelwise.operators.forests import stored_nodes
 
 TINY = 1e-15
 
@@ -48,9 +48,7 @@ def ridge_gradient(model: Model, encoded: DataFrame, label: str, weight: str, st
 def node_table(model: Model) -> DataFrame:
     """The nodes of a tree ensemble as it is stored: tree, id, count (weighted rows), rows, gain, feature (null in
     leaves), left, right, prediction."""
-    folder = new_folder(_session(), "nodes")
-    model.write().save(folder)
-    nodes = _session().read.parquet(f"{folder}/data").select(F.col("treeID").alias("tree"), "nodeData.*")
+    nodes = stored_nodes(model)
     inner = F.col("leftChild") >= 0
     return nodes.select(
         "tree", "id", F.aggregate("impurityStats", F.lit(0.0), lambda a, b: a + b).alias("count"), F.col("rawCount").alias("rows"),

@@ -12,6 +12,7 @@ from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
+from panelwise.operators.forests import remember_loaded
 from panelwise.operators.models import Bundle, Features
 from panelwise.sources.store import Store
 
@@ -62,6 +63,10 @@ def save_models(store: Store, version: int, models: dict[str, list[Bundle]]) ->
         about.write.mode("overwrite").parquet(f"{_folder(store, version, kind)}/_about")
 
 
+def _loaded(path: str) -> PipelineModel:
+    return remember_loaded(PipelineModel.load(path), path)
+
+
 def load_models(store: Store, kind: str, model_id: str | None = None, version: int | None = None) -> list[Bundle]:
     """All models of a kind, or the one asked for, of the current version unless another is named."""
     folder = _folder(store, current_version(store) if version is None else version, kind)
@@ -73,7 +78,7 @@ def load_models(store: Store, kind: str, model_id: str | None = None, version: i
     if model_id is not None and not rows:
         raise LookupError(f"model {model_id!r} is not among the {kind} models")
     with ThreadPoolExecutor(AT_ONCE) as pool:
-        found = list(pool.map(lambda r: PipelineModel.load(f"{folder}/{r.model_id}") if r.has_model else None, rows))
+        found = list(pool.map(lambda r: _loaded(f"{folder}/{r.model_id}") if r.has_model else None, rows))
     return [
         Bundle(
             r.model_name, r.strategy, Features(tuple(r["columns"]), tuple(r.categorical)), model, r.threshold, r.kind,

@@ -299,3 +299,28 @@ def test_certificates(spark):
     assert tuple(forest_facts(nodes).first())[0] == 7 and forest_facts(nodes).first()[1] >= 2
     assert importances_agree(model, nodes).first().agree and importances_agree(model, nodes).first().whole
     assert not importances_agree(model, nodes.withColumn("gain", F.col("gain") * F.col("tree") + F.col("feature"))).first().agree
+
+
+def test_forests_score_by_their_stored_nodes(spark, tmp_path):
+    """The bulk scoring gives Spark ML's probabilities, also of odd values, and after loading; tasks get arrays, no forest objects."""
+    import random
+
+    from pyspark.ml import PipelineModel
+    from panelwise.operators import forests, models
+
+    rng = random.Random(5)
+    made = [(rng.choice([None, float("nan"), rng.random()]), rng.random() * 3, rng.choice(["a", "b", "c", None]), rng.randrange(2)) for _ in range(400)]
+    rows = spark.createDataFrame(made, "a double, b double, kind string, y int")
+    features = Features(("a", "b", "kind"), ("kind",))
+    model = fit(rows, features, forest(TreeSizes(forest_trees=30, forest_depth=12), "y"), "y", models.class_counts(rows, "y"))
+    odd = rows.union(spark.createDataFrame([(float("inf"), float("-inf"), "new", 1), (None, None, None, 0)], rows.schema))
+    model.write().save(str(tmp_path / "model"))
+    loaded = forests.remember_loaded(PipelineModel.load(str(tmp_path / "model")), str(tmp_path / "model"))
+    ids = odd.coalesce(1).withColumn("i", F.monotonically_increasing_id())
+    own = model.transform(models.prepared(ids, features, ["i"])).select("i", vector_to_array("probability")[1].alias("own"))
+    for m in (model, loaded):
+        scored = probability_of(m, ids, features, ["i"], "p")
+        assert "ArrowEvalPython" in scored._jdf.queryExecution().toString()
+        both = scored.join(own, "i").collect()
+        assert len(both) == 402 and all(abs(r.p - r.own) < 1e-12 for r in both)
+    assert probability_of(model, ids.limit(0), features, ["i"], "p").count() == 0
