@@ -1,9 +1,10 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Benchmark items and documents are cut into passages of ``PASSAGE`` words. The benchmark's passages
-and a bounded sample of the corpus's make a TF-IDF matrix over the benchmark's terms, whose document
-frequencies are counted over all documents. A randomised SVD of it, done in two distributed passes,
-gives every term a latent vector. Then every passage of every document is folded in and compared with
+and all of the corpus's make a TF-IDF matrix over the benchmark's terms, whose document frequencies are
+counted over all documents. The corpus's rows share a fixed weight, so that a large corpus does not crowd
+out the items' own terms. A randomised SVD of it, done in two distributed passes, gives every term a
+latent vector. Then every passage of every document is folded in and compared with
 every benchmark passage by cosine; near ones are candidates. So are passages that share a run of
 ``RUN`` words with an item, or hold all words of a shorter one in order: an item that stands word for
 word is judged whatever the words around it do to the cosine. A candidate is a leak when the longest
@@ -29,7 +30,8 @@ from panelwise.llm.words import Words, run_hashes, runs
 STEP, STEPS = 16, 3  # a passage is three steps of 16 words
 RANK, OVERSAMPLE, SEED = 128, 16, 11
 BLOCK_PASSAGES = 2_000  # of the benchmark at once
-SAMPLE = 2  # passages of the corpus for each of the benchmark to fit the latent space; more would crowd out the items' own terms
+CORPUS = 2  # weight of all the corpus's passages in the latent space, in passages for each of the benchmark; more would crowd out the items' own terms
+ROWS_AT_ONCE = 512  # passages projected together
 NEAR = 0.65  # cosine of candidates
 VERBATIM, PARAPHRASE, ANSWER, ANSWER_WORDS = 0.7, 0.55, 0.6, 5  # texts without the item stay below 0.45
 RUN = 5  # words in a row that make a candidate
@@ -151,28 +153,30 @@ def document_counts(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, int
     return out, int(n[term < 0].sum())
 
 
-def sampled_passages(docs: DataFrame, terms: np.ndarray, n_docs: int, wanted: int) -> DataFrame:
-    """``terms array<int>`` of one passage in each of about ``wanted`` documents, chosen by hash."""
-    share = min(1.0, wanted / max(1, n_docs))
+def passage_terms(docs: DataFrame, terms: np.ndarray) -> DataFrame:
+    """``terms array<int>`` of every passage of every document; passages side by side, those without a term left out."""
     spec, schema = arrow_schema(docs, "terms array<int>")
+    size = STEP * STEPS
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_batches(batches):
+        for _, texts in text_batches(batches):
             words = Words.of(texts)
-            t, out = term_numbers(terms, words.hashes), []
-            for i, pick in enumerate(batch.column("pick").to_pylist()):
-                a, b = int(words.first[i]), int(words.first[i + 1])
-                a += pick % max(1, b - a - STEP * STEPS + 1)
-                part = t[a:min(b, a + STEP * STEPS)]
-                out.append(part[part >= 0])
-            yield rows_of(schema, terms=out)
+            count = np.diff(words.first)
+            passages = -(-count // size)
+            word = np.arange(len(words.hashes)) - np.repeat(words.first[:-1] - words.first[0], count)
+            of = np.repeat(np.cumsum(passages) - passages, count) + word // size
+            t = term_numbers(terms, words.hashes)
+            held = np.bincount(of[t >= 0], minlength=1)
+            offsets = np.concatenate([[0], np.cumsum(held[held > 0])]).astype(np.int32)
+            rows = pa.ListArray.from_arrays(pa.array(offsets), pa.array(t[t >= 0].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([rows.cast(schema.field("terms").type)], schema=schema)
 
-    picked = docs.withColumn("pick", F.pmod(F.xxhash64("text"), F.lit(1 << 31))).where(F.col("pick") < int(share * (1 << 31)))
-    return materialize(picked.select("text", "pick").mapInArrow(run, spec))
+    return materialize(docs.select("text").mapInArrow(run, spec))
 
 
-def latent_terms(passages: DataFrame, own: list[np.ndarray], idf: np.ndarray, rank: int) -> np.ndarray:
+def latent_terms(passages: DataFrame, own: list[np.ndarray], idf: np.ndarray, rank: int, weight: float = 1.0) -> np.ndarray:
     """Randomised SVD of the TF-IDF passages: the right singular vectors, one row for each term.
+    ``weight`` is that of each corpus passage, the items' own have 1.
 
     First pass: the Gram matrix of the projected passages, from which their orthonormal basis
     follows. Second pass: the terms in that basis, summed by slices of terms.
@@ -183,20 +187,31 @@ def latent_terms(passages: DataFrame, own: list[np.ndarray], idf: np.ndarray, ra
     def project(rows: list[np.ndarray]) -> np.ndarray:
         return np.array([chance[r].sum(axis=0) if len(r) else np.zeros(wide) for r in rows], dtype=np.float64).reshape(-1, wide)
 
-    def rows_in(batch: pa.RecordBatch) -> list[np.ndarray]:
-        return [np.array(r, dtype=np.int64) for r in batch.column("terms").to_pylist()]
+    def pieces(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Some passages at a time: their terms, and where each passage begins."""
+        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+            rows = batch.column("terms").slice(at, ROWS_AT_ONCE)
+            offsets = rows.offsets.to_numpy()
+            first = offsets[:-1] - offsets[0]
+            some = np.diff(offsets) > 0
+            if some.any():
+                yield rows.flatten().to_numpy(), first[some]
+
+    def projected(t: np.ndarray, first: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(chance[t], first, axis=0)
 
     def gram(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((wide, wide))
         for batch in batches:
-            y = project(rows_in(batch))
-            total += y.T @ y
+            for t, first in pieces(batch):
+                y = projected(t, first)
+                total += y.T @ y
         yield rows_of(one, part=[total.tobytes()])
 
     spec, one = arrow_schema(passages, "part binary")
     parts = passages.mapInArrow(gram, spec).toArrow().column("part").to_pylist()
     y = project(own)
-    total = y.T @ y + sum(np.frombuffer(p).reshape(wide, wide) for p in parts)
+    total = y.T @ y + weight * sum(np.frombuffer(p).reshape(wide, wide) for p in parts)
     values, vectors = np.linalg.eigh(total)
     good = values > values.max() * 1e-10 if len(values) and values.max() > 0 else np.zeros(len(values), bool)
     basis = vectors[:, good] / np.sqrt(values[good])  # y @ basis is orthonormal
@@ -210,10 +225,16 @@ def latent_terms(passages: DataFrame, own: list[np.ndarray], idf: np.ndarray, ra
         return out
 
     def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = None
+        out, near = None, basis.astype(np.float32)
         for batch in batches:
-            part = spread(rows_in(batch))
-            out = part if out is None else out + part
+            out = np.zeros((n, near.shape[1])) if out is None else out
+            for t, first in pieces(batch):
+                q = projected(t, first) @ near
+                order = np.argsort(t, kind="stable")
+                row = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(t))))[order]
+                edge = np.flatnonzero(np.append(True, np.diff(t[order]) != 0))
+                known = t[order[edge]]
+                out[known] += np.add.reduceat(q[row], edge, axis=0) * idf[known][:, None]
         if out is not None:
             yield rows_of(two, slice=list(range(0, n, SLICE)), part=[out[i:i + SLICE].tobytes() for i in range(0, n, SLICE)])
 
@@ -227,7 +248,7 @@ def latent_terms(passages: DataFrame, own: list[np.ndarray], idf: np.ndarray, ra
     terms = spread(own)
     for row in summed:
         part = np.frombuffer(row["part"]).reshape(-1, terms.shape[1])
-        terms[row["slice"]:row["slice"] + len(part)] += part
+        terms[row["slice"]:row["slice"] + len(part)] += weight * part
     values, vectors = np.linalg.eigh(terms.T @ terms)
     order = np.argsort(-values)[:rank]
     order = order[values[order] > max(values.max(), 0) * 1e-12]
@@ -308,7 +329,7 @@ class Index:
         return out
 
 
-def build(docs: DataFrame, items: list[tuple[object, str]], rank: int = RANK, sample: int = SAMPLE) -> Index:
+def build(docs: DataFrame, items: list[tuple[object, str]], rank: int = RANK, corpus: float = CORPUS) -> Index:
     """The index of one block of the benchmark."""
     words = Words.of([t for _, t in items])
     terms = np.unique(words.hashes)
@@ -318,7 +339,9 @@ def build(docs: DataFrame, items: list[tuple[object, str]], rank: int = RANK, sa
     steps, ends = cut(words)
     bounds = [np.flatnonzero((steps.block >= s) & (steps.block < min(s + STEPS, ends[t]))) for s, t in zip(steps.start, steps.text, strict=True)]
     own = [number[b] for b in bounds]
-    vectors = latent_terms(sampled_passages(docs, terms, n_docs, sample * len(own)), own, idf, rank) * idf[:, None].astype(np.float32)
+    passages = passage_terms(docs, terms)
+    weight = min(1.0, corpus * len(own) / max(1, passages.count()))
+    vectors = latent_terms(passages, own, idf, rank, weight) * idf[:, None].astype(np.float32)
     rarity = dict(zip(terms.tolist(), counts.tolist(), strict=True))
     made = []
     for i, (key, _) in enumerate(items):

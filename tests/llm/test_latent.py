@@ -122,3 +122,27 @@ def test_verbatim_items_of_any_length_among_other_items_words(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in latent.find_leaks(df, bench).collect()}
     assert {(i, i) for i, _ in items} <= got
+
+
+def test_latent_space_of_all_passages(spark):
+    """Every passage of every document is a row of the matrix, whatever their number; all of them share the corpus's weight."""
+    docs, items, _ = corpus(12)
+    terms = np.unique(Words.of([t for _, t in items]).hashes)
+    df = spark.createDataFrame([(t,) for _, t in docs] + [(None,), ("",), ("?",)], "text string").repartition(4)
+    size, want = latent.STEP * latent.STEPS, []
+    for _, text in docs:
+        number = latent.term_numbers(terms, Words.of([text]).hashes)
+        want += [[int(t) for t in number[i:i + size] if t >= 0] for i in range(0, len(number), size)]
+    passages = latent.passage_terms(df, terms)
+    assert sorted(r.terms for r in passages.collect()) == sorted(w for w in want if w)
+    rng, weight = np.random.default_rng(3), 0.2
+    idf, own = rng.random(len(terms)) + 0.5, [rng.integers(0, len(terms), 30) for _ in range(20)]
+    rank = 20
+    chance = np.random.default_rng(latent.SEED).standard_normal((len(terms), rank + latent.OVERSAMPLE)).astype(np.float32) * idf[:, None].astype(np.float32)
+    dense = np.zeros((len(own) + len(want), len(terms)))
+    for i, r in enumerate([*own, *want]):
+        np.add.at(dense[i], r, idf[r] * (1 if i < len(own) else weight ** 0.5))
+    q, _ = np.linalg.qr(dense @ (chance / idf[:, None]))
+    _, _, vt = np.linalg.svd(q.T @ dense, full_matrices=False)
+    got = latent.latent_terms(passages, own, idf, rank, weight).astype(float)
+    assert np.allclose(got @ got.T, vt[:rank].T @ vt[:rank], atol=1e-3)
