@@ -69,14 +69,14 @@ class Words:
         return self.data[self.begin[i]:self.end[i]].tobytes().decode("utf-8", "replace")
 
 
-def run_hashes(words: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all runs of k words, as if they stood in one text."""
+def run_hashes(words: np.ndarray, k: int, at: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of all runs of k words, or of those that begin at the given places, as if they stood in one text."""
     n = len(words) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    h = np.full(n, k, dtype=np.uint64)
+    h = np.full(n if at is None else len(at), k, dtype=np.uint64)
     for j in range(k):
-        h = h * np.uint64(_BASE) + words[j:j + n]
+        h = h * np.uint64(_BASE) + (words[j:j + n] if at is None else words[at + j].astype(np.uint64))
     return mix(h)
 
 

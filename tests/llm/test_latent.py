@@ -1,5 +1,8 @@
+import tracemalloc
+
 import numpy as np
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from panelwise.llm import latent
 from panelwise.llm.words import Words
@@ -146,3 +149,55 @@ def test_latent_space_of_all_passages(spark):
     _, _, vt = np.linalg.svd(q.T @ dense, full_matrices=False)
     got = latent.latent_terms(passages, own, idf, rank, weight).astype(float)
     assert np.allclose(got @ got.T, vt[:rank].T @ vt[:rank], atol=1e-3)
+
+
+def test_texts_are_read_once(spark):
+    """Counts, latent space and comparison share one reading of a block's texts."""
+    docs, items, held = corpus(12)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(text):
+        read.add(1)
+        return text
+
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    df = df.withColumn("text", F.udf(counted, "string")("text"))
+    got = {(r.doc_id, r.item_id) for r in latent.find_leaks(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(held & got) >= 0.9 * len(held)
+    assert read.value == len(docs)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 700), max_size=6), st.integers(0, 3))
+def test_sums_of_runs(counts, seed):
+    rng = np.random.default_rng(seed)
+    vectors, index = rng.standard_normal((9, 4)), rng.integers(0, 9, sum(counts))
+    first = np.cumsum([0, *counts])[:-1]
+    want = [vectors[index[a:a + n]].sum(axis=0) for a, n in zip(first, counts, strict=True)]
+    assert np.allclose(latent.row_sums(vectors, index, first), np.array(want).reshape(-1, 4))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.sets(st.integers(0, 2**64 - 1) | st.integers(2**63, 2**63 + 40), max_size=40), st.lists(st.integers(0, 2**64 - 1) | st.integers(2**63, 2**63 + 40), max_size=40))
+def test_numbers_of_terms(terms, others):
+    terms = sorted(terms)
+    place = {t: i for i, t in enumerate(terms)}
+    got = latent.term_numbers(np.array(terms, dtype=np.uint64), np.array([*terms, *others], dtype=np.uint64))
+    assert got.tolist() == [place.get(w, -1) for w in [*terms, *others]]
+
+
+def test_memory_of_a_task():
+    """A task's arrays stay small beside many passages of items, and so do the parts of a sum that tasks send."""
+    rng = np.random.default_rng(4)
+    n, size = 5_000, latent.STEP * latent.STEPS
+    items = [latent.Item(i, rng.integers(0, n, size).tolist()) for i in range(latent.BLOCK_PASSAGES)]
+    index = latent.Index(rng.standard_normal((n, latent.RANK)).astype(np.float32), items, np.empty((0, latent.RANK), np.float32), np.arange(len(items)))
+    own = latent.Numbers(np.concatenate([i.words for i in items]), np.arange(len(items) + 1) * size)
+    index.passage = index.unit(own)[1]
+    words = latent.Numbers(np.where(rng.random(60_000) < 0.5, rng.integers(0, n, 60_000), -1), np.arange(0, 60_001, 400))
+    tracemalloc.start()
+    index.leaks(words)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16_000_000
+    assert latent.SLICE * (latent.RANK + latent.OVERSAMPLE) * 8 < 100_000
