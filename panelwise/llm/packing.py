@@ -25,6 +25,7 @@ from panelwise.llm.base import arrow_schema, give_back, columns, kind_of, rows_o
 from panelwise.llm.tokens import encoder
 
 CAPACITY, CLASSES, BLOCK_IDS, END_ID = 2048, 16, 4_000_000, 1
+PIECES_AT_ONCE = 2_000  # handed on in one Arrow batch: up to 16 MB of ids
 
 
 def powers_of_two(n: int) -> list[int]:
@@ -117,13 +118,14 @@ def pack(
             lengths = np.array([len(x) // 4 for x in ids], dtype=np.int64)
             p = pack_lengths(lengths, capacity, classes)
             if len(p["document"]):
-                cut = [ids[d][s:e] for d, s, e in zip(p["document"].tolist(), (p["start"] * 4).tolist(), ((p["start"] + p["length"]) * 4).tolist(), strict=True)]
-                for i in range(0, len(cut), 20_000):
-                    part = {n: v[i:i + 20_000] for n, v in p.items()}
-                    extra = {"ids": [np.frombuffer(c, "<u4").astype(np.int32) for c in cut[i:i + 20_000]]} if with_ids else {}
+                for i in range(0, len(p["document"]), PIECES_AT_ONCE):
+                    part = {n: v[i:i + PIECES_AT_ONCE] for n, v in p.items()}
+                    begin, stop = (part["start"] * 4).tolist(), ((part["start"] + part["length"]) * 4).tolist()
+                    cut = [ids[d][s:e] for d, s, e in zip(part["document"].tolist(), begin, stop, strict=True)]
+                    extra = {"ids": [np.frombuffer(c, "<i4") for c in cut]} if with_ids else {}
                     yield rows_of(
                         schema, doc_id=[keys[d] for d in part["document"].tolist()], start=part["start"], length=part["length"],
-                        ids_crc32=[zlib.crc32(c) for c in cut[i:i + 20_000]], doc_tokens=lengths[part["document"]],
+                        ids_crc32=[zlib.crc32(c) for c in cut], doc_tokens=lengths[part["document"]],
                         sequence_id=part["sequence"] + base, offset=part["offset"], **extra,
                     )
                 base += int(p["sequence"].max()) + 1

@@ -19,7 +19,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, modulo 2**64."""
     have = _KEPT.get("power")
     if have is None or len(have) < n:
-        size = 1 << max(20, (n - 1).bit_length())
+        size = 1 << max(19, (n - 1).bit_length())
         for name, base in (("power", _BASE), ("inverse", pow(_BASE, -1, 1 << 64))):
             steps = np.full(size, base, dtype=np.uint64)
             steps[0] = 1

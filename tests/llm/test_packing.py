@@ -77,3 +77,16 @@ def test_any_text(text):
     for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
         e = encoder(public_file(name))
         assert e.encode([text]) == [e.whole(text)]
+
+
+def test_blocks_of_many_pieces(spark):
+    """Pieces are handed on a bounded number at a time, and all of them arrive."""
+    assert packing.PIECES_AT_ONCE * packing.CAPACITY * 4 <= 1 << 24
+    n = 2 * packing.PIECES_AT_ONCE + 500
+    df = spark.createDataFrame([(i, f"piece {i}") for i in range(n)], "doc_id long, text string").coalesce(1)
+    ids, want = defaultdict(bytes), encoder(PATH).encode([f"piece {i}" for i in range(n)])
+    for r in sorted(packing.pack(df, PATH, with_ids=True).collect(), key=lambda r: (r.doc_id, r.start)):
+        part = np.array(r.ids, dtype="<u4").tobytes()
+        assert zlib.crc32(part) == r.ids_crc32 and r.length == len(r.ids)
+        ids[r.doc_id] += part
+    assert [ids[i] for i in range(n)] == [w + np.array([packing.END_ID], dtype="<u4").tobytes() for w in want]
