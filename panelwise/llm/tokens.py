@@ -2,33 +2,41 @@
 
 The two kinds of vocabulary used here never merge across a space: one splits every word off with
 the space before it, the other drops white space. So the ids of a text are the ids of its
-space-separated pieces one after the other, and each task keeps the ids of the pieces it has met.
-Texts with plain white space are cut as one byte buffer: a piece is known by its first 16 bytes, whose
-place in a table holds the ids of the last such piece met there; longer pieces, and those whose place
-another one has taken, are looked up by their bytes. Texts with unusual white space are cut by a pattern, and
-what does not fit the rule at all (added tokens in the text) goes through the library whole. The ids are
-always the library's own.
+space-separated pieces one after the other, and each task keeps the ids of the pieces it has met. Nor do
+they merge from a letter to a mark, so that a word is the same piece whatever mark follows it.
+Texts with plain white space are cut as one byte buffer: a piece of up to 16 bytes is known by them and has
+two places in a table, the second for those whose first place was taken before; what the second place loses
+is learnt again when it is met again. Longer pieces are looked up in a dictionary. Texts with unusual white
+space are cut by a pattern, and what does not fit the rule at all (added tokens in the text) goes through the
+library whole. The ids are always the library's own.
 """
 
 from __future__ import annotations
 
+import codecs
 import json
 import os
 import re
-import unicodedata
 from itertools import chain
 
 import numpy as np
 
-REMEMBERED = 300_000  # pieces kept per task and vocabulary, some 80 MB
+REMEMBERED = 300_000  # pieces kept in dictionaries per task and vocabulary, some 80 MB
+IDS_REMEMBERED = 1 << 22  # ids kept for the pieces in the table and for long ones, 16 MB
 AT_ONCE = 4_096  # pieces given to the library in one call
 ODD_SPACE = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-SPACED = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-SLOTS = 19  # bits of a place in the table of pieces
+SLOTS = 19  # bits of a place in each half of the table of pieces, 28 MB in all
 WIDE = 16  # bytes by which a piece is known there
 MASK = np.array([int.from_bytes(b"\xff" * n + bytes(WIDE - n), "little") >> shift & (1 << 64) - 1 for n in range(WIDE + 1) for shift in (0, 64)], dtype=np.uint64).reshape(-1, 2)
 LETTERS = "".join(chr(c) for c in range(0x250) if chr(c).isalpha() and c != 0x130)  # a lower-cased dotted I is two characters
-WORD = re.compile(f"( ?[{LETTERS}]+)([!-&(-/:-@\\[-`{{-~]*)")  # one word of plain letters, and marks without an apostrophe
+MARKS = "!-/:-@\\[-`{-~"
+WORD = re.compile(f" ?(?:[{LETTERS}]+|[!-&(-/:-@\\[-`{{-~]+)")  # one word of plain letters, or marks without an apostrophe
+SPACED = re.compile(f" ?[{LETTERS}]++(?=[{MARKS}])| ?\\S+|\\s+(?!\\S)|\\s+")
+UNSPACED = re.compile(f"[{LETTERS}]++(?=[{MARKS}])|\\S+")
+IS_MARK = np.array([re.fullmatch(f"[{MARKS}]", chr(b)) is not None for b in range(256)])
+ENDS_LETTER = np.zeros((256, 256), dtype=bool)  # of the last two bytes
+for encoded in map(str.encode, LETTERS):
+    ENDS_LETTER[encoded[0] if len(encoded) == 2 else slice(None), encoded[-1]] = True
 SEPARATORS = re.compile(r"[\x1c-\x1f]")  # white space for Python, not for the tokenizers
 
 
@@ -67,7 +75,8 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         self.forget()
         self.model = self.tokenizer.model
-        self.byte_letters = byte_letters()
+        letters = byte_letters() | {0x0A: "\n"}
+        self.byte_letters = "".join(letters[b] for b in range(256))
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -77,55 +86,26 @@ class Encoder:
         if any(a in text for a in self.added):
             return None
         if self.kind == "words":
-            return None if SEPARATORS.search(text) else text.split()
+            return None if SEPARATORS.search(text) else UNSPACED.findall(text)
         if self.kind != "spaced" or SEPARATORS.search(text):
             return None
-        plain = not ("  " in text or " \n" in text or "\n " in text or "\n\n" in text or "\x00" in text or text[-1:] in (" ", "\n"))
-        if not plain or ODD_SPACE.search(text):
-            return SPACED.findall(text)
-        # a word that follows a space carries it; a line break stands alone
-        return text.replace("\n", " \n ").replace(" ", "\x00 ").replace("\x00 \n\x00 ", "\x00\n\x00").split("\x00")
-
-    def seen(self, stem: str) -> str | None:
-        """The form in which the merge model sees a piece that is one word of plain letters, some of them beyond ASCII."""
+        return SPACED.findall(text)
+
+    def seen(self, words: list[str]) -> list[str]:
+        """The forms in which the merge model sees pieces that match WORD."""
+        joined = "\n".join(words)
         if self.kind == "words":
-            if not unicodedata.is_normalized("NFC", stem):
-                return None
-            stem = stem.lower()
-        return stem.encode().decode("latin-1").translate(self.byte_letters)
+            joined = joined.lower()  # letters of this range are never decomposed
+        return codecs.charmap_decode(joined.encode(), "strict", self.byte_letters)[0].split("\n")
 
     def ids_of(self, pieces: list[str]) -> list[list[int]]:
-        """Plain words go straight to the library's merge model, all other pieces through the whole tokenizer."""
-        tokenize, match, place, met = self.model.tokenize, WORD.fullmatch, self.place, {}
-        spaced, space, found, others = self.kind == "spaced", self.byte_letters[0x20], [], []
-        marks: dict[str, list[int]] = {}
-        for i, w in enumerate(pieces):
-            word = match(w)
-            ids = None
-            if word is not None:
-                stem, mark = word.groups()
-                ids = met.get(stem)
-                if ids is None:
-                    known = place.get(stem.encode()) if mark else None  # the word without its marks may have been met
-                    if known is not None:
-                        ids = self.ids[known[0]:known[0] + known[1]].tolist()
-                    else:
-                        if not stem.isascii():
-                            seen = self.seen(stem)
-                        elif spaced:
-                            seen = space + stem[1:] if stem[0] == " " else stem
-                        else:
-                            seen = stem.lower()
-                        if seen is not None:
-                            ids = [t.id for t in tokenize(seen)]
-                    met[stem] = ids
-                if mark and ids is not None:
-                    if mark not in marks:
-                        marks[mark] = [t.id for t in tokenize(mark)]
-                    ids = ids + marks[mark]
-            if ids is None:
-                others.append(i)
-            found.append(ids)
+        """Plain words and marks go straight to the library's merge model, all other pieces through the whole tokenizer."""
+        tokenize, match = self.model.tokenize, WORD.fullmatch
+        found: list[list[int] | None] = [None] * len(pieces)
+        straight = [i for i, w in enumerate(pieces) if match(w)]
+        for i, w in zip(straight, self.seen([pieces[i] for i in straight]), strict=False):  # no words are seen as one empty form
+            found[i] = [t.id for t in tokenize(w)]
+        others = [i for i, ids in enumerate(found) if ids is None]
         for at in range(0, len(others), AT_ONCE):
             part = others[at:at + AT_ONCE]
             got = self.tokenizer.encode([pieces[i] for i in part], is_pretokenized=True, add_special_tokens=False)
@@ -146,30 +126,36 @@ class Encoder:
         space, line = data == 0x20, data == 0x0A
         edge = np.zeros(len(data) + 1, dtype=bool)
         edge[first] = True
+        mark = np.flatnonzero(IS_MARK[data])
+        mark = mark[ENDS_LETTER[data[np.maximum(mark - 2, 0)], data[mark - 1]]]  # where a text begins any cut is right
         if self.kind == "spaced":  # a word carries the space before it, a line break stands alone
             begins = space | line | edge[:-1]
             begins[1:] |= line[:-1]
+            begins[mark] = True
             begin = np.flatnonzero(begins)
             return begin, np.append(begin[1:], len(data))[:len(begin)]
         inside = ~(space | line)
         begins, ends = inside.copy(), inside.copy()
         begins[1:] &= ~inside[:-1] | edge[1:-1]
         ends[:-1] &= ~inside[1:] | edge[1:-1]
+        begins[mark], ends[mark - 1] = True, True
         return np.flatnonzero(begins), np.flatnonzero(ends) + 1
 
     def remember(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Where the ids of these pieces stand and how many they are; the ids of new ones are added."""
-        new = list({w for w in words if w not in self.place})
+        """Where the ids of these pieces stand and how many they are; all but the long ones met before are learnt."""
+        new = [w for w in dict.fromkeys(words) if w not in self.long]
+        met = {}
         if new:
             found = self.ids_of(b"\x00".join(new).decode().split("\x00"))
             counts = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
             upto = self.used + np.cumsum(counts)
-            while upto[-1] > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), dtype="<u4")])
+            if upto[-1] > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids) // 4, int(upto[-1]) - len(self.ids)), dtype="<u4")])
             self.ids[self.used:upto[-1]] = np.fromiter(chain.from_iterable(found), dtype="<u4", count=upto[-1] - self.used)
-            self.place.update(zip(new, zip((upto - counts).tolist(), counts.tolist(), strict=True), strict=True))
+            met = dict(zip(new, zip((upto - counts).tolist(), counts.tolist(), strict=True), strict=True))
+            self.long.update((w, met[w]) for w in new if len(w) > WIDE)
             self.used = int(upto[-1])
-        at = np.fromiter(chain.from_iterable(map(self.place.__getitem__, words)), dtype=np.int64, count=2 * len(words))
+        at = np.fromiter(chain.from_iterable(met.get(w) or self.long[w] for w in words), dtype=np.int64, count=2 * len(words))
         return at[::2], at[1::2]
 
     def encode_plain(self, texts: list[str]) -> list[bytes]:
@@ -184,8 +170,12 @@ class Encoder:
         keys = np.lib.stride_tricks.sliding_window_view(data, WIDE)[begin].view("<u8") & MASK[np.minimum(length, WIDE)]
         a, b = keys[:, 0], keys[:, 1]
         mixed = (a ^ (b * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
-        slot = ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x94D049BB133111EB) >> np.uint64(64 - SLOTS)).astype(np.int64)
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        slot = (mixed >> np.uint64(64 - SLOTS)).astype(np.int64)
         held = (self.keys[slot, 0] == a) & (self.keys[slot, 1] == b) & (length <= WIDE)
+        taken = np.flatnonzero(~held & (self.keys[slot, 0] != 0))  # a piece has no zero byte
+        slot[taken] = (mixed[taken] >> np.uint64(64 - 2 * SLOTS)).astype(np.int64) & ((1 << SLOTS) - 1) | 1 << SLOTS
+        held[taken] = (self.keys[slot[taken], 0] == a[taken]) & (self.keys[slot[taken], 1] == b[taken]) & (length[taken] <= WIDE)
         at, count = self.at[slot], self.count[slot]
         miss = np.flatnonzero(~held)
         if len(miss):
@@ -200,7 +190,7 @@ class Encoder:
         return [ids[ends[i]:ends[i + 1]] for i in range(len(texts))]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.place) + len(self.known) > REMEMBERED:
+        if len(self.long) + len(self.known) > REMEMBERED or self.used > IDS_REMEMBERED:
             self.forget()
         plain = [self.is_plain(t) for t in texts]
         fast = iter(self.encode_plain([t for t, p in zip(texts, plain, strict=True) if p]))
@@ -216,10 +206,10 @@ class Encoder:
 
     def forget(self) -> None:
         """Give the remembered pieces back when a task ends; the worker process may be used for other work."""
-        self.known, self.place, self.used = {}, {}, 0
+        self.known, self.long, self.used = {}, {}, 0
         self.ids = np.zeros(1 << 16, dtype="<u4")
-        self.keys = np.zeros((1 << SLOTS, 2), dtype=np.uint64)
-        self.at, self.count = np.zeros(1 << SLOTS, dtype=np.int64), np.zeros(1 << SLOTS, dtype=np.int64)
+        self.keys = np.zeros((2 << SLOTS, 2), dtype=np.uint64)
+        self.at, self.count = np.zeros(2 << SLOTS, dtype=np.int64), np.zeros(2 << SLOTS, dtype=np.int32)
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -5,8 +5,8 @@ import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from panelwise.llm import packing
-from panelwise.llm.tokens import encoder, public_file
+from panelwise.llm import packing, tokens
+from panelwise.llm.tokens import Encoder, encoder, public_file
 
 PATH = public_file("byte_bpe_50k.json")
 
@@ -90,3 +90,55 @@ def test_blocks_of_many_pieces(spark):
         assert zlib.crc32(part) == r.ids_crc32 and r.length == len(r.ids)
         ids[r.doc_id] += part
     assert [ids[i] for i in range(n)] == [w + np.array([packing.END_ID], dtype="<u4").tobytes() for w in want]
+
+
+def learning(name):
+    """A new encoder, and the list of all pieces that it asks the library for."""
+    e, learnt = Encoder(public_file(name)), []
+    ids_of = e.ids_of
+    e.ids_of = lambda pieces: learnt.extend(pieces) or ids_of(pieces)
+    return e, learnt
+
+
+def words(first, n):
+    return ["".join(chr(97 + i // 26**k % 26) for k in range(5)) for i in range(first, first + n)]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_a_word_is_learnt_once_whatever_mark_follows(name):
+    e, learnt = learning(name)
+    plain = words(7, 1000)
+    for mark in ("", ".", ",", "!?", "'s", "..."):
+        text = " ".join(["to", *(w + mark for w in plain)])
+        assert e.encode([text]) == [e.whole(text)]
+    assert len(learnt) < 1100
+
+
+def test_more_words_than_before_are_remembered():
+    e, learnt = learning("byte_bpe_50k.json")
+    for at in range(0, 320_000, 20_000):
+        e.encode([" ".join(["to", *words(at, 20_000)])])
+    assert len(learnt) > 310_000
+    learnt.clear()
+    text = " ".join(["to", *words(0, 20_000)])
+    assert e.encode([text]) == [e.whole(text)] and len(learnt) < 1000
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_lost_and_forgotten_pieces_are_learnt_again(monkeypatch, name):
+    """With a table much too small, two words to a place, and ids forgotten often, the ids stay right."""
+    monkeypatch.setattr(tokens, "SLOTS", 4)
+    monkeypatch.setattr(tokens, "IDS_REMEMBERED", 500)
+    e = Encoder(public_file(name))
+    for at in [*range(0, 900, 30), *range(0, 900, 60)]:
+        some = words(at, 60)
+        texts = [" ".join(some), " ".join(w * 5 + "." for w in some), ", ".join([*some, *some[::-1]])]
+        assert e.encode(texts) == [e.whole(t) for t in texts]
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.text(alphabet="aZéÀ×÷İşɏʔ–ºΣ\u0301.'-s1 \n", max_size=10), min_size=1, max_size=4))
+def test_cuts_before_marks(texts):
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        e = encoder(public_file(name))
+        assert e.encode(texts) == [e.whole(t) for t in texts]
