@@ -57,3 +57,13 @@ def test_every_candidate_is_fitted(spark, small_ensembles, name):
     found = [b.fitted.made for b in fits.trained(spark, FOLDER).frozen if b.kind != "baseline"]
     fits.forget()
     assert found == [True] * 6
+
+
+def test_all_candidates_are_evaluated(spark, small_ensembles):
+    """The rule, regressions, forests and boosting: every frozen candidate has its rows, in code and in SQL."""
+    fits.forget()
+    found = entry.queries()["m17_evaluate_candidates"](spark, FOLDER).first()
+    made = [b.fitted.made for b in fits.trained(spark, FOLDER).frozen if b.kind != "baseline"]
+    fits.forget()
+    assert found.candidates == found.hits_agree == 7 and made == [True] * 6
+    assert "CAST(7 AS BIGINT) AS candidates" in entry.oracle_sql()["m17_evaluate_candidates"]
